@@ -11,24 +11,24 @@ from lanewise.operators.shares import relative_change, share_change, share_of_to
 from lanewise.operators.signals import matched
 from lanewise.operators.zips import rank_within, small_zips
 
-SIM = ("fc_name", "carrier_code", "route", "tnt", "transit_cost", "cost_neutral_fc")
 PROXY_RATES = {"FDXHD": "fdxhd_proxy", "ONTRGD": "ontrgd_proxy"}
 
 
+def _renamed(df: DataFrame, old: str, new: str, more: dict[str, str]) -> DataFrame:
+    names = {c: new + c[len(old) :] for c in df.columns if c.startswith(old)}
+    return df.withColumnsRenamed({**names, **more})
+
+
 def as_base(routing: DataFrame) -> DataFrame:
     """Routing result with its chosen lane named ``base_*``."""
-    names = {f"sim_{c}": f"base_{c}" for c in SIM if c != "cost_neutral_fc"}
-    return routing.withColumnsRenamed(
-        {**names, "cost_neutral_fc": "base_cost_neutral_fc"}
-    )
+    neutral = {"cost_neutral_fc": "base_cost_neutral_fc"}
+    return _renamed(routing, "sim_", "base_", neutral)
 
 
 def as_scenario(base: DataFrame) -> DataFrame:
     """The way back: the baseline lane named ``sim_*``."""
-    names = {f"base_{c}": f"sim_{c}" for c in SIM if c != "cost_neutral_fc"}
-    return base.withColumnsRenamed(
-        {**names, "base_cost_neutral_fc": "cost_neutral_fc"}
-    )
+    neutral = {"base_cost_neutral_fc": "cost_neutral_fc"}
+    return _renamed(base, "base_", "sim_", neutral)
 
 
 def splice_scenario(
@@ -38,17 +38,16 @@ def splice_scenario(
 
     ``choices`` pairs a scenario with its zips.
     """
+    lists = [small_zips(zips) for _, zips in choices]
     kept = base
-    for _, zips in choices:
-        kept = kept.join(small_zips(zips), "zip5", "left_anti")
+    for zips in lists:
+        kept = kept.join(zips, "zip5", "left_anti")
     out = as_scenario(kept)
-    columns = [c for c in choices[0][0].columns if c in out.columns] if choices else None
-    if columns is None:
-        return out
-    out = out.select(*columns)
-    for scenario, zips in choices:
-        rows = scenario.join(small_zips(zips), "zip5", "left_semi").select(*columns)
-        out = out.unionByName(rows, allowMissingColumns=True)
+    if choices:
+        out = out.select(*(c for c in choices[0][0].columns if c in out.columns))
+    for (scenario, _), zips in zip(choices, lists):
+        rows = scenario.join(zips, "zip5", "left_semi").select(*out.columns)
+        out = out.unionByName(rows)
     return out
 
 

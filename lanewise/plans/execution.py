@@ -76,7 +76,7 @@ def decision_master(
         )
         .join(reason_backlog(backlog, params.backlog_threshold), "zip5", "left")
         .transform(add_current_decision)
-        .join(last.drop("recommendation_date"), "zip5", "left")
+        .join(last, "zip5", "left")
     )
     told = ["last_recommendation", *(f"last_reason_{k}" for k in KINDS)]
     return decided.fillna({c: P.NONE for c in told}).transform(add_final_decision)
