@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("routing_checks",)
+MODULES = ("routing_checks", "signal_checks")
 
 
 def load():

@@ -200,19 +200,17 @@ def per_carrier(
     keys: tuple[str, ...] = ("zip5",),
 ) -> DataFrame:
     """One row per key with ``{carrier}_{name}`` columns, both carriers always there."""
-    cells = {
-        f"{carrier}_{name}": (carrier, value)
-        for carrier in carriers
-        for name, value in values.items()
-    }
-    known = F.col("carrier_code").isin(*carriers)
-    return (
-        df.where(known & F.col(keys[0]).isNotNull())
+    known = F.col("carrier_code").isin(*carriers) & F.col(keys[0]).isNotNull()
+    wide = (
+        df.where(known)
         .groupBy(*keys)
         .pivot("carrier_code", list(carriers))
         .agg(*(v.alias(n) for n, v in values.items()))
-        .select(*keys, *cells)
     )
+    if len(values) == 1:
+        (name,) = values
+        wide = wide.withColumnsRenamed({c: f"{c}_{name}" for c in carriers})
+    return wide
 
 
 def reason_service(
