@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("routing_checks", "signal_checks")
+MODULES = (
+    "routing_checks",
+    "signal_checks",
+    "whatif_checks",
+    "scalar_checks",
+    "source_checks",
+)
 
 
 def load():

@@ -434,7 +434,7 @@ def lane_cost(w: World):
     "total_amount",
     """
     select mode, zone, count(*) as lanes, count(total_amount) as priced,
-           round(sum(total_amount), 4) as total_amount
+           round(sum(total_amount), 6) as total_amount
     from costs_baseline group by all
     """,
 )
@@ -445,7 +445,7 @@ def total_amount(w: World):
         .agg(
             F.count(F.lit(1)).alias("lanes"),
             F.count("total_amount").alias("priced"),
-            F.round(F.sum("total_amount"), 4).alias("total_amount"),
+            F.round(F.sum("total_amount"), 6).alias("total_amount"),
         )
     )
 

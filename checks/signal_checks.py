@@ -667,7 +667,7 @@ def expansion_score(w: World):
 @check(
     "join_score_parts",
     """
-    select zip5, round(cost_change, 4) as cost_change, round(tnt_change, 6) as tnt_change,
+    select zip5, round(cost_change, 6) + 0 as cost_change, round(tnt_change, 6) + 0 as tnt_change,
            fc_switch_package_per, active
     from expansion_all
     """,
@@ -681,7 +681,7 @@ def join_score_parts(w: World):
         metrics.join(switch, "zip5").select(
             "zip5", "cost_change", "tnt_change", "fc_switch_package_per", "active"
         ),
-        cost_change=4,
+        cost_change=6,
         tnt_change=6,
     )
 
@@ -833,19 +833,13 @@ def select_zips_topn(w: World):
 @check(
     "sort_multi",
     """
-    select zip5, round(priority_score, 6) as priority_score,
-           row_number() over (order by package_count desc, zip5) as place
-    from remediation_scores
+    select zip5, round(priority_score, 6) as priority_score, package_count
+    from remediation_scores order by package_count desc, zip5
     """,
 )
 def sort_multi(w: World):
-    ordered = w.remediation_scores.orderBy(F.col("package_count").desc(), "zip5")
-    place = F.row_number().over(
-        signals.Window.orderBy(F.col("package_count").desc(), "zip5")
-    )
-    return rounded(
-        ordered.select("zip5", "priority_score", place.alias("place")), priority_score=6
-    )
+    shown = w.remediation_scores.select("zip5", "priority_score", "package_count")
+    return rounded(shown, priority_score=6).orderBy(F.desc("package_count"), "zip5")
 
 
 @check(
