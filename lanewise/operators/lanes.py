@@ -11,7 +11,7 @@ from lanewise.operators.rates import RateCards, package_dims, with_charges
 from lanewise.operators.skew import SALT, hot_keys, salted_join
 from lanewise.operators.stock import (
     PACKAGE,
-    qualified_fcs,
+    fc_sets,
     shipped_packages,
     stocked_lines,
 )
@@ -28,20 +28,22 @@ def attach_distance(lanes: DataFrame, distances: DataFrame) -> DataFrame:
     return lanes.join(miles, ["zip5", "fc_name"], "left").withColumn("distance", known)
 
 
+def release_seconds() -> Column:
+    """When the package was released, in seconds after midnight of the order day."""
+    return calendar.seconds_into_day("release_ts", "order_placed_date")
+
+
 def with_transit(lanes: DataFrame) -> DataFrame:
-    """Transit days by the cutoff rule, its penalty and the ranking keys."""
+    """Transit days by the cutoff rule.
+
+    Release, cutoff and both transit times give way to the result, which keeps
+    the rows of the pricing joins narrow.
+    """
     days = calendar.transit_days(
-        "cutoff_seconds",
-        calendar.seconds_into_day("release_ts", "order_placed_date"),
-        F.col("adjtnt"),
-        F.col("nextadjtnt"),
+        "cutoff_seconds", "release_seconds", F.col("adjtnt"), F.col("nextadjtnt")
     )
-    return lanes.withColumn("tnt", days).withColumns(
-        {
-            "tnt_penalty": package.transit_penalty("tnt"),
-            "tnt_floor": package.transit_floor("tnt"),
-            "preferred": codes.fc_preference("fc_name"),
-        }
+    return lanes.withColumn("tnt", days).drop(
+        "cutoff_seconds", "release_seconds", "adjtnt", "nextadjtnt"
     )
 
 
@@ -53,7 +55,7 @@ def lane_order() -> list[Column]:
     return [
         F.col("total_amount").asc_nulls_last(),
         F.col("preferred").desc(),
-        F.col("tnt_floor").asc_nulls_last(),
+        package.transit_floor("tnt").asc_nulls_last(),
         F.col("tnt").desc_nulls_last(),
         F.col("distance").asc_nulls_last(),
         F.col("mode").asc_nulls_last(),
@@ -63,14 +65,17 @@ def lane_order() -> list[Column]:
 
 
 def rank_lanes(lanes: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the rank of each lane in its package and the winner's cost with penalty."""
+    """Add the rank of each lane in its package and the winner's cost with penalty.
+
+    The penalty does not enter the ranking.
+    """
     ordered = Window.partitionBy(*keys).orderBy(*lane_order())
     group = Window.partitionBy(*keys)
-    cost = F.col("total_amount") + F.col("tnt_penalty")
     chosen = F.when(F.col("row_n") == 1, F.col("cost")).otherwise(0.0)
     return (
-        lanes.withColumn("cost", cost)
-        .withColumn("row_n", F.row_number().over(ordered))
+        lanes.withColumn("row_n", F.row_number().over(ordered))
+        .withColumn("tnt_penalty", package.transit_penalty("tnt"))
+        .withColumn("cost", F.col("total_amount") + F.col("tnt_penalty"))
         .withColumn("selected_cost", F.max(chosen).over(group))
     )
 
@@ -87,6 +92,7 @@ def open_routes(ship_map: DataFrame) -> DataFrame:
         calendar.clock_seconds("cutoff").alias("cutoff_seconds"),
         "adjtnt",
         "nextadjtnt",
+        codes.fc_preference("fcname").alias("preferred"),
     )
 
 
@@ -103,6 +109,8 @@ def lane_options(
     lanes = (
         candidates.join(release, PACKAGE)
         .withColumn("order_placed_date", F.col("order_placed_ts").cast("date"))
+        .withColumn("release_seconds", release_seconds())
+        .drop("release_ts", "order_placed_ts")
         .join(open_routes(ship_map), [*LANE_KEYS, "fc_name"])
         .join(priced, [*PACKAGE, "fc_name", "mode"], "left")
     )
@@ -122,6 +130,7 @@ def choose_lane(
     return (
         options.withColumn("row_n", F.row_number().over(ordered))
         .where(F.col("row_n") == 1)
+        .withColumn("tnt_penalty", package.transit_penalty("tnt"))
         .select(
             *PACKAGE,
             *LANE_KEYS,
@@ -172,42 +181,46 @@ def package_lanes(
 
     Packages carry their FC set (at most one entry per FC) through the shuffle
     to the ship map, one row each; hot (zip, day) keys are cut into slices.
+    What the result needs of the package is computed before the lanes fan out,
+    and travels as two arrays: the lane actually ``used`` (FC, carrier, route)
+    and the ``outcome`` (units, ctd, std, on-time flag).  Few columns keep the
+    generated code of the pricing joins below the size the JVM compiles.
     """
-    packages = shipped_packages(shipments, start, end, fcs).select(
+    shipped = shipped_packages(shipments, start, end, fcs).withColumns(
+        {
+            "order_placed_date": F.col("order_placed_ts").cast("date"),
+            "ship_date": F.col("actual_ship_ts").cast("date"),
+        }
+    )
+    packages = package_dims(shipped).select(
         *PACKAGE,
-        "zip5",
-        F.col("order_placed_ts").cast("date").alias("order_placed_date"),
-        "order_placed_ts",
-        "release_ts",
-        "actual_ship_ts",
-        "first_attempt_ts",
-        "promised_date",
-        F.col("fc_name").alias("act_fc_name"),
-        F.col("carrier_code").alias("act_carrier_code"),
-        F.col("route").alias("act_route"),
-        "length",
-        "width",
-        "height",
+        *LANE_KEYS,
+        release_seconds().alias("release_seconds"),
+        "ship_date",
         "weight",
-        F.col("actual_ship_ts").cast("date").alias("ship_date"),
-        "units",
+        "longest_side",
+        "second_side",
+        "length_plus_girth",
+        "charged_weight",
+        F.array("fc_name", "carrier_code", "route").alias("used"),
+        F.array(
+            F.col("units").cast("bigint"),
+            calendar.days_between("first_attempt_ts", "order_placed_ts").cast("bigint"),
+            calendar.days_between("first_attempt_ts", "actual_ship_ts").cast("bigint"),
+            package.on_time_flag("promised_date", "first_attempt_ts").cast("bigint"),
+        ).alias("outcome"),
     )
-    stocked = stocked_lines(order_lines, inventory, start, end)
-    served = (
-        qualified_fcs(stocked)
-        .groupBy(*PACKAGE)
-        .agg(F.collect_set("fc_name").alias("fcs"))
-        .join(package_dims(packages), PACKAGE)
-    )
-    return salted_join(
-        served,
+    served = fc_sets(stocked_lines(order_lines, inventory, start, end), fcs)
+    lanes = salted_join(
+        served.join(packages, PACKAGE),
         priced_routes(ship_map, distances),
         LANE_KEYS,
         "inner",
         salt_on=PACKAGE,
-        hot=hot_keys(packages.select(*LANE_KEYS), LANE_KEYS),
+        hot=hot_keys(shipped.select(*LANE_KEYS), LANE_KEYS),
         keep_salt=True,
     ).where(F.array_contains("fcs", F.col("fc_name")))
+    return with_transit(lanes.drop("fcs"))
 
 
 def routing_result(
@@ -231,13 +244,12 @@ def routing_result(
     )
     keys = [*LANE_KEYS, SALT, *PACKAGE]
     group = Window.partitionBy(*keys)
-    ranked = rank_lanes(with_transit(with_charges(lanes, cards)), keys)
+    ranked = rank_lanes(with_charges(lanes, cards), keys)
 
     as_cheap = F.when(F.col("cost") == F.col("selected_cost"), F.col("fc_name"))
     neutral = F.array_sort(F.collect_set(as_cheap).over(group))
-    really_used = (F.col("fc_name") == F.col("act_fc_name")) & (
-        F.col("mode") == F.col("act_carrier_code")
-    )
+    used, outcome = F.col("used"), F.col("outcome")
+    really_used = (F.col("fc_name") == used[0]) & (F.col("mode") == used[1])
     paid = F.collect_set(
         F.when(really_used, F.struct(F.col("total_amount").alias("amount")))
     ).over(group)
@@ -258,14 +270,14 @@ def routing_result(
             F.col("zone").alias("sim_zone"),
             F.col("tnt").alias("sim_tnt"),
             F.when(F.size("neutral") > 0, F.col("neutral")).alias("cost_neutral_fc"),
-            "act_fc_name",
-            "act_carrier_code",
-            "act_route",
+            used[0].alias("act_fc_name"),
+            used[1].alias("act_carrier_code"),
+            used[2].alias("act_route"),
             F.col("paid.amount").alias("act_transit_cost"),
             "ship_date",
-            "units",
-            calendar.days_between("first_attempt_ts", "order_placed_ts").alias("ctd"),
-            calendar.days_between("first_attempt_ts", "actual_ship_ts").alias("std"),
-            package.on_time_flag("promised_date", "first_attempt_ts").alias("dea_flag"),
+            outcome[0].alias("units"),
+            outcome[1].cast("int").alias("ctd"),
+            outcome[2].cast("int").alias("std"),
+            outcome[3].cast("int").alias("dea_flag"),
         )
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import calendar, numbers, package
-from lanewise.operators.skew import checked_broadcast
+from lanewise.operators.skew import checked_broadcast, within_rows
 from lanewise.operators.stock import PACKAGE
 
 UNAUTHORIZED, OVERSIZE, ADDITIONAL = (
@@ -18,6 +19,14 @@ UNAUTHORIZED, OVERSIZE, ADDITIONAL = (
     "additional_handling",
 )
 
+# Kinds of charge that count for each measure.
+COUNTED = {
+    "long": (UNAUTHORIZED, OVERSIZE, ADDITIONAL),
+    "girth": (UNAUTHORIZED, OVERSIZE, ADDITIONAL),
+    "second": (ADDITIONAL,),
+    "heavy": (UNAUTHORIZED, ADDITIONAL),
+}
+
 
 @dataclass(frozen=True)
 class RateCards:
@@ -33,10 +42,12 @@ class RateCards:
     peak: DataFrame
     fuel: DataFrame
 
+    def frames(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
     def checked(self) -> "RateCards":
         """The cards marked for broadcast as far as their size allows it."""
-        frames = {f.name: getattr(self, f.name) for f in fields(self)}
-        return RateCards(**checked_broadcast(frames))
+        return RateCards(**checked_broadcast(self.frames()))
 
 
 def package_dims(df: DataFrame) -> DataFrame:
@@ -108,6 +119,61 @@ def join_fuel(lanes: DataFrame, card: DataFrame) -> DataFrame:
     return join_flat(lanes, card, "fuel", "fsc_per", "start_dt", "end_dt")
 
 
+def flat_amounts(cards: "RateCards") -> DataFrame:
+    """Residential, peak and fuel amounts of a carrier in one card.
+
+    Days on which none of the three changes form one interval, so a lane needs
+    one lookup instead of three.  Overlapping entries still give one row each.
+    """
+
+    def entries(card, carrier, amount, start, end=None) -> DataFrame:
+        first = F.col(start).cast("date")
+        return card.select(
+            F.col(carrier).alias("carrier"),
+            F.col(amount).alias("amount"),
+            first.alias("first"),
+            (F.col(end).cast("date") if end else F.date_add(first, 6)).alias("last"),
+        )
+
+    week = "peak_surcharge_application_week"
+    parts = {
+        "resi": entries(
+            cards.resi, "carrier_code", "resi_amount", "start_date", "end_date"
+        ),
+        "peak": entries(
+            cards.peak.where(F.weekday(week) == 0), "shipmode", "peak_surcharge", week
+        ),
+        "fuel": entries(cards.fuel, "carrier_code", "fsc_per", "start_dt", "end_dt"),
+    }
+    edges = reduce(
+        DataFrame.unionAll,
+        (
+            df.select("carrier", F.explode(F.array("first", F.date_add("last", 1))))
+            for df in parts.values()
+        ),
+    ).toDF("flat_carrier", "flat_start")
+    following = Window.partitionBy("flat_carrier").orderBy("flat_start")
+    merged = (
+        edges.distinct()
+        .withColumn("flat_end", F.date_sub(F.lead("flat_start").over(following), 1))
+        .where(F.col("flat_end").isNotNull())
+    )
+    for name, df in parts.items():
+        side = df.toDF("carrier", f"{name}_amount", "first", "last")
+        inside = (F.col("flat_carrier") == F.col("carrier")) & F.col(
+            "flat_start"
+        ).between(F.col("first"), F.col("last"))
+        merged = merged.join(F.broadcast(side), inside, "left").drop(
+            "carrier", "first", "last"
+        )
+    return merged
+
+
+def join_flat_amounts(lanes: DataFrame, flat: DataFrame) -> DataFrame:
+    on = (F.col("mode") == F.col("flat_carrier")) & _in_force("flat")
+    return lanes.join(flat, on, "left").drop("flat_carrier", "flat_start", "flat_end")
+
+
 def join_das(lanes: DataFrame, card: DataFrame) -> DataFrame:
     side = _card(
         card,
@@ -143,7 +209,7 @@ def join_band(
         type="charge_type",
         start="start_date",
         end="end_date",
-    )
+    ).withColumn(f"{tag}_counts", F.col(f"{tag}_type").isin(*COUNTED[tag]))
     on = (
         (F.col("mode") == F.col(f"{tag}_carrier"))
         & (F.col("cost_zone") == F.col(f"{tag}_zone"))
@@ -206,11 +272,8 @@ def join_peak(lanes: DataFrame, card: DataFrame) -> DataFrame:
 
 def _any_type(kind: str, *tags: str) -> Column:
     """Whether one of the bands is of a kind; unknown bands do not count."""
-    hits = [F.coalesce(F.col(f"{t}_type") == kind, F.lit(False)) for t in tags]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return out
+    hits = (F.coalesce(F.col(f"{t}_type") == kind, F.lit(False)) for t in tags)
+    return reduce(Column.__or__, hits)
 
 
 def handling_class() -> Column:
@@ -219,22 +282,18 @@ def handling_class() -> Column:
     The second side counts for additional handling only, the weight for
     unauthorized and additional.
     """
-    return (
-        F.when(_any_type(UNAUTHORIZED, "long", "girth", "heavy"), UNAUTHORIZED)
-        .when(_any_type(OVERSIZE, "long", "girth"), OVERSIZE)
-        .when(_any_type(ADDITIONAL, "long", "girth", "second", "heavy"), ADDITIONAL)
-    )
+    chain = F
+    for kind in (UNAUTHORIZED, OVERSIZE, ADDITIONAL):
+        tags = [tag for tag, kinds in COUNTED.items() if kind in kinds]
+        chain = chain.when(_any_type(kind, *tags), kind)
+    return chain
 
 
 def handling_charge() -> Column:
-    """Greatest of the four band amounts, charged once and only with a class."""
-    greatest = F.greatest(
-        *(
-            numbers.zero_if_null(f"{t}_amount")
-            for t in ("long", "second", "girth", "heavy")
-        )
-    )
-    return F.when(F.col("handling_class").isNotNull(), greatest).otherwise(0.0)
+    """Greatest of the four band amounts, charged once if any band counts."""
+    greatest = F.greatest(*(numbers.zero_if_null(f"{t}_amount") for t in COUNTED))
+    counts = (F.coalesce(F.col(f"{t}_counts"), F.lit(False)) for t in COUNTED)
+    return F.when(reduce(Column.__or__, counts), greatest).otherwise(0.0)
 
 
 def total_amount() -> Column:
@@ -254,20 +313,29 @@ def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
     """Attach every charge to lanes that carry the package dimensions.
 
     All cards are small by nature; each is broadcast once its size is checked,
-    so the lanes are not shuffled.
+    so the lanes are not shuffled.  The three flat cards meet each other before
+    they meet the lanes.
     """
-    cards = cards.checked()
+    frames = cards.frames()
+    flat_names = ("resi", "peak", "fuel")
+    fits = within_rows(frames)
+    small = {n: F.broadcast(df) if fits[n] else df for n, df in frames.items()}
     priced = (
-        lanes.transform(join_base_rate, cards.base_rates)
-        .transform(join_resi, cards.resi)
-        .transform(join_das, cards.das)
-        .transform(join_weight_band, cards.weight_bands)
-        .transform(join_longest_band, cards.longest_bands)
-        .transform(join_second_band, cards.second_bands)
-        .transform(join_girth_band, cards.girth_bands)
-        .transform(join_peak, cards.peak)
-        .transform(join_fuel, cards.fuel)
+        lanes.transform(join_base_rate, small["base_rates"])
+        .transform(join_das, small["das"])
+        .transform(join_weight_band, small["weight_bands"])
+        .transform(join_longest_band, small["longest_bands"])
+        .transform(join_second_band, small["second_bands"])
+        .transform(join_girth_band, small["girth_bands"])
     )
+    if all(fits[n] for n in flat_names):
+        priced = join_flat_amounts(priced, F.broadcast(flat_amounts(cards)))
+    else:
+        priced = (
+            priced.transform(join_resi, small["resi"])
+            .transform(join_peak, small["peak"])
+            .transform(join_fuel, small["fuel"])
+        )
     return (
         priced.withColumn("handling_class", handling_class())
         .withColumn("handling_amount", handling_charge())

@@ -71,14 +71,12 @@ def salted_join(
     return joined if keep_salt else joined.drop(SALT)
 
 
-def checked_broadcast(
+def within_rows(
     frames: dict[str, DataFrame], most: int = BROADCAST_ROWS
-) -> dict[str, DataFrame]:
-    """The frames, those of at most ``most`` rows marked for broadcast.
+) -> dict[str, bool]:
+    """Whether each frame has at most ``most`` rows.
 
-    One small job counts no further than the limit.  A larger frame is returned
-    as it is: the join then shuffles, and adaptive execution splits its skewed
-    partitions.
+    One small job counts no further than the limit.
     """
     probes = [
         df.select(F.lit(name).alias("name")).limit(most + 1)
@@ -86,10 +84,19 @@ def checked_broadcast(
     ]
     counts = reduce(DataFrame.unionAll, probes).groupBy("name").count()
     sizes = {r["name"]: r["count"] for r in counts.collect()}
-    return {
-        name: F.broadcast(df) if sizes.get(name, 0) <= most else df
-        for name, df in frames.items()
-    }
+    return {name: sizes.get(name, 0) <= most for name in frames}
+
+
+def checked_broadcast(
+    frames: dict[str, DataFrame], most: int = BROADCAST_ROWS
+) -> dict[str, DataFrame]:
+    """The frames, those of at most ``most`` rows marked for broadcast.
+
+    A larger frame is returned as it is: the join then shuffles, and adaptive
+    execution splits its skewed partitions.
+    """
+    fits = within_rows(frames, most)
+    return {n: F.broadcast(df) if fits[n] else df for n, df in frames.items()}
 
 
 def running_total(

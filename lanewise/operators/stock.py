@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise import params as P
-from lanewise.functions import calendar
+from lanewise.functions import calendar, codes
 
 PACKAGE = ["order_id", "tracking_number"]
+MASK_BITS = 63
 
 
 def stocked_lines(order_lines: DataFrame, inventory: DataFrame, start, end) -> DataFrame:
@@ -54,6 +55,39 @@ def qualified_fcs(stocked: DataFrame) -> DataFrame:
     )
 
 
+def fc_sets(stocked: DataFrame, fcs=P.FCS) -> DataFrame:
+    """Per package the array ``fcs`` of those given FCs that hold all its lines.
+
+    Every FC is one bit: the FCs of a line are the 'or' of its rows, the FCs of
+    a package the 'and' of its lines.  Both are aggregated before the shuffle
+    into one number, however many lines a package has.
+    """
+    if len(fcs) > MASK_BITS:
+        return (
+            qualified_fcs(stocked)
+            .where(F.col("fc_name").isin(*fcs))
+            .groupBy(*PACKAGE)
+            .agg(F.collect_set("fc_name").alias("fcs"))
+        )
+    bits = {fc: 1 << i for i, fc in enumerate(fcs)}
+    bit = codes.lookup("fc_name", bits, 0).cast("bigint")
+    mask = F.col("mask")
+    held = F.array(
+        *(
+            F.when(mask.bitwiseAND(F.lit(b).cast("bigint")) != 0, F.lit(fc))
+            for fc, b in bits.items()
+        )
+    )
+    return (
+        stocked.groupBy("order_id", "order_line_id", "tracking_number")
+        .agg(F.bit_or(bit).alias("mask"))
+        .groupBy(*PACKAGE)
+        .agg(F.bit_and("mask").alias("mask"))
+        .where(mask != 0)
+        .select(*PACKAGE, F.array_compact(held).alias("fcs"))
+    )
+
+
 def shipped_packages(shipments: DataFrame, start, end, fcs=P.FCS) -> DataFrame:
     return shipments.where(
         F.col("fc_name").isin(*fcs)
@@ -68,9 +102,13 @@ def fulfillable_fcs(
     start,
     end,
     fcs=P.FCS,
+    candidate_fcs=None,
 ) -> DataFrame:
     """(package, FC) pairs: the FC has stock for every counted line of the package.
 
+    ``fcs`` limits the shipping FCs; any FC of the inventory is a candidate
+    unless ``candidate_fcs`` names them, which is the cheaper way.
+
     The order lines meet the inventory before the shipments, so the fact tables
     shuffle once by line and once by package.
     """
@@ -78,9 +116,14 @@ def fulfillable_fcs(
         *PACKAGE, "zip5", "order_placed_ts"
     )
     stocked = stocked_lines(order_lines, inventory, start, end)
+    if candidate_fcs is None:
+        qualified = qualified_fcs(stocked)
+    else:
+        qualified = fc_sets(stocked, candidate_fcs).select(
+            *PACKAGE, F.explode("fcs").alias("fc_name")
+        )
     return (
-        qualified_fcs(stocked)
-        .join(packages, PACKAGE)
+        qualified.join(packages, PACKAGE)
         .select("order_id", "order_placed_ts", "zip5", "tracking_number", "fc_name")
         .distinct()
     )

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -47,5 +47,5 @@ def saved_once(
     key = (spark.sparkContext.applicationId, name)
     if key not in _written:
         build().write.mode("overwrite").parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        _written[key] = spark.read.parquet(path)
+    return _written[key]
