@@ -610,7 +610,7 @@ def weighted_score(w: World):
     "agg_mean_multi",
     """
     select zip5, act_carrier_code, count(distinct tracking_number) as packages,
-           round(avg(act_transit_cost), 6) as cost, round(avg(std), 6) as std,
+           round(avg(act_transit_cost), 3) as cost, avg(std) as std,
            cast(coalesce(sum(dea_flag), 0) as bigint) as on_time
     from base where std is not null group by all
     """,
@@ -621,8 +621,8 @@ def agg_mean_multi(w: World):
         .groupBy("zip5", "act_carrier_code")
         .agg(
             F.count_distinct("tracking_number").alias("packages"),
-            F.round(F.avg("act_transit_cost"), 6).alias("cost"),
-            F.round(F.avg("std"), 6).alias("std"),
+            F.round(F.avg("act_transit_cost"), 3).alias("cost"),
+            F.avg("std").alias("std"),
             numbers.total("dea_flag").alias("on_time"),
         )
     )
