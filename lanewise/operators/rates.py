@@ -119,6 +119,96 @@ def join_fuel(lanes: DataFrame, card: DataFrame) -> DataFrame:
     return join_flat(lanes, card, "fuel", "fsc_per", "start_dt", "end_dt")
 
 
+# Measure and card of each band, with the prefix of its bounds.
+BANDS = {
+    "heavy": ("weight", "weight_bands", "weight"),
+    "long": ("longest_side", "longest_bands", "longest_side"),
+    "second": ("second_side", "second_bands", "second_longest_side"),
+    "girth": ("length_plus_girth", "girth_bands", "length_plus_girth"),
+}
+
+
+def _band_entries(cards: "RateCards", tag: str) -> DataFrame:
+    _, card, bounds = BANDS[tag]
+    return cards.frames()[card].select(
+        F.col("carrier_code").alias("book_carrier"),
+        F.col("zone").alias("book_zone"),
+        F.col(f"{bounds}_lower").alias("lower"),
+        F.col(f"{bounds}_upper").alias("upper"),
+        "amount",
+        F.col("charge_type").alias("type"),
+        F.col("charge_type").isin(*COUNTED[tag]).alias("counts"),
+        F.col("start_date").alias("start"),
+        F.col("end_date").alias("end"),
+    )
+
+
+def _all_bands(cards: "RateCards") -> DataFrame:
+    return reduce(
+        DataFrame.unionAll,
+        (_band_entries(cards, t).withColumn("card", F.lit(t)) for t in BANDS),
+    )
+
+
+def bands_overlap(cards: "RateCards") -> bool:
+    """Whether some package could fall into two entries of one band card."""
+    key = ["card", "book_carrier", "book_zone"]
+    bounds = ["lower", "upper", "start", "end"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*bounds))
+    left = _all_bands(cards).select(*key, *bounds, place.alias("place"))
+    right = left.select(
+        *key, *(F.col(c).alias(f"other_{c}") for c in [*bounds, "place"])
+    )
+    both = (
+        (F.col("place") < F.col("other_place"))
+        & (F.col("lower") < F.col("other_upper"))
+        & (F.col("other_lower") < F.col("upper"))
+        & (F.col("start") <= F.col("other_end"))
+        & (F.col("other_start") <= F.col("end"))
+    )
+    return not left.join(right, key).where(both).isEmpty()
+
+
+def band_book(cards: "RateCards") -> DataFrame:
+    """All bands of a (carrier, zone) in one row, an array per measure."""
+    entry = F.struct("lower", "upper", "amount", "type", "counts", "start", "end")
+    arrays = (
+        F.collect_list(F.when(F.col("card") == tag, entry)).alias(tag) for tag in BANDS
+    )
+    return _all_bands(cards).groupBy("book_carrier", "book_zone").agg(*arrays)
+
+
+def join_band_book(lanes: DataFrame, book: DataFrame) -> DataFrame:
+    """Attach the charges of all four bands by one lookup.
+
+    For cards without overlaps: at most one entry of a card applies.
+    """
+    on = (F.col("mode") == F.col("book_carrier")) & (
+        F.col("cost_zone") == F.col("book_zone")
+    )
+
+    def hit(tag: str) -> Column:
+        value, day = F.col(BANDS[tag][0]), F.col("ship_date")
+        hits = F.filter(
+            tag,
+            lambda r: (value > r["lower"])
+            & (value <= r["upper"])
+            & day.between(r["start"], r["end"]),
+        )
+        return F.try_element_at(hits, F.lit(1))
+
+    found = {
+        f"{tag}_{part}": hit(tag)[part]
+        for tag in BANDS
+        for part in ("amount", "type", "counts")
+    }
+    return (
+        lanes.join(book, on, "left")
+        .withColumns(found)
+        .drop("book_carrier", "book_zone", *BANDS)
+    )
+
+
 def flat_amounts(cards: "RateCards") -> DataFrame:
     """Residential, peak and fuel amounts of a carrier in one card.
 
@@ -313,22 +403,27 @@ def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
     """Attach every charge to lanes that carry the package dimensions.
 
     All cards are small by nature; each is broadcast once its size is checked,
-    so the lanes are not shuffled.  The three flat cards meet each other before
-    they meet the lanes.
+    so the lanes are not shuffled.  The four band cards and the three flat cards
+    meet each other before they meet the lanes: four lookups instead of nine
+    keep the generated code below the size the JVM compiles.
     """
     frames = cards.frames()
-    flat_names = ("resi", "peak", "fuel")
     fits = within_rows(frames)
     small = {n: F.broadcast(df) if fits[n] else df for n, df in frames.items()}
-    priced = (
-        lanes.transform(join_base_rate, small["base_rates"])
-        .transform(join_das, small["das"])
-        .transform(join_weight_band, small["weight_bands"])
-        .transform(join_longest_band, small["longest_bands"])
-        .transform(join_second_band, small["second_bands"])
-        .transform(join_girth_band, small["girth_bands"])
+    priced = lanes.transform(join_base_rate, small["base_rates"]).transform(
+        join_das, small["das"]
     )
-    if all(fits[n] for n in flat_names):
+    band_names = [card for _, card, _ in BANDS.values()]
+    if all(fits[n] for n in band_names) and not bands_overlap(cards):
+        priced = join_band_book(priced, F.broadcast(band_book(cards)))
+    else:
+        priced = (
+            priced.transform(join_weight_band, small["weight_bands"])
+            .transform(join_longest_band, small["longest_bands"])
+            .transform(join_second_band, small["second_bands"])
+            .transform(join_girth_band, small["girth_bands"])
+        )
+    if all(fits[n] for n in ("resi", "peak", "fuel")):
         priced = join_flat_amounts(priced, F.broadcast(flat_amounts(cards)))
     else:
         priced = (

@@ -168,12 +168,23 @@ def test_charges_without_broadcast(spark, cards, monkeypatch):
     check_totals(rates.with_charges(spark.createDataFrame(CASES, LANES), cards))
 
 
+def test_charges_with_overlapping_bands(spark, cards):
+    again = cards.longest_bands.where("amount = 12").withColumn("amount", F.lit(14.0))
+    doubled = rates.RateCards(
+        **{**cards.frames(), "longest_bands": cards.longest_bands.unionAll(again)}
+    )
+    assert rates.bands_overlap(doubled) and not rates.bands_overlap(cards)
+    lanes = spark.createDataFrame(CASES[4:5], LANES)
+    amounts = [r[0] for r in rows(rates.with_charges(lanes, doubled), "total_amount")]
+    assert amounts == pytest.approx([19.01 * 1.1, 21.01 * 1.1])
+
+
 def test_charges_are_broadcast_joins(spark, cards):
     lanes = spark.createDataFrame(CASES, LANES)
     plan = rates.with_charges(lanes, cards)._jdf.queryExecution().executedPlan()
-    text = plan.toString()
-    assert text.count("BroadcastHashJoin") >= 7
-    assert "SortMergeJoin" not in text and "Cartesian" not in text
+    lane_side = plan.toString().split("BroadcastExchange")[0]
+    assert lane_side.count("BroadcastHashJoin") == 4
+    assert "SortMergeJoin" not in lane_side and "Exchange" not in lane_side
 
 
 def test_overlapping_rates_give_one_row_each(spark, cards):
