@@ -67,7 +67,12 @@ class World(Inputs):
 
     def build_candidates(self) -> DataFrame:
         return fulfillable_fcs(
-            self.shipments, self.order_lines, self.inventory, START, END
+            self.shipments,
+            self.order_lines,
+            self.inventory,
+            START,
+            END,
+            candidate_fcs=P.FCS,
         )
 
     @property
