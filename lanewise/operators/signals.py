@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import params as P
@@ -417,6 +417,10 @@ def last_recommendation(
 
 
 def latest_rows(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """Rows at the greatest stamp of their key, ties kept; keys are small groups."""
-    top = F.max(stamp).over(Window.partitionBy(*keys))
-    return df.withColumn("_top", top).where(F.col(stamp) == F.col("_top")).drop("_top")
+    """Rows at the greatest stamp of their key, ties kept.
+
+    The greatest stamp comes from partial aggregates, so a key of any size is
+    never gathered in one window.
+    """
+    newest = df.groupBy(*keys).agg(F.max(stamp).alias(stamp))
+    return df.join(newest, [*keys, stamp], "left_semi")
