@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import load
 from checks.compare import compare, database
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +42,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(load().SQL) == set(load().QUERIES)
 
 
 @needs_data
