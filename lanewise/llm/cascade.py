@@ -102,7 +102,7 @@ RULES = (
     Rule("few_words", lambda t: t.n_words < 50),
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
     Rule("long_words", lambda t: t.word_chars > 20 * t.n_words),
-    Rule("symbols", lambda t: 2 * t.n_symbols > t.n_words),
+    Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("shouting", lambda t: 2 * t.n_shouts > t.n_words),
     Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
 )
