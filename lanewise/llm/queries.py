@@ -9,7 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import cascade, decontaminate, lines, mixing, simhash, spans
+from lanewise.llm import (
+    archives,
+    cascade,
+    decontaminate,
+    lines,
+    mixing,
+    ppm,
+    simhash,
+    spans,
+    toxicity,
+    urlrules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +59,8 @@ def hex16(c) -> F.Column:
 
 def held_out(doc_id, folds: int):
     """Whether the CRC of the id as text leaves no remainder."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    name = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.crc32(name.cast("binary")) % folds == 0
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -110,6 +122,59 @@ def op5(read):
     )
 
 
+HOST_RULES = [
+    urlrules.HostRule("allow", "org", "/"),
+    urlrules.HostRule("block", "example.org", "/es/"),
+    urlrules.HostRule("block", "example.org", "/en/1"),
+    urlrules.HostRule("allow", "com", "/fr/"),
+    urlrules.HostRule("block", "com", "/de/"),
+]
+
+
+@query("op6_url_rules")
+def op6(read):
+    """Verdict on every url; labels are those of the document it leads to."""
+    pages = read("pages").select("page_id", "url")
+    number = F.regexp_extract(urlrules.path(F.col("url")), r"^/[^/]*/(\d+)", 1)
+    linked = pages.select("url", number.try_cast("bigint").alias("doc_id"))
+    labels = read("labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    labelled = linked.join(labels, "doc_id").select("url", "bad")
+    judged = urlrules.judged_urls(pages, labelled, HOST_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+@query(
+    "op7_arc_to_warc",
+    """
+    with p as (
+        select page_id, encode(coalesce(html, '')) as body from pages
+    ), d as (
+        select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest
+        from p
+    ), k as (
+        select payload_digest, max(page_id) as kept from d
+        where payload_bytes >= 1000 group by payload_digest
+    )
+    select d.page_id, d.payload_bytes, d.payload_digest,
+           case when k.kept <> d.page_id then 'revisit' else 'response' end as record_type,
+           case when k.kept <> d.page_id then k.kept end as refers_to
+    from d left join k on d.payload_digest = k.payload_digest
+                       and d.payload_bytes >= 1000
+    """,
+)
+def op7(read):
+    """Digest and record of every page after the way through both formats."""
+    return archives.archived_pages(read("pages"))
+
+
+@query("op8_ppm_scores")
+def op8(read):
+    """Scores of every document under a model of nine tenths of them."""
+    docs = read("documents")
+    found = ppm.ppm_scores(docs, held_out(F.col("doc_id"), 10))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -126,3 +191,16 @@ def op9(read):
         base_failed.alias("base_failed"),
         (~base_failed & F.col("quality.kept")).alias("kept"),
     )
+
+
+@query("op10_toxic_lexicon")
+def op10(read):
+    """Toxicity of every document, learned from four fifths of the labels."""
+    fold = held_out(F.col("doc_id"), 5)
+    scored = toxicity.toxicity(read("documents"), read("labels").where(~fold))
+    return scored.select(
+        "doc_id",
+        fold.alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+    )
