@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lanewise.llm.stages import staged
 
 #: Bytes of context; at most 6, so that a context and a byte fit a long.
-ORDER = 4
+ORDER = 5
 #: UTF-8 has neither of these bytes: the end of a text, and what precedes it.
 END, BEFORE = 0xFE, 0xFF
 SYMBOLS = 256
