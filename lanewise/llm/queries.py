@@ -63,20 +63,138 @@ def held_out(doc_id, folds: int):
     return F.crc32(name.cast("binary")) % folds == 0
 
 
+# --- SQL of the queries -------------------------------------------------------
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+QUALITY_SQL = rf"""
+    with d as (
+        select row_number() over () as r, doc_id, coalesce(text, '') as text, {WORDS} as w
+        from documents
+    ), x as (
+        select r, unnest(string_split(text, chr(10))) as line from d
+    ), l as (
+        select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+        from x where regexp_matches(line, '[^\x20\x09-\x0D]') group by r
+    ), t as (
+        select r, unnest(w) as w, generate_subscripts(w, 1) as i from d
+    ), tri as (
+        select r, i, w, lead(w) over o as w2, lead(w, 2) over o as w3 from t
+        window o as (partition by r order by i)
+    ), win as (
+        select r, i, count(*) over (partition by r, w, w2, w3) as n from tri
+        where w3 is not null
+    ), rep as (
+        select r, count(distinct p) as n_repeat_words
+        from (select r, unnest([i, i + 1, i + 2]) as p from win where n > 1) group by r
+    ), m as (
+        select doc_id, len(w) as n_words,
+               length(array_to_string(w, ''))::bigint as word_chars,
+               (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+               coalesce(n_dup_lines, 0) as n_dup_lines,
+               coalesce(n_repeat_words, 0) as n_repeat_words,
+               length(text) - length(replace(text, '!', '')) as n_shouts,
+               coalesce(n_lines, 0) as n_lines
+        from d left join l using (r) left join rep using (r)
+    ), b as (
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m
+    )
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not (base_failed or word_chars > 20 * n_words or 10 * n_symbols > n_words
+                or 2 * n_shouts > n_words or 2 * n_dup_lines > n_lines) as kept
+    from b
+"""
+
+LINES_SQL = f"""
+    with d as (
+        select row_number() over () as r, doc_id, text, source,
+               string_split(text, chr(10)) as ls from documents
+    ), l as (
+        select r, coalesce(source, chr(0)) as site, unnest(ls) as line,
+               generate_subscripts(ls, 1) as pos from d
+    ), k as (
+        select *, trim(line, {SPACE}) as bare from l
+    ), shared as (
+        select bare from k where bare <> '' group by bare
+        having count(distinct site) >= {lines.MIN_SITES}
+    ), kept as (
+        select r, string_agg(line, chr(10) order by pos) as text, count(*) as n
+        from k where bare not in (select bare from shared) group by r
+    )
+    select d.doc_id, case when d.text is not null then coalesce(kept.text, '') end as text,
+           coalesce(len(d.ls) - coalesce(kept.n, 0), 0)::int as n_removed_lines
+    from d left join kept using (r)
+"""
+
+
+def mix_sql(sweeps: int = mixing.SWEEPS, temper: float = mixing.TEMPER) -> str:
+    """The raking unrolled, one statement for each sweep and margin."""
+
+    def share(marks: str) -> str:
+        return (
+            f"(length(text) - length(translate(text, '{marks}', ''))) * 100 "
+            "/ greatest(length(text), 1)"
+        )
+
+    margins = ("source", "lang", "topic")
+    steps = [
+        f"""d as materialized (
+            select doc_id, coalesce(source, '{mixing.NONE}') as source,
+                   coalesce(lang, '{mixing.NONE}') as lang,
+                   case when text is null or text = '' then 'empty'
+                        when {share("|")} >= 3 then 'table'
+                        when {share("#*$%&<>{}=")} >= 3 then 'markup'
+                        when length(text) < 1000 then 'note' else 'prose' end as topic,
+                   len({WORDS}) as tokens,
+                   cast('0x' || substr(md5('1:' || coalesce(doc_id::varchar, text, '')), 1, 8)
+                        as bigint) / 4294967296.0 as u
+            from documents)""",
+        "c as materialized (select source, lang, topic, sum(tokens)::double as tokens "
+        "from d group by all)",
+    ]
+    for m in margins:
+        steps.append(
+            f"goal_{m} as materialized (select {m}, "
+            f"pow(sum(tokens), {temper}) / sum(pow(sum(tokens), {temper})) over () as share "
+            f"from c group by {m} having sum(tokens) > 0)"
+        )
+    last = "w0"
+    steps.append(
+        "w0 as materialized (select *, tokens / nullif(sum(tokens) over (), 0) as w from c)"
+    )
+    for k in range(sweeps):
+        for m in margins:
+            name = f"w{k}_{m}"
+            steps.append(
+                f"{name} as materialized (select x.* replace (w * coalesce(coalesce(share, 0) "
+                f"/ nullif(sum(w) over (partition by x.{m}), 0), 0) as w) "
+                f"from {last} x left join goal_{m} g using ({m}))"
+            )
+            last = name
+    steps.append(
+        "p as (select source, lang, topic, coalesce(w / nullif(tokens, 0) "
+        f"/ nullif(max(w / nullif(tokens, 0)) over (), 0), 0) as p from {last})"
+    )
+    return (
+        "with "
+        + ", ".join(steps)
+        + " select doc_id, source, lang, topic, tokens, round(p, 6) as probability, "
+        "u < p as sampled from d join p using (source, lang, topic)"
+    )
 
 
-@query(
-    "op1_mix_sources",
-    None,
-)
+# --- Queries ------------------------------------------------------------------
+
+
+@query("op1_mix_sources", mix_sql())
 def op1(read):
     """Raked weights, calibrated probabilities and the draw for every document."""
     mixed = mixing.mix(read("documents"))
     return mixed.select(
         "doc_id",
-        "source",
-        "lang",
+        F.coalesce("source", F.lit(mixing.NONE)).alias("source"),
+        F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"),
         "mix.topic",
         "mix.tokens",
         F.round("mix.probability", 6).alias("probability"),
@@ -106,7 +224,7 @@ def op3(read):
     )
 
 
-@query("op4_line_spread")
+@query("op4_line_spread", LINES_SQL)
 def op4(read):
     """Documents without the lines that many sites share."""
     return lines.without_shared_lines(read("documents")).select(
@@ -178,7 +296,7 @@ def op8(read):
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-@query("op9_quality_cascade")
+@query("op9_quality_cascade", QUALITY_SQL)
 def op9(read):
     """Measures and verdict of every document."""
     judged = cascade.quality_cascade(read("documents"), measures=MEASURES)
