@@ -10,13 +10,13 @@ decides: sum of the smaller counts over sum of the larger.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ BLOCKS = 8
 #: Words of benchmark items that one pass over the documents looks for.
 PASS_WORDS = 2_000_000
 
-TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+TOKEN = re.compile(r"[^\W_]+")
 ODD = np.random.default_rng(5).integers(1, 2**63, SHINGLE, np.uint64) * 2 + 1
 
 
@@ -106,6 +106,11 @@ class Searcher:
             k: np.unique(np.array([h for x in items if x.shingle == k for h in x.counts], np.uint64))
             for k in sorted({x.shingle for x in items})
         }
+        #: Lengths of the items that have a shingle.
+        self.lengths: dict[int, set[int]] = defaultdict(set)
+        for item in items:
+            for h in item.counts:
+                self.lengths[h].add(item.words)
         self.bits = {k: self.low_bits(known) for k, known in self.known.items()}
 
     @staticmethod
@@ -127,17 +132,22 @@ class Searcher:
         best: dict[int, tuple] = {}
         tokens = token_hashes(text)
         hashes = {k: shingle_hashes(tokens, k) for k in self.known}
-        hits = {k: self.shared(h, k) for k, h in hashes.items()}
-        for words, blocks in self.blocks.items():
-            size = min(SHINGLE, words)
+        hits: dict[int, list[int]] = defaultdict(list)
+        for k, found in hashes.items():
+            for at in self.shared(found, k).tolist():
+                for words in self.lengths[int(found[at])]:
+                    if min(SHINGLE, words) == k:
+                        hits[words].append(at)
+        for words, at in sorted(hits.items()):
+            size, blocks = min(SHINGLE, words), self.blocks[words]
             held, n = words - size + 1, len(tokens) - words + 1
             # A window as similar as asked shares so many shingles with its item;
             # the others need no fingerprint.
             least = max(1, int(np.ceil(self.similarity * held - 1e-9)))
-            if n < 1 or len(hits[size]) < least:
+            if n < 1 or len(at) < least:
                 continue
             marks = np.zeros(len(hashes[size]) + 1, np.int64)
-            marks[hits[size] + 1] = 1
+            marks[np.array(at) + 1] = 1
             marks = np.cumsum(marks)
             for s in np.flatnonzero(marks[held : held + n] - marks[:n] >= least).tolist():
                 window = hashes[size][s : s + held]
