@@ -21,7 +21,10 @@ DOUBLES = {
     "longest_bands": ("longest_side_lower", "longest_side_upper", "amount"),
     "fc_zip_distance": ("dist_miles",),
     "wms_proxy": ("fdxhd_proxy", "ontrgd_proxy"),
+    "shipments_again": ("length", "width", "height", "weight"),
+    "longest_bands_two": ("longest_side_lower", "longest_side_upper", "amount"),
     "resi": ("resi_amount",),
+    "resi_two": ("resi_amount",),
     "das": ("amount",),
     "weight_bands": ("weight_lower", "weight_upper", "amount"),
     "second_bands": (
@@ -125,6 +128,6 @@ def prelude(text: str, extra: dict[str, str] | None = None) -> str:
         if name in DOUBLES:
             casts = ", ".join(f"cast({c} as double) as {c}" for c in DOUBLES[name])
             body = f"select * replace ({casts}) from ({body})"
-        parts.append(f"{name} as ({body})")
+        parts.append(f"{name} as materialized ({body})")
     parts += [f"{n} as ({extra[n].strip()})" for n in steps]
     return (f"with {', '.join(parts)} " if parts else "") + text

@@ -167,4 +167,23 @@ RECIPES = {
         else 'expansion' end as source from (select distinct z, zip5 from lane_grid) q cross join
         (values (0),(7)) gg(g)
     """,
+    "shipments_again": """
+        select * from shipments union all select s.order_id, s.tracking_number, s.zip5, b.fc_name,
+        case when s.carrier_code = 'FDXHD' then 'ONTRGD' else 'FDXHD' end as carrier_code,
+        'second' as route, s.order_placed_ts, s.release_ts + interval '9' hour as release_ts,
+        s.actual_ship_ts + interval '24' hour as actual_ship_ts, s.first_attempt_ts,
+        s.promised_date, s.length + 20 as length, s.width, s.height, s.weight + 3 as weight,
+        s.units + 1 as units from shipments s join fcs a on a.fc_name = s.fc_name join fcs b on
+        b.fc_i = (a.fc_i + 3) % 13 where s.order_id % 3 = 0
+    """,
+    "longest_bands_two": """
+        select * from longest_bands union all select carrier_code, zone, longest_side_lower - 2.0 as
+        longest_side_lower, longest_side_upper, amount + 2.5 as amount, charge_type, start_date,
+        date '2025-11-09' as end_date from longest_bands where zone % 2 = 0
+    """,
+    "resi_two": """
+        select carrier_code, resi_amount, start_date, date '2025-11-06' as end_date from resi union
+        all select carrier_code, resi_amount + 0.5 as resi_amount, date '2025-11-05' as start_date,
+        date '2025-11-12' as end_date from resi
+    """,
 }

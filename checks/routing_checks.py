@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
@@ -216,28 +218,26 @@ def join_package_facts(w: World):
 
 
 LANE_JOIN_SQL = """
-    select c.order_id, c.tracking_number, c.fc_name, m.mode, m.routeid, m.zone, m.cutoff
+    select c.order_id, c.tracking_number, c.fc_name, m.mode, m.routeid, m.zone,
+           cast(split_part(m.cutoff, ':', 1) as int) * 3600
+             + cast(split_part(m.cutoff, ':', 2) as int) * 60
+             + cast(split_part(m.cutoff, ':', 3) as int) as cutoff_seconds
     from candidates c join smap_baseline m
       on m.zip5 = c.zip5 and m.fcname = c.fc_name
      and m.shipdate = cast(c.order_placed_ts as date)
 """
 
 
+def _open(w: World, routes):
+    packages = lanes.candidate_packages(w.candidates, w.shipments)
+    return lanes.package_lanes(packages, w.smap(), routes)
+
+
 @check("join_lane", LANE_JOIN_SQL)
 def join_lane(w: World):
-    routes = w.smap().select(
-        "zip5",
-        F.col("fcname").alias("fc_name"),
-        F.col("shipdate").alias("day"),
-        "mode",
-        "routeid",
-        "zone",
-        "cutoff",
-    )
-    return (
-        w.candidates.withColumn("day", F.to_date("order_placed_ts"))
-        .join(routes, ["zip5", "fc_name", "day"])
-        .select(*stock.PACKAGE, "fc_name", "mode", "routeid", "zone", "cutoff")
+    open_lanes = _open(w, lanes.open_routes(w.smap()))
+    return open_lanes.select(
+        *stock.PACKAGE, "fc_name", "mode", "routeid", "zone", "cutoff_seconds"
     )
 
 
@@ -252,21 +252,8 @@ def join_lane(w: World):
     """,
 )
 def join_dedup_side(w: World):
-    zones = (
-        w.smap()
-        .select(
-            "zip5",
-            F.col("fcname").alias("fc_name"),
-            F.col("shipdate").alias("day"),
-            "mode",
-            "zone",
-        )
-        .distinct()
-    )
-    return (
-        w.candidates.withColumn("day", F.to_date("order_placed_ts"))
-        .join(zones, ["zip5", "fc_name", "day"])
-        .select(*stock.PACKAGE, "fc_name", "mode", "zone")
+    return _open(w, lanes.priced_zones(w.smap())).select(
+        *stock.PACKAGE, "fc_name", "mode", F.col("cost_zone").alias("zone")
     )
 
 
@@ -349,32 +336,12 @@ COST_LANE = ["order_id", "tracking_number", "fc_name", "mode", "cost_zone"]
 
 
 def _cost_lanes(w: World):
+    """Lanes with what prices them, as the library makes them."""
+
     def build():
-        zones = (
-            w.smap()
-            .select(
-                "zip5",
-                F.col("fcname").alias("fc_name"),
-                F.col("shipdate").alias("day"),
-                "mode",
-                F.col("zone").alias("cost_zone"),
-            )
-            .distinct()
-        )
-        dims = rates.package_dims(_facts(w)).select(
-            *stock.PACKAGE,
-            "ship_date",
-            "weight",
-            "longest_side",
-            "second_side",
-            "length_plus_girth",
-            "charged_weight",
-        )
-        return (
-            w.candidates.withColumn("day", F.to_date("order_placed_ts"))
-            .join(zones, ["zip5", "fc_name", "day"])
-            .join(dims, stock.PACKAGE)
-        )
+        packages = lanes.candidate_packages(w.candidates, w.shipments)
+        open_lanes = lanes.package_lanes(packages, w.smap(), lanes.priced_zones(w.smap()))
+        return open_lanes.select(*COST_LANE, *lanes.LANE_KEYS, *lanes.PRICED_BY)
 
     return w.saved("cost_lanes", build)
 
@@ -386,8 +353,7 @@ def _register_card(name, join, card, column):
         "from charges_baseline",
     )
     def attach(w: World):
-        side = getattr(w.cards.checked(), card)
-        return join(_cost_lanes(w), side).select(*COST_LANE, column)
+        return join(_cost_lanes(w), w.cards.side(card)).select(*COST_LANE, column)
 
 
 for _args in (
@@ -427,7 +393,7 @@ COST_SQL = """
 
 @check("lane_cost", COST_SQL)
 def lane_cost(w: World):
-    return rates.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
+    return lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
 
 
 @check(
@@ -440,7 +406,7 @@ def lane_cost(w: World):
 )
 def total_amount(w: World):
     return (
-        rates.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
+        lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
         .groupBy("mode", "zone")
         .agg(
             F.count(F.lit(1)).alias("lanes"),
@@ -453,16 +419,20 @@ def total_amount(w: World):
 # --- lanes ------------------------------------------------------------------
 def _costs(w: World):
     return w.saved(
-        "costs", lambda: rates.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
+        "costs", lambda: lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
     )
 
 
 def _options(w: World):
     return lanes.lane_options(
-        w.candidates, w.smap(), w.shipments, _costs(w), w.fc_zip_distance
+        w.candidates, w.smap(), w.shipments, w.cards, w.fc_zip_distance
     )
 
 
+def _ranked(w: World):
+    return lanes.rank_lanes(_options(w), lanes.LANE_GROUP)
+
+
 @check(
     "choose_lane",
     """
@@ -474,7 +444,7 @@ def _options(w: World):
 )
 def choose_lane(w: World):
     return lanes.choose_lane(
-        w.candidates, w.smap(), w.shipments, _costs(w), w.fc_zip_distance
+        w.candidates, w.smap(), w.shipments, w.cards, w.fc_zip_distance
     )
 
 
@@ -486,7 +456,7 @@ def choose_lane(w: World):
     """,
 )
 def win_rank_lane(w: World):
-    return lanes.rank_lanes(_options(w), stock.PACKAGE).select(
+    return _ranked(w).select(
         *stock.PACKAGE, "fc_name", "mode", "routeid", "row_n"
     )
 
@@ -499,14 +469,14 @@ def win_rank_lane(w: World):
     """,
 )
 def win_conditional_max(w: World):
-    return lanes.rank_lanes(_options(w), stock.PACKAGE).select(
+    return _ranked(w).select(
         *stock.PACKAGE, "fc_name", "mode", "routeid", "cost", "selected_cost"
     )
 
 
 @check("cost_neutral_fcs", "select * from neutral_baseline")
 def cost_neutral_fcs(w: World):
-    return lanes.cost_neutral_fcs(lanes.rank_lanes(_options(w), stock.PACKAGE))
+    return lanes.cost_neutral_fcs(_ranked(w))
 
 
 @check(
@@ -525,11 +495,10 @@ def win_array_agg(w: World):
 @check(
     "join_distance",
     """
-    select shipdate, fcname as fc_name, zip5, mode, distance from (
-      select cast(m.shipdate as varchar) as shipdate, m.fcname, m.zip5, m.mode,
-             coalesce(g.dist_miles, 10000) as distance
-      from smap_baseline m left join fc_zip_distance g
-        on g.postcode = m.zip5 and g.fc_name = m.fcname)
+    select cast(m.shipdate as varchar) as shipdate, m.fcname as fc_name, m.zip5, m.mode,
+           coalesce(g.dist_miles, 10000) as distance
+    from smap_baseline m left join fc_zip_distance g
+      on g.postcode = m.zip5 and g.fc_name = m.fcname
     """,
 )
 def join_distance(w: World):
@@ -562,9 +531,7 @@ def join_lane_cost(w: World):
     """,
 )
 def join_actual_cost(w: World):
-    used = w.shipments.select(*stock.PACKAGE, "fc_name", "carrier_code")
-    costs = _costs(w).withColumnRenamed("mode", "carrier_code").drop("zone")
-    return used.join(costs, [*stock.PACKAGE, "fc_name", "carrier_code"], "left")
+    return lanes.actual_cost(w.shipments, _costs(w))
 
 
 @check(
@@ -577,7 +544,7 @@ def join_actual_cost(w: World):
     """,
 )
 def join_cost_neutral(w: World):
-    ranked = lanes.rank_lanes(_options(w), stock.PACKAGE)
+    ranked = _ranked(w)
     winners = ranked.where(F.col("row_n") == 1).select(*stock.PACKAGE, "fc_name")
     return winners.join(lanes.cost_neutral_fcs(ranked), stock.PACKAGE, "left")
 
@@ -597,6 +564,43 @@ def routing_result_expansion(w: World):
     return w.build_routing("expansion")
 
 
+def _routed(w: World, shipments, cards):
+    return lanes.routing_result(
+        shipments,
+        w.order_lines,
+        w.inventory,
+        w.smap(),
+        cards,
+        w.fc_zip_distance,
+        START,
+        END,
+    )
+
+
+@check("routing_result_two_shipments", ROUTING_SQL.format("baseline_again"))
+def routing_result_two_shipments(w: World):
+    """A third of the packages have a second shipment row from another FC."""
+    return _routed(w, w.shipments_again, w.cards)
+
+
+@check("routing_result_overlapping_cards", ROUTING_SQL.format("baseline_two"))
+def routing_result_overlapping_cards(w: World):
+    """Bands and residential rates that overlap on some days, and lack others."""
+    cards = replace(w.cards, longest_bands=w.longest_bands_two, resi=w.resi_two)
+    return _routed(w, w.shipments, cards)
+
+
+@check(
+    "lane_cost_two_shipments",
+    """
+    select order_id, tracking_number, fc_name, mode, zone, total_amount
+    from costs_baseline_again
+    """,
+)
+def lane_cost_two_shipments(w: World):
+    return lanes.lane_cost(w.candidates, w.smap(), w.shipments_again, w.cards)
+
+
 # --- lane columns -----------------------------------------------------------
 @check(
     "cutoff_normalize",

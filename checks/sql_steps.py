@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lanewise import params as P
 
 FCS = ", ".join(f"'{fc}'" for fc in P.FCS)
@@ -124,6 +126,7 @@ def cost_steps(tag: str) -> dict[str, str]:
                  and z.shipdate = cast(c.order_placed_ts as date)
             join dims d
               on d.order_id = c.order_id and d.tracking_number = c.tracking_number
+             and cast(d.order_placed_ts as date) {DAYS}
         """,
         f"charges_{tag}": f"""
             select l.*, br.base_charge as base_rate, r.resi_amount,
@@ -181,7 +184,7 @@ def cost_steps(tag: str) -> dict[str, str]:
                         then m.adjtnt else m.nextadjtnt end as tnt,
                    k.total_amount, coalesce(g.dist_miles, 10000) as distance
             from candidates c
-            join packages p
+            join (select distinct order_id, tracking_number, release_ts from shipments) p
               on p.order_id = c.order_id and p.tracking_number = c.tracking_number
             join smap_{tag} m on m.zip5 = c.zip5 and m.fcname = c.fc_name
               and m.shipdate = cast(c.order_placed_ts as date)
@@ -229,7 +232,7 @@ def cost_steps(tag: str) -> dict[str, str]:
                    case when p.promised_date >= cast(p.first_attempt_ts as date) then 1
                         when p.first_attempt_ts is null then null else 0 end as dea_flag
             from ranked_{tag} w
-            join packages p
+            join shipments p
               on p.order_id = w.order_id and p.tracking_number = w.tracking_number
             left join costs_{tag} k on k.order_id = w.order_id
               and k.tracking_number = w.tracking_number and k.fc_name = p.fc_name
@@ -244,6 +247,27 @@ def cost_steps(tag: str) -> dict[str, str]:
 for _tag in ("baseline", "remediation", "expansion"):
     STEPS.update(cost_steps(_tag))
 
+
+def over(suffix: str, *inputs: str) -> dict[str, str]:
+    """The steps to the routing of the baseline over other inputs.
+
+    Statements that depend on an input take the suffix, and so does the input.
+    """
+    names = {name: f"{name}_{suffix}" for name in inputs}
+    found = {}
+    for name, text in STEPS.items():
+        if names.keys() & set(re.findall(r"\w+", text)):
+            names[name] = f"{name}_{suffix}"
+            found[names[name]] = re.sub(
+                r"\w+(?!\.)", lambda m: names.get(m[0], m[0]), text
+            )
+        if name == "routing_baseline":
+            return found
+    return found
+
+
+STEPS |= over("again", "shipments") | over("two", "longest_bands", "resi")
+
 CHALLENGER_DAY = "mode = 'ONTRGD' and shipdate = date '2025-11-14'"
 
 

@@ -13,7 +13,7 @@ from checks.inputs import Inputs, key_of
 from lanewise import params as P
 from lanewise.operators import signals, whatif, zips
 from lanewise.operators.lanes import routing_result
-from lanewise.operators.rates import RateCards
+from lanewise.operators.rates import CARDS, RateCards
 from lanewise.operators.scoring import expansion_score, remediation_score
 from lanewise.operators.shipmap import ship_map_for
 from lanewise.operators.stock import fulfillable_fcs
@@ -50,6 +50,7 @@ class World(Inputs):
             girth_bands=self.girth_bands,
             peak=self.peak,
             fuel=self.fuel,
+            small=frozenset(CARDS),  # as RateCards.checked() finds them
         )
 
     def build_smap(self, scenario: str) -> DataFrame:

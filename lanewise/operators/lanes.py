@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from lanewise import params as P
 from lanewise.functions import calendar, codes, package
 from lanewise.operators.rates import RateCards, package_dims, with_charges
-from lanewise.operators.skew import SALT, hot_keys, salted_join
-from lanewise.operators.stock import (
-    PACKAGE,
-    fc_sets,
-    shipped_packages,
-    stocked_lines,
-)
+from lanewise.operators.skew import SALT, hot_pairs, salted_join
+from lanewise.operators.stock import PACKAGE, fc_sets, stocked_lines
 
 LANE_KEYS = ["zip5", "order_placed_date"]
+# What the price of a lane depends on, from a shipment row.
+PRICED_BY = [
+    "ship_date",
+    "weight",
+    "longest_side",
+    "second_side",
+    "length_plus_girth",
+    "charged_weight",
+]
+# Zip, day and slice are functions of the package: grouped by all of them, lanes
+# keep the partitioning of the ship map join.
+LANE_GROUP = [*LANE_KEYS, SALT, *PACKAGE]
 
 
 def attach_distance(lanes: DataFrame, distances: DataFrame) -> DataFrame:
@@ -96,131 +103,226 @@ def open_routes(ship_map: DataFrame) -> DataFrame:
     )
 
 
-def lane_options(
+def priced_routes(ship_map: DataFrame, distances: DataFrame) -> DataFrame:
+    """Routes with distance, one row per zone the same lane is priced at.
+
+    A route takes the cost of its (FC, carrier) lane, so a lane listed under
+    two zones is priced at both.
+    """
+    lane = Window.partitionBy(*LANE_KEYS, "fc_name", "mode")
+    zones = F.collect_set(F.struct("zone")).over(lane)
+    routes = open_routes(ship_map).withColumn("_zones", zones)
+    routes = routes.withColumn("_zone", F.explode("_zones"))
+    routes = routes.withColumn("cost_zone", F.col("_zone.zone")).drop("_zone", "_zones")
+    return attach_distance(routes, distances)
+
+
+def priced_zones(ship_map: DataFrame) -> DataFrame:
+    """The zones at which the lanes of the map are priced."""
+    return (
+        open_routes(ship_map)
+        .select(*LANE_KEYS, "fc_name", "mode", F.col("zone").alias("cost_zone"))
+        .distinct()
+    )
+
+
+def package_facts(shipments: DataFrame, start=None, end=None, fcs=None) -> DataFrame:
+    """One row per package with the distinct facts of all its shipment rows.
+
+    ``scopes`` has zip and order moment of the rows of the days shipped by the
+    listed FCs, ``prices`` what lane costs depend on, of the rows of the days,
+    ``releases`` and ``outcomes`` those of every row.  Nearly always each holds
+    one entry.
+    """
+    placed = F.lit(True)
+    if start is not None:
+        placed = calendar.within_days("order_placed_ts", start, end)
+    listed = F.lit(True) if fcs is None else F.col("fc_name").isin(*fcs)
+    outcome = F.struct(
+        F.col("fc_name").alias("fc"),
+        F.col("carrier_code").alias("carrier"),
+        "route",
+        "ship_date",
+        F.col("units").cast("bigint").alias("units"),
+        calendar.days_between("first_attempt_ts", "order_placed_ts").alias("ctd"),
+        calendar.days_between("first_attempt_ts", "actual_ship_ts").alias("std"),
+        package.on_time_flag("promised_date", "first_attempt_ts").alias("dea"),
+    )
+    day = F.col("actual_ship_ts").cast("date")
+    rows = package_dims(shipments.dropna(subset=PACKAGE).withColumn("ship_date", day))
+    return rows.groupBy(*PACKAGE).agg(
+        F.collect_set(F.when(placed & listed, F.struct("zip5", "order_placed_ts"))).alias(
+            "scopes"
+        ),
+        F.collect_set(F.when(placed, F.struct(*PRICED_BY))).alias("prices"),
+        F.collect_set(F.struct("release_ts")).alias("releases"),
+        F.collect_set(outcome).alias("outcomes"),
+    )
+
+
+def shipped_packages_with(facts: DataFrame) -> DataFrame:
+    """Packages with zip and order day, once for each release and price basis."""
+    outcomes = F.col("outcomes")
+    return (
+        facts.withColumn("_price", F.explode_outer("prices"))
+        .withColumn("_release", F.explode("releases"))
+        .withColumn("release_ts", F.col("_release.release_ts"))
+        .withColumn("order_placed_date", F.col("order_placed_ts").cast("date"))
+        .select(
+            *PACKAGE,
+            *LANE_KEYS,
+            "fcs",
+            release_seconds().alias("release_seconds"),
+            *(F.col(f"_price.{c}").alias(c) for c in PRICED_BY),
+            F.transform(outcomes, lambda o: F.struct(o["fc"], o["carrier"])).alias("used"),
+            "outcomes",
+        )
+    )
+
+
+def served_packages(
+    shipments: DataFrame,
+    order_lines: DataFrame,
+    inventory: DataFrame,
+    start,
+    end,
+    fcs=P.FCS,
+) -> DataFrame:
+    """Packages of the days with the set of FCs that could have served them.
+
+    Facts and FC sets are both made by package, so their join shuffles neither.
+    """
+    served = fc_sets(stocked_lines(order_lines, inventory, start, end), fcs)
+    facts = package_facts(shipments, start, end, fcs)
+    scoped = facts.withColumn("_scope", F.explode("scopes")).select(
+        "*", F.col("_scope.zip5"), F.col("_scope.order_placed_ts")
+    )
+    return shipped_packages_with(scoped.join(served, PACKAGE))
+
+
+def candidate_packages(candidates: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The same from (package, FC) rows."""
+    served = candidates.groupBy(*PACKAGE, "zip5", "order_placed_ts").agg(
+        F.collect_set("fc_name").alias("fcs")
+    )
+    return shipped_packages_with(served.join(package_facts(shipments), PACKAGE))
+
+
+def package_lanes(packages: DataFrame, ship_map: DataFrame, routes: DataFrame) -> DataFrame:
+    """Every lane of ``routes`` open to a package, with what prices it.
+
+    Packages carry their FC set (at most one entry per FC) through the shuffle
+    to the ship map, one row each.  Keys under which packages times routes make
+    more than a slice are cut into slices.  What the result needs of the package
+    is computed before the lanes fan out; few columns keep the generated code of
+    the pricing joins below the size the JVM compiles.
+    """
+    hot = hot_pairs(packages.select(*LANE_KEYS), open_routes(ship_map), LANE_KEYS)
+    return (
+        salted_join(
+            packages, routes, LANE_KEYS, "inner", salt_on=PACKAGE, hot=hot, keep_salt=True
+        )
+        .where(F.array_contains("fcs", F.col("fc_name")))
+        .drop("fcs")
+    )
+
+
+def lane_cost(
     candidates: DataFrame,
     ship_map: DataFrame,
     shipments: DataFrame,
-    costs: DataFrame,
-    distances: DataFrame,
+    cards: RateCards,
 ) -> DataFrame:
-    """Every route a candidate FC could have used, with cost; lanes without cost stay."""
-    release = shipments.select(*PACKAGE, "release_ts")
-    priced = costs.select(*PACKAGE, "fc_name", "mode", "total_amount")
-    lanes = (
-        candidates.join(release, PACKAGE)
-        .withColumn("order_placed_date", F.col("order_placed_ts").cast("date"))
-        .withColumn("release_seconds", release_seconds())
-        .drop("release_ts", "order_placed_ts")
-        .join(open_routes(ship_map), [*LANE_KEYS, "fc_name"])
-        .join(priced, [*PACKAGE, "fc_name", "mode"], "left")
+    """Cost of every (package, FC, carrier, zone) lane open on the order day."""
+    packages = candidate_packages(candidates, shipments).drop(
+        "release_seconds", "used", "outcomes"
     )
-    return with_transit(attach_distance(lanes, distances))
+    lanes = package_lanes(packages, ship_map, priced_zones(ship_map))
+    columns = [
+        *PACKAGE,
+        "fc_name",
+        "mode",
+        F.col("cost_zone").alias("zone"),
+        "total_amount",
+    ]
+    priced = with_charges(lanes, cards).select(*LANE_KEYS, SALT, *columns)
+    return priced.distinct().drop(*LANE_KEYS, SALT)
 
 
-def choose_lane(
+def lane_options(
     candidates: DataFrame,
     ship_map: DataFrame,
     shipments: DataFrame,
-    costs: DataFrame,
+    cards: RateCards,
     distances: DataFrame,
 ) -> DataFrame:
-    """The winning lane of each package."""
-    options = lane_options(candidates, ship_map, shipments, costs, distances)
-    ordered = Window.partitionBy(*PACKAGE).orderBy(*lane_order())
+    """Every route a candidate FC could have used, with cost; lanes without cost stay."""
+    packages = candidate_packages(candidates, shipments).drop("used", "outcomes")
+    lanes = package_lanes(packages, ship_map, priced_routes(ship_map, distances))
     return (
-        options.withColumn("row_n", F.row_number().over(ordered))
-        .where(F.col("row_n") == 1)
-        .withColumn("tnt_penalty", package.transit_penalty("tnt"))
+        with_charges(with_transit(lanes), cards)
         .select(
-            *PACKAGE,
-            *LANE_KEYS,
+            *LANE_GROUP,
             "fc_name",
-            F.col("mode").alias("carrier_code"),
+            "mode",
             "routeid",
             "zone",
-            "total_amount",
-            "tnt_penalty",
+            "cost_zone",
+            "preferred",
             "tnt",
             "distance",
+            "total_amount",
         )
+        .distinct()
     )
 
 
-def cost_neutral_fcs(ranked: DataFrame) -> DataFrame:
-    """Per package the sorted FCs that cost the same as the winner, penalty included."""
-    return (
-        ranked.where(F.col("cost") == F.col("selected_cost"))
-        .groupBy(*PACKAGE)
-        .agg(F.array_sort(F.collect_set("fc_name")).alias("cost_neutral_fc"))
-    )
-
-
-def priced_routes(ship_map: DataFrame, distances: DataFrame) -> DataFrame:
-    """Routes with distance, one row per zone the same lane is priced at.
-
-    A route takes the cost of its (FC, carrier) lane, so a lane listed under
-    two zones is priced at both.
-    """
-    routes = open_routes(ship_map)
-    lane = [*LANE_KEYS, "fc_name", "mode"]
-    zones = routes.select(*lane, F.col("zone").alias("cost_zone")).distinct()
-    return attach_distance(routes.join(zones, lane), distances)
+def ranked_options(*tables, **named) -> DataFrame:
+    """The options of each package in their order; arguments of :func:`lane_options`."""
+    return rank_lanes(lane_options(*tables, **named), LANE_GROUP)
 
 
-def package_lanes(
-    shipments: DataFrame,
-    order_lines: DataFrame,
-    inventory: DataFrame,
+def choose_lane(
+    candidates: DataFrame,
     ship_map: DataFrame,
+    shipments: DataFrame,
+    cards: RateCards,
     distances: DataFrame,
-    start,
-    end,
-    fcs=P.FCS,
 ) -> DataFrame:
-    """Every lane open to a package, with all package facts the result needs.
-
-    Packages carry their FC set (at most one entry per FC) through the shuffle
-    to the ship map, one row each; hot (zip, day) keys are cut into slices.
-    What the result needs of the package is computed before the lanes fan out,
-    and travels as two arrays: the lane actually ``used`` (FC, carrier, route)
-    and the ``outcome`` (units, ctd, std, on-time flag).  Few columns keep the
-    generated code of the pricing joins below the size the JVM compiles.
-    """
-    shipped = shipped_packages(shipments, start, end, fcs).withColumns(
-        {
-            "order_placed_date": F.col("order_placed_ts").cast("date"),
-            "ship_date": F.col("actual_ship_ts").cast("date"),
-        }
-    )
-    packages = package_dims(shipped).select(
+    """The winning lane of each package."""
+    ranked = ranked_options(candidates, ship_map, shipments, cards, distances)
+    return ranked.where(F.col("row_n") == 1).select(
         *PACKAGE,
         *LANE_KEYS,
-        release_seconds().alias("release_seconds"),
-        "ship_date",
-        "weight",
-        "longest_side",
-        "second_side",
-        "length_plus_girth",
-        "charged_weight",
-        F.array("fc_name", "carrier_code", "route").alias("used"),
-        F.array(
-            F.col("units").cast("bigint"),
-            calendar.days_between("first_attempt_ts", "order_placed_ts").cast("bigint"),
-            calendar.days_between("first_attempt_ts", "actual_ship_ts").cast("bigint"),
-            package.on_time_flag("promised_date", "first_attempt_ts").cast("bigint"),
-        ).alias("outcome"),
+        "fc_name",
+        F.col("mode").alias("carrier_code"),
+        "routeid",
+        "zone",
+        "total_amount",
+        "tnt_penalty",
+        "tnt",
+        "distance",
     )
-    served = fc_sets(stocked_lines(order_lines, inventory, start, end), fcs)
-    lanes = salted_join(
-        served.join(packages, PACKAGE),
-        priced_routes(ship_map, distances),
-        LANE_KEYS,
-        "inner",
-        salt_on=PACKAGE,
-        hot=hot_keys(shipped.select(*LANE_KEYS), LANE_KEYS),
-        keep_salt=True,
-    ).where(F.array_contains("fcs", F.col("fc_name")))
-    return with_transit(lanes.drop("fcs"))
+
+
+def cost_neutral_fcs(ranked: DataFrame) -> DataFrame:
+    """Per package the sorted FCs that cost the same as the winner, penalty included.
+
+    ``ranked`` comes from :func:`ranked_options`, whose partitioning is kept.
+    """
+    return (
+        ranked.where(F.col("cost") == F.col("selected_cost"))
+        .groupBy(*LANE_GROUP)
+        .agg(F.array_sort(F.collect_set("fc_name")).alias("cost_neutral_fc"))
+        .drop(*LANE_KEYS, SALT)
+    )
+
+
+def actual_cost(shipments: DataFrame, costs: DataFrame) -> DataFrame:
+    """Cost of the lane each shipment row really used, where it was open."""
+    used = shipments.select(*PACKAGE, "fc_name", "carrier_code")
+    priced = costs.withColumnRenamed("mode", "carrier_code").drop("zone")
+    return used.join(priced, [*PACKAGE, "fc_name", "carrier_code"], "left")
 
 
 def routing_result(
@@ -236,28 +338,33 @@ def routing_result(
 ) -> DataFrame:
     """Chosen lane of every package next to what actually happened.
 
-    Zip, day and slice are functions of the package, so windows keyed by all of
-    them rank within a package and reuse the partitioning of the ship map join.
+    A package has one chosen lane and as many rows as distinct shipment rows,
+    whichever FC shipped them, times the costs of the lane really used.
     """
-    lanes = package_lanes(
-        shipments, order_lines, inventory, ship_map, distances, start, end, fcs
-    )
-    keys = [*LANE_KEYS, SALT, *PACKAGE]
-    group = Window.partitionBy(*keys)
-    ranked = rank_lanes(with_charges(lanes, cards), keys)
+    packages = served_packages(shipments, order_lines, inventory, start, end, fcs)
+    lanes = package_lanes(packages, ship_map, priced_routes(ship_map, distances))
+    group = Window.partitionBy(*LANE_GROUP)
+    ranked = rank_lanes(with_charges(with_transit(lanes), cards), LANE_GROUP)
 
     as_cheap = F.when(F.col("cost") == F.col("selected_cost"), F.col("fc_name"))
     neutral = F.array_sort(F.collect_set(as_cheap).over(group))
-    used, outcome = F.col("used"), F.col("outcome")
-    really_used = (F.col("fc_name") == used[0]) & (F.col("mode") == used[1])
-    paid = F.collect_set(
-        F.when(really_used, F.struct(F.col("total_amount").alias("amount")))
-    ).over(group)
+    lane = F.struct(F.col("fc_name").alias("fc"), F.col("mode").alias("carrier"))
+    amount = F.struct(
+        F.col("fc_name").alias("fc"),
+        F.col("mode").alias("carrier"),
+        F.col("total_amount").alias("amount"),
+    )
+    paid = F.collect_set(F.when(F.array_contains("used", lane), amount)).over(group)
+    really = F.filter(
+        "paid",
+        lambda p: (p["fc"] == F.col("act.fc")) & (p["carrier"] == F.col("act.carrier")),
+    )
 
     return (
         ranked.withColumns({"neutral": neutral, "paid": paid})
         .where(F.col("row_n") == 1)
-        .withColumn("paid", F.explode_outer("paid"))
+        .withColumn("act", F.explode("outcomes"))
+        .withColumn("paid", F.explode_outer(really))
         .select(
             *PACKAGE,
             "zip5",
@@ -270,14 +377,14 @@ def routing_result(
             F.col("zone").alias("sim_zone"),
             F.col("tnt").alias("sim_tnt"),
             F.when(F.size("neutral") > 0, F.col("neutral")).alias("cost_neutral_fc"),
-            used[0].alias("act_fc_name"),
-            used[1].alias("act_carrier_code"),
-            used[2].alias("act_route"),
+            F.col("act.fc").alias("act_fc_name"),
+            F.col("act.carrier").alias("act_carrier_code"),
+            F.col("act.route").alias("act_route"),
             F.col("paid.amount").alias("act_transit_cost"),
-            "ship_date",
-            outcome[0].alias("units"),
-            outcome[1].cast("int").alias("ctd"),
-            outcome[2].cast("int").alias("std"),
-            outcome[3].cast("int").alias("dea_flag"),
+            F.col("act.ship_date").alias("ship_date"),
+            F.col("act.units").alias("units"),
+            F.col("act.ctd").cast("int").alias("ctd"),
+            F.col("act.std").cast("int").alias("std"),
+            F.col("act.dea").cast("int").alias("dea_flag"),
         )
     )

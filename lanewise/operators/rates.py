@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import calendar, numbers, package
-from lanewise.operators.skew import checked_broadcast, within_rows
-from lanewise.operators.stock import PACKAGE
+from lanewise.operators.skew import within_rows
 
 UNAUTHORIZED, OVERSIZE, ADDITIONAL = (
     "unauthorized_oversize",
@@ -28,9 +27,26 @@ COUNTED = {
 }
 
 
+CARDS = (
+    "base_rates",
+    "resi",
+    "das",
+    "weight_bands",
+    "longest_bands",
+    "second_bands",
+    "girth_bands",
+    "peak",
+    "fuel",
+)
+
+
 @dataclass(frozen=True)
 class RateCards:
-    """The nine rate cards, each as a frame."""
+    """The nine rate cards, each as a frame.
+
+    ``small`` names the cards known to fit a broadcast.  It changes nothing but
+    the hint: without it Spark decides by its own statistics.
+    """
 
     base_rates: DataFrame
     resi: DataFrame
@@ -41,13 +57,25 @@ class RateCards:
     girth_bands: DataFrame
     peak: DataFrame
     fuel: DataFrame
+    small: frozenset = frozenset()
 
     def frames(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in CARDS}
 
     def checked(self) -> "RateCards":
-        """The cards marked for broadcast as far as their size allows it."""
-        return RateCards(**checked_broadcast(self.frames()))
+        """The cards with their sizes checked by one bounded count.
+
+        To be run once, when the cards are loaded; operators start no job.
+        """
+        fits = within_rows(self.frames())
+        return replace(self, small=frozenset(n for n, fit in fits.items() if fit))
+
+    def hinted(self, df: DataFrame, *names: str) -> DataFrame:
+        """``df``, made from the named cards, with the hint if all are small."""
+        return F.broadcast(df) if self.small.issuperset(names) else df
+
+    def side(self, name: str) -> DataFrame:
+        return self.hinted(getattr(self, name), name)
 
 
 def package_dims(df: DataFrame) -> DataFrame:
@@ -150,25 +178,6 @@ def _all_bands(cards: "RateCards") -> DataFrame:
     )
 
 
-def bands_overlap(cards: "RateCards") -> bool:
-    """Whether some package could fall into two entries of one band card."""
-    key = ["card", "book_carrier", "book_zone"]
-    bounds = ["lower", "upper", "start", "end"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*bounds))
-    left = _all_bands(cards).select(*key, *bounds, place.alias("place"))
-    right = left.select(
-        *key, *(F.col(c).alias(f"other_{c}") for c in [*bounds, "place"])
-    )
-    both = (
-        (F.col("place") < F.col("other_place"))
-        & (F.col("lower") < F.col("other_upper"))
-        & (F.col("other_lower") < F.col("upper"))
-        & (F.col("start") <= F.col("other_end"))
-        & (F.col("other_start") <= F.col("end"))
-    )
-    return not left.join(right, key).where(both).isEmpty()
-
-
 def band_book(cards: "RateCards") -> DataFrame:
     """All bands of a (carrier, zone) in one row, an array per measure."""
     entry = F.struct("lower", "upper", "amount", "type", "counts", "start", "end")
@@ -178,35 +187,34 @@ def band_book(cards: "RateCards") -> DataFrame:
     return _all_bands(cards).groupBy("book_carrier", "book_zone").agg(*arrays)
 
 
+def _applies(value: Column, day: Column):
+    return lambda r: (
+        (value > r["lower"])
+        & (value <= r["upper"])
+        & day.between(r["start"], r["end"])
+    )
+
+
 def join_band_book(lanes: DataFrame, book: DataFrame) -> DataFrame:
     """Attach the charges of all four bands by one lookup.
 
-    For cards without overlaps: at most one entry of a card applies.
+    The entries that apply are picked once for each card; where entries of a
+    card overlap the lane gets one row for each.
     """
     on = (F.col("mode") == F.col("book_carrier")) & (
         F.col("cost_zone") == F.col("book_zone")
     )
-
-    def hit(tag: str) -> Column:
-        value, day = F.col(BANDS[tag][0]), F.col("ship_date")
-        hits = F.filter(
-            tag,
-            lambda r: (value > r["lower"])
-            & (value <= r["upper"])
-            & day.between(r["start"], r["end"]),
+    found = lanes.join(book, on, "left").drop("book_carrier", "book_zone")
+    day = F.col("ship_date")
+    for tag, (measure, _, _) in BANDS.items():
+        hits = F.filter(tag, _applies(F.col(measure), day))
+        hit = F.explode_outer(hits).alias("_hit")
+        rest = [c for c in found.columns if c != tag]
+        parts = ("amount", "type", "counts")
+        found = found.select(*rest, hit).select(
+            *rest, *(F.col(f"_hit.{part}").alias(f"{tag}_{part}") for part in parts)
         )
-        return F.try_element_at(hits, F.lit(1))
-
-    found = {
-        f"{tag}_{part}": hit(tag)[part]
-        for tag in BANDS
-        for part in ("amount", "type", "counts")
-    }
-    return (
-        lanes.join(book, on, "left")
-        .withColumns(found)
-        .drop("book_carrier", "book_zone", *BANDS)
-    )
+    return found
 
 
 def flat_amounts(cards: "RateCards") -> DataFrame:
@@ -253,7 +261,7 @@ def flat_amounts(cards: "RateCards") -> DataFrame:
         inside = (F.col("flat_carrier") == F.col("carrier")) & F.col(
             "flat_start"
         ).between(F.col("first"), F.col("last"))
-        merged = merged.join(F.broadcast(side), inside, "left").drop(
+        merged = merged.join(cards.hinted(side, name), inside, "left").drop(
             "carrier", "first", "last"
         )
     return merged
@@ -402,73 +410,20 @@ def total_amount() -> Column:
 def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
     """Attach every charge to lanes that carry the package dimensions.
 
-    All cards are small by nature; each is broadcast once its size is checked,
-    so the lanes are not shuffled.  The four band cards and the three flat cards
-    meet each other before they meet the lanes: four lookups instead of nine
-    keep the generated code below the size the JVM compiles.
+    The four band cards and the three flat cards meet each other before they
+    meet the lanes: four lookups instead of nine keep the generated code below
+    the size the JVM compiles.  The plan is the same for all cards; the size
+    check of :meth:`RateCards.checked` only adds the broadcast hints.
     """
-    frames = cards.frames()
-    fits = within_rows(frames)
-    small = {n: F.broadcast(df) if fits[n] else df for n, df in frames.items()}
-    priced = lanes.transform(join_base_rate, small["base_rates"]).transform(
-        join_das, small["das"]
-    )
-    band_names = [card for _, card, _ in BANDS.values()]
-    if all(fits[n] for n in band_names) and not bands_overlap(cards):
-        priced = join_band_book(priced, F.broadcast(band_book(cards)))
-    else:
-        priced = (
-            priced.transform(join_weight_band, small["weight_bands"])
-            .transform(join_longest_band, small["longest_bands"])
-            .transform(join_second_band, small["second_bands"])
-            .transform(join_girth_band, small["girth_bands"])
-        )
-    if all(fits[n] for n in ("resi", "peak", "fuel")):
-        priced = join_flat_amounts(priced, F.broadcast(flat_amounts(cards)))
-    else:
-        priced = (
-            priced.transform(join_resi, small["resi"])
-            .transform(join_peak, small["peak"])
-            .transform(join_fuel, small["fuel"])
-        )
+    band_cards = [card for _, card, _ in BANDS.values()]
+    book = cards.hinted(band_book(cards), *band_cards)
+    flat = cards.hinted(flat_amounts(cards), "resi", "peak", "fuel")
     return (
-        priced.withColumn("handling_class", handling_class())
+        lanes.transform(join_base_rate, cards.side("base_rates"))
+        .transform(join_das, cards.side("das"))
+        .transform(join_band_book, book)
+        .transform(join_flat_amounts, flat)
+        .withColumn("handling_class", handling_class())
         .withColumn("handling_amount", handling_charge())
         .withColumn("total_amount", total_amount())
     )
-
-
-def lane_cost(
-    candidates: DataFrame,
-    ship_map: DataFrame,
-    shipments: DataFrame,
-    cards: RateCards,
-) -> DataFrame:
-    """Cost of every (package, FC, carrier, zone) lane open on the order day."""
-    zones = ship_map.select(
-        F.col("fcname").alias("fc_name"),
-        "zip5",
-        F.col("shipdate").alias("order_day"),
-        "mode",
-        F.col("zone").alias("cost_zone"),
-    ).distinct()
-    facts = shipments.select(
-        *PACKAGE,
-        "length",
-        "width",
-        "height",
-        "weight",
-        F.col("actual_ship_ts").cast("date").alias("ship_date"),
-    )
-    lanes = (
-        candidates.join(package_dims(facts), PACKAGE)
-        .withColumn("order_day", F.col("order_placed_ts").cast("date"))
-        .join(zones, ["zip5", "fc_name", "order_day"])
-    )
-    return (
-        with_charges(lanes, cards)
-        .select(
-            *PACKAGE, "fc_name", "mode", F.col("cost_zone").alias("zone"), "total_amount"
-        )
-        .distinct()
-    )

@@ -10,33 +10,36 @@ from pyspark.sql import functions as F
 from lanewise.functions.numbers import one_value
 
 ROWS_PER_SLICE = 500_000
-HOT_KEYS = 512
 BROADCAST_ROWS = 500_000
 SALT = "_salt"
 
 
+def slices_of(counts: DataFrame, keys: list[str], rows: Column, rows_per_slice: int) -> DataFrame:
+    """Keys with more than one slice of ``rows``, and how many slices they take.
+
+    Each listed key stands for more than ``rows_per_slice`` rows, so the list is
+    shorter than all rows divided by that number.
+    """
+    slices = F.ceil(rows / F.lit(rows_per_slice)).cast("int")
+    return counts.select(*keys, slices.alias("_slices")).where(F.col("_slices") > 1)
+
+
 def hot_keys(
-    df: DataFrame,
-    keys: list[str],
-    rows_per_slice: int = ROWS_PER_SLICE,
-    most: int = HOT_KEYS,
+    df: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """The largest keys with more than ``rows_per_slice`` rows and their slice count.
+    """All keys with more than ``rows_per_slice`` rows and their slice count."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return slices_of(counts, keys, F.col("_rows"), rows_per_slice)
 
-    The list has at most ``most`` rows by construction.  Every key outside it
-    holds less than 1/``most`` of all rows, or fits one slice.
-    """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_slice)
-        .orderBy(F.col("_rows").desc())
-        .limit(most)
-        .select(
-            *keys,
-            F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("int").alias("_slices"),
-        )
-    )
+
+def hot_pairs(
+    many: DataFrame, few: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Keys under which the two sides make more than a slice of joined rows."""
+    left = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    right = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_partners"))
+    made = F.col("_rows") * F.col("_partners")
+    return slices_of(left.join(right, keys), keys, made, rows_per_slice)
 
 
 def salted_join(
@@ -52,7 +55,8 @@ def salted_join(
 
     A row of ``many`` goes to the slice its ``salt_on`` columns hash to, so a
     repeated task puts it in the same place; ``few`` is copied to every slice
-    of a hot key.  ``hot`` is the bounded list of :func:`hot_keys`.
+    of a hot key.  ``hot`` is the list of :func:`hot_keys` or :func:`hot_pairs`,
+    which is shorter than all rows divided by the size of a slice.
     """
     hot = F.broadcast(hot)
     slice_of = F.pmod(F.xxhash64(*salt_on), F.col("_slices")).cast("int")

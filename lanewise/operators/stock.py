@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise import params as P
@@ -60,31 +60,32 @@ def fc_sets(stocked: DataFrame, fcs=P.FCS) -> DataFrame:
 
     Every FC is one bit: the FCs of a line are the 'or' of its rows, the FCs of
     a package the 'and' of its lines.  Both are aggregated before the shuffle
-    into one number, however many lines a package has.
+    into one number for every 63 FCs, however many lines a package has.
     """
-    if len(fcs) > MASK_BITS:
-        return (
-            qualified_fcs(stocked)
-            .where(F.col("fc_name").isin(*fcs))
-            .groupBy(*PACKAGE)
-            .agg(F.collect_set("fc_name").alias("fcs"))
-        )
-    bits = {fc: 1 << i for i, fc in enumerate(fcs)}
-    bit = codes.lookup("fc_name", bits, 0).cast("bigint")
-    mask = F.col("mask")
+    groups = [list(fcs)[i : i + MASK_BITS] for i in range(0, len(fcs), MASK_BITS)]
+    bits = {f"_mask{n}": {fc: 1 << i for i, fc in enumerate(g)} for n, g in enumerate(groups)}
+
+    def one(value: int) -> Column:
+        return F.lit(value).cast("bigint")
+
     held = F.array(
         *(
-            F.when(mask.bitwiseAND(F.lit(b).cast("bigint")) != 0, F.lit(fc))
-            for fc, b in bits.items()
+            F.when(F.col(mask).bitwiseAND(one(b)) != 0, F.lit(fc))
+            for mask, of in bits.items()
+            for fc, b in of.items()
         )
     )
+    by_line = [
+        F.bit_or(codes.lookup("fc_name", of, 0).cast("bigint")).alias(mask)
+        for mask, of in bits.items()
+    ]
     return (
         stocked.groupBy("order_id", "order_line_id", "tracking_number")
-        .agg(F.bit_or(bit).alias("mask"))
+        .agg(*by_line)
         .groupBy(*PACKAGE)
-        .agg(F.bit_and("mask").alias("mask"))
-        .where(mask != 0)
+        .agg(*(F.bit_and(mask).alias(mask) for mask in bits))
         .select(*PACKAGE, F.array_compact(held).alias("fcs"))
+        .where(F.size("fcs") > 0)
     )
 
 

@@ -1,9 +1,11 @@
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lanewise.operators import lanes as lane_ops
 from lanewise.operators import rates, skew, stock
 
 DAY = date(2025, 11, 1)
@@ -161,19 +163,16 @@ def test_charges(spark, cards):
     assert classes[5] == classes[7] == "additional_handling" and classes[6] is None
 
 
-def test_charges_without_broadcast(spark, cards, monkeypatch):
-    monkeypatch.setattr(
-        rates, "within_rows", lambda frames: dict.fromkeys(frames, False)
-    )
-    check_totals(rates.with_charges(spark.createDataFrame(CASES, LANES), cards))
+def test_charges_of_checked_cards(spark, cards):
+    """The size check adds hints and changes no result."""
+    checked = cards.checked()
+    assert checked.small == frozenset(rates.CARDS)
+    check_totals(rates.with_charges(spark.createDataFrame(CASES, LANES), checked))
 
 
 def test_charges_with_overlapping_bands(spark, cards):
     again = cards.longest_bands.where("amount = 12").withColumn("amount", F.lit(14.0))
-    doubled = rates.RateCards(
-        **{**cards.frames(), "longest_bands": cards.longest_bands.unionAll(again)}
-    )
-    assert rates.bands_overlap(doubled) and not rates.bands_overlap(cards)
+    doubled = replace(cards, longest_bands=cards.longest_bands.unionAll(again))
     lanes = spark.createDataFrame(CASES[4:5], LANES)
     amounts = [r[0] for r in rows(rates.with_charges(lanes, doubled), "total_amount")]
     assert amounts == pytest.approx([19.01 * 1.1, 21.01 * 1.1])
@@ -181,6 +180,7 @@ def test_charges_with_overlapping_bands(spark, cards):
 
 def test_charges_are_broadcast_joins(spark, cards):
     lanes = spark.createDataFrame(CASES, LANES)
+    cards = replace(cards, small=frozenset(rates.CARDS))
     plan = rates.with_charges(lanes, cards)._jdf.queryExecution().executedPlan()
     lane_side = plan.toString().split("BroadcastExchange")[0]
     assert lane_side.count("BroadcastHashJoin") == 4
@@ -191,21 +191,26 @@ def test_overlapping_rates_give_one_row_each(spark, cards):
     twice = cards.resi.unionAll(
         cards.resi.where("resi_amount = 2").withColumn("resi_amount", F.lit(3.0))
     )
-    doubled = rates.RateCards(**{**cards.frames(), "resi": twice})
+    doubled = replace(cards, resi=twice)
     lanes = spark.createDataFrame(CASES[1:2], LANES)
     amounts = [r[0] for r in rows(rates.with_charges(lanes, doubled), "total_amount")]
     assert amounts == pytest.approx([7.01 * 1.1, 8.01 * 1.1])
 
 
-def test_routing_of_one_hot_zip(spark, cards, lines, monkeypatch):
-    """Slicing a hot (zip, day) changes nothing in the result."""
-    from lanewise.operators import lanes as lane_ops
-
+@pytest.fixture(scope="module")
+def world(spark, cards, lines):
+    """Three packages of one zip; the second has two shipment rows."""
     ts = datetime(2025, 11, 1, 10)
     shipments = spark.createDataFrame(
         [
-            (o, t, "00001", "AVP1", "FDXHD", "r", ts, ts, ts, ts, DAY, 10.0, 10.0, 10.0, 10.0, 2)
-            for o, t in ((1, "a"), (2, "b"), (3, "c"))
+            (o, t, "00001", fc, "FDXHD", "r", ts, ts, ts, ts, DAY, 10.0, 10.0, 10.0, 10.0, 2)
+            for o, t, fc in (
+                (1, "a", "AVP1"),
+                (2, "b", "AVP1"),
+                (2, "b", "MCI1"),
+                (2, "b", "ELSE"),
+                (3, "c", "AVP1"),
+            )
         ],
         "order_id long, tracking_number string, zip5 string, fc_name string, "
         "carrier_code string, route string, order_placed_ts timestamp, "
@@ -225,13 +230,70 @@ def test_routing_of_one_hot_zip(spark, cards, lines, monkeypatch):
     far = spark.createDataFrame(
         [("AVP1", "00001", 5.0)], "fc_name string, postcode string, dist_miles double"
     )
-    args = (shipments, *lines, ship_map, cards, far, DAY, DAY)
-    plain = rows(lane_ops.routing_result(*args))
-    monkeypatch.setattr(
-        lane_ops, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, rows_per_slice=1)
-    )
-    assert rows(lane_ops.routing_result(*args)) == plain
-    assert [(r[0], r[4], r[5], r[11]) for r in plain] == [
-        (1, "AVP1", "FDXHD", ["AVP1"]),
-        (2, "MCI1", "FDXHD", ["MCI1"]),
+    return shipments, lines, ship_map, cards, far
+
+
+def routed(world):
+    shipments, lines, ship_map, cards, far = world
+    return lane_ops.routing_result(shipments, *lines, ship_map, cards, far, DAY, DAY)
+
+
+def candidates_of(world):
+    shipments, lines, _, _, _ = world
+    return stock.fulfillable_fcs(shipments, *lines, DAY, DAY)
+
+
+@pytest.fixture(params=[500_000, 1])
+def slices(request, monkeypatch):
+    """Ordinary slices, and slices so small that every key is cut."""
+
+    def cut(many, few, keys):
+        return skew.hot_pairs(many, few, keys, rows_per_slice=request.param)
+
+    monkeypatch.setattr(lane_ops, "hot_pairs", cut)
+
+
+def test_every_shipment_row_of_a_package_stays(world, slices):
+    found = rows(routed(world), "order_id", "sim_fc_name", "act_fc_name", "act_transit_cost")
+    assert [r[:3] for r in found] == [
+        (1, "AVP1", "AVP1"),
+        (2, "MCI1", "AVP1"),
+        (2, "MCI1", "ELSE"),
+        (2, "MCI1", "MCI1"),
     ]
+    costs = {r[2]: r[3] for r in found if r[0] == 2}
+    assert costs["AVP1"] is None and costs["ELSE"] is None and costs["MCI1"] is not None
+
+
+def test_lane_operators_agree_with_the_result(world, slices):
+    shipments, _, ship_map, cards, far = world
+    candidates = candidates_of(world)
+    costs = lane_ops.lane_cost(candidates, ship_map, shipments, cards)
+    assert rows(costs, "order_id", "fc_name", "mode") == [
+        (1, "AVP1", "FDXHD"),
+        (1, "AVP1", "ONTRGD"),
+        (2, "MCI1", "FDXHD"),
+        (2, "MCI1", "ONTRGD"),
+    ]
+    chosen = lane_ops.choose_lane(candidates, ship_map, shipments, cards, far)
+    winners = rows(routed(world).select("order_id", "sim_fc_name", "sim_carrier_code").distinct())
+    assert rows(chosen, "order_id", "fc_name", "carrier_code") == winners
+    ranked = lane_ops.ranked_options(candidates, ship_map, shipments, cards, far)
+    neutral = lane_ops.cost_neutral_fcs(ranked)
+    assert rows(neutral, "order_id", "cost_neutral_fc") == rows(
+        routed(world).select("order_id", "cost_neutral_fc").distinct()
+    )
+
+
+def test_building_starts_no_job(spark, world):
+    shipments, _, ship_map, cards, far = world
+    candidates = candidates_of(world)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        routed(world)
+        lane_ops.lane_cost(candidates, ship_map, shipments, cards)
+        lane_ops.choose_lane(candidates, ship_map, shipments, cards, far)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
