@@ -19,25 +19,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    queries.prepared(spark)
     judged = cascade.quality_cascade(docs)
     return judged.where("quality.kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share."""
-    queries.with_folder(spark)
+    queries.prepared(spark)
     cut = lines.without_shared_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    queries.with_folder(spark)
+    queries.prepared(spark)
     return simhash.one_of_each(docs, shingle=4, max_bits=4).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    queries.prepared(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.leaks(docs, items)
     return found.where(F.size("leaks") == 0).select(*COLUMNS)
@@ -45,7 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample, with the probability by which each document was drawn."""
-    queries.with_folder(spark)
+    queries.prepared(spark)
     drawn = mixing.mix(docs).where("mix.sampled")
     probability = F.round("mix.probability", 6).alias("probability")
     return drawn.select(*COLUMNS, F.col("mix.topic").alias("topic"), probability)
@@ -65,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    queries.with_folder(spark)
+    queries.prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

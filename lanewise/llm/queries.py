@@ -22,6 +22,9 @@ from lanewise.llm import (
     urlrules,
 )
 
+#: Texts that a Python worker holds at a time, about.
+BATCH_BYTES = 8 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,12 +39,18 @@ def with_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
 
 
+def prepared(spark: SparkSession) -> None:
+    """Settings for tables of long texts: a folder, and small batches for Python."""
+    with_folder(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``read -> DataFrame``; ``read`` gives a table by its name."""
 
     def register(build: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            with_folder(spark)
+            prepared(spark)
             return build(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
