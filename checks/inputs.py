@@ -73,21 +73,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = RECIPES[name]
     parents = used(text, RECIPES)
-    if table_path(spark, name) is None:
-        parents = closure(text)
-        parts = [f"{p} as ({RECIPES[p]})" for p in parents]
-    else:
-        for p in parents:
-            table(spark, sf_dir, p)
-        parts = [
-            f"{p} as (select * from parquet.`{table_path(spark, key_of(sf_dir, p))}`)"
-            for p in parents
-        ]
-    reach = " ".join([text, *(RECIPES[p] for p in parents)])
+    for p in parents:
+        table(spark, sf_dir, p)
     parts = [
+        f"{p} as (select * from parquet.`{table_path(spark, key_of(sf_dir, p))}`)"
+        for p in parents
+    ]
+    parts += [
         f"{g} as (select * from parquet.`{sf_dir}/{g}.parquet`)"
-        for g in used(reach, GIVEN)
-    ] + parts
+        for g in used(text, GIVEN)
+    ]
     frame = spark.sql((f"with {', '.join(parts)} " if parts else "") + text)
     return frame.select(
         *(

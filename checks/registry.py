@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +32,22 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(shown(f) for f in df.schema))
 
 
+def with_folder(spark: SparkSession) -> None:
+    """A folder of the process's own where a one-process session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and re.match(r"local(\[|$)", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
+
+
 def check(name: str, sql: str | None = None):
     """Register a query ``world -> DataFrame`` under a name, with its SQL."""
 
     def register(build: Callable[[World], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: plain(build(World(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with_folder(spark)
+            return plain(build(World(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = prelude(" ".join(sql.split()), STEPS)
         return build

@@ -609,23 +609,16 @@ def weighted_score(w: World):
 @check(
     "agg_mean_multi",
     """
-    select zip5, act_carrier_code, count(distinct tracking_number) as packages,
-           round(avg(act_transit_cost), 3) as cost, avg(std) as std,
-           cast(coalesce(sum(dea_flag), 0) as bigint) as on_time
-    from base where std is not null group by all
+    select zip5, act_carrier_code as carrier_code,
+           count(distinct tracking_number) as packages,
+           round(cast(sum(cast(act_transit_cost as decimal(18, 6))) as double)
+                 / count(act_transit_cost), 3) as cost,
+           avg(std) as std, cast(coalesce(sum(dea_flag), 0) as bigint) as on_time
+    from base where std is not null and zip5 is not null group by all
     """,
 )
 def agg_mean_multi(w: World):
-    return (
-        w.base.where(F.col("std").isNotNull())
-        .groupBy("zip5", "act_carrier_code")
-        .agg(
-            F.count_distinct("tracking_number").alias("packages"),
-            F.round(F.avg("act_transit_cost"), 3).alias("cost"),
-            F.avg("std").alias("std"),
-            numbers.total("dea_flag").alias("on_time"),
-        )
-    )
+    return rounded(scoring.carrier_cells(w.base), cost=3)
 
 
 SCORE_SQL = """

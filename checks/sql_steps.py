@@ -586,7 +586,8 @@ STEPS.update(
         """,
         "removal_cells": """
             select zip5, act_carrier_code as c, count(distinct tracking_number) as n,
-                   avg(act_transit_cost) as cost, avg(std) as std,
+                   cast(sum(cast(act_transit_cost as decimal(18, 6))) as double)
+                     / nullif(count(act_transit_cost), 0) as cost, avg(std) as std,
                    round_even(coalesce(sum(dea_flag), 0)
                               / count(distinct tracking_number), 4) as rate
             from base where std is not null group by all

@@ -83,3 +83,9 @@ def weighted(terms: dict[str, float]) -> Column:
     for p in parts[1:]:
         out = out + p
     return out
+
+
+def exact_mean(value: str | Column) -> Column:
+    """Mean of amounts to six decimals, summed exactly, so in any order the same."""
+    amount = col(value).cast("decimal(18,6)")
+    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))

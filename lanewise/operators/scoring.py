@@ -55,6 +55,23 @@ def _with_running_volume(scored: DataFrame) -> DataFrame:
     )
 
 
+def carrier_cells(base: DataFrame) -> DataFrame:
+    """Packages, mean cost, mean transit and on-time count per zip and carrier.
+
+    Of delivered packages with a known zip.
+    """
+    return (
+        base.where(F.col("std").isNotNull() & F.col("zip5").isNotNull())
+        .groupBy("zip5", F.col("act_carrier_code").alias("carrier_code"))
+        .agg(
+            F.count_distinct("tracking_number").alias("packages"),
+            numbers.exact_mean("act_transit_cost").alias("cost"),
+            F.avg("std").alias("std"),
+            numbers.total("dea_flag").alias("on_time"),
+        )
+    )
+
+
 def remediation_metrics(
     base: DataFrame, challenger=P.CHALLENGER, incumbent=P.INCUMBENT
 ) -> DataFrame:
@@ -63,20 +80,9 @@ def remediation_metrics(
     Zips without both carriers are left out.  Negative means the challenger is
     worse.
     """
-    delivered = base.where(F.col("std").isNotNull())
     both = (incumbent, challenger)
-    cells = (
-        delivered.where(F.col("zip5").isNotNull())
-        .groupBy("zip5", F.col("act_carrier_code").alias("carrier_code"))
-        .agg(
-            F.count_distinct("tracking_number").alias("packages"),
-            F.avg("act_transit_cost").alias("cost"),
-            F.avg("std").alias("std"),
-            numbers.total("dea_flag").alias("on_time"),
-        )
-        .withColumn(
-            "dea_per", numbers.half_even(numbers.ratio("on_time", "packages"), 4)
-        )
+    cells = carrier_cells(base).withColumn(
+        "dea_per", numbers.half_even(numbers.ratio("on_time", "packages"), 4)
     )
     wide = per_carrier(
         cells,

@@ -91,18 +91,6 @@ def within_rows(
     return {name: sizes.get(name, 0) <= most for name in frames}
 
 
-def checked_broadcast(
-    frames: dict[str, DataFrame], most: int = BROADCAST_ROWS
-) -> dict[str, DataFrame]:
-    """The frames, those of at most ``most`` rows marked for broadcast.
-
-    A larger frame is returned as it is: the join then shuffles, and adaptive
-    execution splits its skewed partitions.
-    """
-    fits = within_rows(frames, most)
-    return {n: F.broadcast(df) if fits[n] else df for n, df in frames.items()}
-
-
 def running_total(
     df: DataFrame, order_by: str, tie: str, values: dict[str, str], blocks: int = 1024
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import calendar
-from lanewise.operators.skew import checked_broadcast, running_total
+from lanewise.operators.skew import running_total
 
 
 def distinct_zips(df: DataFrame) -> DataFrame:
@@ -15,8 +15,11 @@ def distinct_zips(df: DataFrame) -> DataFrame:
 
 
 def small_zips(df: DataFrame) -> DataFrame:
-    """Distinct zips, broadcast if there are no more than zip codes can exist."""
-    return checked_broadcast({"zips": distinct_zips(df)}, P.MAX_ZIPS)["zips"]
+    """Distinct zips of a list, broadcast: five digits make at most 100,000.
+
+    What is no zip code of five digits is no entry of a list.
+    """
+    return F.broadcast(distinct_zips(df.where(F.col("zip5").rlike("^[0-9]{5}$"))))
 
 
 def open_zips(ship_map: DataFrame, check_date=None, carrier=P.CHALLENGER) -> DataFrame:

@@ -44,10 +44,6 @@ NONE = "None"
 ALL_ZIPS = 999999
 FLOW_TARGETS = 4
 
-# A zip code has five digits, so a frame with one row per zip holds at most
-# this many rows.
-MAX_ZIPS = 100_000
-
 
 # --- Defaults ---------------------------------------------------------------
 @dataclass(frozen=True)

@@ -1,51 +1,42 @@
 """Stage outputs kept as tables in the shared folder of the cluster.
 
 A table written there outlives any executor, so it is the way to cut a long
-lineage.  The folder is the one ``spark.checkpoint.dir`` names.  Only a local
-session without the setting gets a folder of its own; on a cluster without it
-nothing is written and the plan simply stays lazy.
+lineage.  The folder is that of ``spark.checkpoint.dir`` (or the one given to
+``SparkContext.setCheckpointDir``); without it every function here raises, on
+any master.
 """
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
-_written: dict[tuple[str, str], DataFrame] = {}
 
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that driver and executors share"
+        )
+    return named.rstrip("/")
 
-def shared_folder(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        return None
-    if sc.applicationId not in _own_folder:
-        _own_folder[sc.applicationId] = tempfile.mkdtemp(prefix="lanewise-")
-        sc.setCheckpointDir(_own_folder[sc.applicationId])
-    return _own_folder[sc.applicationId]
 
-
-def table_path(spark: SparkSession, name: str) -> str | None:
-    folder = shared_folder(spark)
-    return folder and f"{folder}/lanewise-{spark.sparkContext.applicationId}/{name}"
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tables/{name}"
 
 
 def saved_once(
     spark: SparkSession, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """The frame of ``build``, written on first use and read back afterwards."""
-    path = table_path(spark, name)
-    if path is None:
-        return build()
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _written:
+    """The frame of ``build``, written on first use and read back afterwards.
+
+    What has been written is known to the session: each table is a view there.
+    """
+    view = "saved_" + re.sub(r"\W+", "_", name)
+    if not spark.catalog.tableExists(view):
+        path = table_path(spark, name)
         build().write.mode("overwrite").parquet(path)
-        _written[key] = spark.read.parquet(path)
-    return _written[key]
+        spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.table(view)

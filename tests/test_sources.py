@@ -83,3 +83,11 @@ def test_saved_once_writes_once(spark):
     first = shared.saved_once(spark, "test/once", build)
     second = shared.saved_once(spark, "test/once", build)
     assert first.count() == second.count() == 3 and len(calls) == 1
+
+
+def test_without_a_shared_folder_nothing_is_guessed(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.table_path(spark, "x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.saved_once(spark, "test/never", lambda: spark.range(1))
