@@ -10,6 +10,7 @@ MODULES = (
     "whatif_checks",
     "scalar_checks",
     "source_checks",
+    "run_checks",
 )
 
 

@@ -16,6 +16,8 @@ from checks.world import World
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+# The statements as written, without the steps they need.
+BODY: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -49,6 +51,7 @@ def check(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
+            BODY[name] = sql
             SQL[name] = prelude(" ".join(sql.split()), STEPS)
         return build
 

@@ -248,25 +248,29 @@ for _tag in ("baseline", "remediation", "expansion"):
     STEPS.update(cost_steps(_tag))
 
 
-def over(suffix: str, *inputs: str) -> dict[str, str]:
-    """The steps to the routing of the baseline over other inputs.
+def renamed(text: str, names: dict[str, str]) -> str:
+    return re.sub(r"\w+(?!\.)", lambda m: names.get(m[0], m[0]), text)
 
-    Statements that depend on an input take the suffix, and so does the input.
+
+def over(suffix: str, *inputs: str, last: str | None = None) -> dict[str, str]:
+    """The steps that depend on the inputs, over inputs of another name.
+
+    They take the suffix, and so do the inputs; ``last`` is the last step
+    wanted.
     """
     names = {name: f"{name}_{suffix}" for name in inputs}
     found = {}
     for name, text in STEPS.items():
         if names.keys() & set(re.findall(r"\w+", text)):
             names[name] = f"{name}_{suffix}"
-            found[names[name]] = re.sub(
-                r"\w+(?!\.)", lambda m: names.get(m[0], m[0]), text
-            )
-        if name == "routing_baseline":
-            return found
+            found[names[name]] = renamed(text, names)
+        if name == last:
+            break
     return found
 
 
-STEPS |= over("again", "shipments") | over("two", "longest_bands", "resi")
+STEPS |= over("again", "shipments", last="routing_baseline")
+STEPS |= over("two", "longest_bands", "resi", last="routing_baseline")
 
 CHALLENGER_DAY = "mode = 'ONTRGD' and shipdate = date '2025-11-14'"
 

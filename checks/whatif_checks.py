@@ -453,11 +453,12 @@ def switched_packages(w: World):
     f"from ({CARRIER_SQL})",
 )
 def selection_metrics(w: World):
-    scored = w.chosen.withColumn("priority_score", F.lit(1.0))
-    _, metrics = execution.selection_metrics(
-        w.base, [(w.routing("remediation"), scored)], w.wms_proxy, RUN_DATE
+    told = execution.run_parameters(P.ExecutionParams(), 0, 0)
+    told = {k: v for k, v in told.items() if not k.endswith("_ZIP_COUNT")}
+    metrics = execution.selection_metrics(
+        w.base, w.spliced, w.wms_proxy, RUN_DATE, told=told
     )
-    return metrics["carrier_net_before_wms_proxy"]
+    return metrics["carrier_net_before_wms_proxy"].drop("run_dttm")
 
 
 @check("impact_metrics", change("routing_baseline", "spliced", "sim_tnt", PACKAGES))

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise import params as P
+from lanewise.functions import calendar
 from lanewise.operators import whatif
 from lanewise.operators.decisions import KINDS, add_current_decision, add_final_decision
 from lanewise.operators.scoring import priority_score_exec
 from lanewise.operators.signals import (
     fc_carrier_switch,
+    last_recommendation,
     reason_backlog,
     reason_service,
     zip_daily_volume,
 )
-from lanewise.operators.zips import top_zips
-from lanewise.sources.writers import add_parameters, with_run
+from lanewise.operators.zips import top_zips, zip_status
+from lanewise.sources.readers import scan_partition_range
+from lanewise.sources.writers import (
+    add_parameters,
+    replaced,
+    sink_metrics,
+    sink_zip_list,
+    with_run,
+)
 
 DECISION_COLUMNS = [
     "zip5",
@@ -148,21 +160,11 @@ def metrics_of(base: DataFrame, final: DataFrame, proxy: DataFrame) -> dict:
     }
 
 
-def selection_metrics(
-    base: DataFrame,
-    choices: list[tuple[DataFrame, DataFrame]],
-    proxy: DataFrame,
-    run_date,
-    zip_count: int = P.ALL_ZIPS,
-    params: P.ExecutionParams = P.ExecutionParams(),
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Spliced result and its metrics for one zip count, with run and parameters.
-
-    ``choices`` pairs each scenario with its scored zips.
-    """
-    chosen = [(scenario, top_zips(scored, zip_count)) for scenario, scored in choices]
-    final = whatif.splice_scenario(base, chosen)
-    told = {
+def run_parameters(params: P.ExecutionParams, remediated: int, expanded: int) -> dict:
+    """Parameters written next to the results, under the names of the run log."""
+    return {
+        "REMEDIATION_ZIP_COUNT": remediated,
+        "EXPANSION_ZIP_COUNT": expanded,
         "DEA_THRESHOLD": params.service_threshold,
         "DEA_LOOKBACK_DAY_COUNT": params.service_lookback_days,
         "BACKLOG_THRESHOLD": params.backlog_threshold,
@@ -170,8 +172,171 @@ def selection_metrics(
         "FC_SWITCH_THRESHOLD": params.fc_switch_threshold,
         "LOOKBACK_DAY_COUNT": params.lookback_days,
     }
-    metrics = {
-        name: with_run(add_parameters(df, told), run_date, params.run_name, zip_count)
+
+
+def selection_metrics(
+    base: DataFrame,
+    final: DataFrame,
+    proxy: DataFrame,
+    run_at,
+    zip_count: int = P.ALL_ZIPS,
+    told: dict | None = None,
+    run_name: str = "default",
+) -> dict[str, DataFrame]:
+    """Metrics of one spliced result, with run and parameters.
+
+    ``final`` is best read back from where the splice was written.
+    """
+    return {
+        name: with_run(add_parameters(df, told or {}), run_at, run_name, zip_count)
         for name, df in metrics_of(base, final, proxy).items()
     }
-    return final, metrics
+
+
+@dataclass(frozen=True)
+class ExecutionTables:
+    """What the run of a day reads, already limited to its windows."""
+
+    base: DataFrame
+    remediate: DataFrame
+    expand: DataFrame
+    ship_map_base: DataFrame
+    ship_map_eligible: DataFrame
+    service: DataFrame
+    backlog: DataFrame
+    proxy: DataFrame
+
+
+def scan_execution_tables(
+    spark: SparkSession,
+    path: str,
+    run_date,
+    proxy: DataFrame,
+    params: P.ExecutionParams = P.ExecutionParams(),
+    signals: P.SignalParams = P.SignalParams(),
+) -> ExecutionTables:
+    """The stage tables below ``path``, each over its own window before the run day."""
+    first, last = calendar.lookback_window(run_date, params.lookback_days)
+    service_from, _ = calendar.lookback_window(
+        run_date, params.service_lookback_days, end_offset=0
+    )
+    backlog_from, _ = calendar.lookback_window(
+        run_date, signals.backlog_lookback_days, end_offset=0
+    )
+
+    def days(name: str, start, end, column: str) -> DataFrame:
+        return scan_partition_range(spark, f"{path}/{name}", start, end, column)
+
+    def routed(scenario: str) -> DataFrame:
+        return days(f"simulations/{scenario}", first, last, "order_placed_date")
+
+    return ExecutionTables(
+        base=whatif.as_base(routed("baseline")),
+        remediate=routed("remediation"),
+        expand=routed("expansion"),
+        ship_map_base=days("smf/baseline", first, last, "shipdate"),
+        ship_map_eligible=days("smf/expansion", first, last, "shipdate"),
+        service=days("execution_data/unpadded_dea", service_from, last, "unpadded_edd"),
+        backlog=days("execution_data/backlog", backlog_from, run_date, "date"),
+        proxy=proxy,
+    )
+
+
+HISTORY_SCHEMA = (
+    "zip5 string, final_recommendation string, final_reason_dea string, "
+    "final_reason_shutdown string, final_reason_backlog string, run_dttm timestamp, "
+    "run_date date, run_name string, zip_count_tag string"
+)
+SIDES = {"remediation": "zips_to_remediate", "expansion": "zips_to_expand"}
+
+
+def recommendation_history(
+    spark: SparkSession, path: str, side: str, run_date, days: int
+) -> DataFrame:
+    """Zip lists of earlier runs, empty before the first run."""
+    first, last = calendar.lookback_window(run_date, days)
+    return scan_partition_range(
+        spark,
+        f"{path}/{SIDES[side]}/parquet",
+        first,
+        last,
+        "run_date",
+        schema=T.StructType.fromDDL(HISTORY_SCHEMA),
+    )
+
+
+def run_execution(
+    tables: ExecutionTables,
+    path: str,
+    run_at,
+    params: P.ExecutionParams = P.ExecutionParams(),
+) -> None:
+    """The run of a day: decide, score, and write the effect of every zip count.
+
+    Below ``path`` stand the master (``metadata``), the zip lists with their
+    run, which the next days read back as history, the spliced results
+    (``simulation_output``) and seven metrics, all by run date and zip count.
+    Master, scores and spliced results are written first and read back by what
+    follows.  A run again on the same day replaces its own partitions.
+    """
+    spark = tables.base.sparkSession
+    run_date = calendar.as_date(str(run_at)[:10])
+    _, check_date = calendar.lookback_window(run_date, params.lookback_days)
+    histories = [
+        recommendation_history(spark, path, side, run_date, params.history_days)
+        for side in SIDES
+    ]
+    master = decision_master(
+        zip_status(tables.ship_map_base, tables.ship_map_eligible, check_date),
+        tables.base,
+        tables.remediate,
+        tables.service,
+        tables.backlog,
+        last_recommendation(*histories, run_date, params.run_name, params.history_days),
+        params,
+        tables.expand,
+    )
+    day = F.lit(run_date).cast("date")
+    today = F.col("run_date") == day
+    dated = master.withColumn("run_date", day)
+    written = replaced(dated, f"{path}/metadata", "run_date").where(today)
+
+    scored = {}
+    wanted = {"remediation": params.remediation, "expansion": params.expansion}
+    scores = zip_recommendation(written.drop("run_date"), params)
+    for side, df in zip(SIDES, scores):
+        kept = replaced(df.withColumn("run_date", day), f"{path}/scores/{side}", "run_date")
+        kept = kept.where(today)
+        size = kept.count()
+        if wanted[side] and size:
+            scored[side] = (kept.drop("run_date"), size)
+
+    most = max((size for _, size in scored.values()), default=0)
+    scenario = {"remediation": tables.remediate, "expansion": tables.expand}
+    for count in [*(c for c in params.zip_counts if c <= most), P.ALL_ZIPS]:
+        lists = {side: top_zips(df, count) for side, (df, _) in scored.items()}
+        sizes = {side: min(size, count) for side, (_, size) in scored.items()}
+        told = run_parameters(
+            params, sizes.get("remediation", 0), sizes.get("expansion", 0)
+        )
+        choices = [(scenario[side], zips) for side, zips in lists.items()]
+        spliced = whatif.splice_scenario(tables.base, choices)
+        output = replaced(
+            with_run(add_parameters(spliced, told), run_at, params.run_name, count),
+            f"{path}/simulation_output",
+            "run_date",
+            "zip_count",
+        )
+        final = output.where(today & (F.col("zip_count") == count))
+        final = final.select(*spliced.columns)
+        sink_metrics(
+            selection_metrics(
+                tables.base, final, tables.proxy, run_at, count, told, params.run_name
+            ),
+            f"{path}/metrics",
+        )
+        for side, zips in lists.items():
+            tagged = with_run(add_parameters(zips, told), run_at, params.run_name, count)
+            sink_zip_list(
+                tagged.withColumn("zip_count", F.lit(sizes[side])), f"{path}/{SIDES[side]}"
+            )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import numbers
 from lanewise.operators import whatif
+from lanewise.operators.scoring import expansion_score, remediation_score, target_change
 from lanewise.operators.zips import cut_by_volume, distinct_zips
+from lanewise.sources.writers import replaced
 
 
 def planned_zips(scored: DataFrame, target: DataFrame) -> DataFrame:
@@ -50,3 +54,87 @@ def realised_share(change: DataFrame, challenger=P.CHALLENGER) -> DataFrame:
     return change.where(F.col("sim_carrier_code") == challenger).select(
         numbers.half_even("iter_percent", 1).alias("realised_share")
     )
+
+
+@dataclass(frozen=True)
+class PlanningTables:
+    """What a planning run reads, limited to its days."""
+
+    base: DataFrame
+    remediate: DataFrame
+    expand: DataFrame
+    ship_map_base: DataFrame
+    ship_map_expanded: DataFrame
+    proxy: DataFrame
+
+
+def run_planning(
+    tables: PlanningTables,
+    path: str,
+    run_name: str,
+    params: P.PlanningParams = P.PlanningParams(),
+) -> list[int]:
+    """Cut the scored zips at each package change, and write what it does.
+
+    Without ``package_changes`` the one change is what the challenger lacks to
+    its ``target_share``.  Scores, chosen zips, spliced results and the five
+    metrics stand below ``path`` by run and package change; days, target and
+    realised share are columns of them.  Returns the package changes.
+    """
+    scored = {}
+    if params.remediation:
+        scores = remediation_score(tables.base, params.remediation_weights)
+        scored["remediation"] = (tables.remediate, scores)
+    if params.expansion:
+        scores = expansion_score(
+            tables.base,
+            tables.expand,
+            tables.ship_map_base,
+            tables.ship_map_expanded,
+            params.fc_switch_threshold,
+            params.expansion_weights,
+        )
+        scored["expansion"] = (tables.expand, scores)
+
+    def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write the partitions of the run and read them back."""
+        named = df.withColumn("run_name", F.lit(run_name))
+        back = replaced(named, f"{path}/{name}", "run_name", *by)
+        return back.where(F.col("run_name") == run_name)
+
+    scored = {
+        side: (scenario, kept(df, f"scores_{side}")) for side, (scenario, df) in scored.items()
+    }
+    changes = list(params.package_changes)
+    if not changes:
+        changes = [int(target_change(tables.base, params.target_share).first()[0])]
+    span = date_span(tables.base).first()
+    for change in changes:
+
+        def tagged(df: DataFrame, realised=None, change=change) -> DataFrame:
+            return df.withColumns(
+                {
+                    "package_change": F.lit(change).cast("bigint"),
+                    "first_date": F.lit(span["first_date"]).cast("date"),
+                    "last_date": F.lit(span["last_date"]).cast("date"),
+                    "target_share": F.lit(float(params.target_share)),
+                    "realised_share": F.lit(realised).cast("double"),
+                }
+            )
+
+        def mine(df: DataFrame, change=change) -> DataFrame:
+            return df.where(F.col("package_change") == change)
+
+        choices = []
+        for side, (scenario, scores) in scored.items():
+            zips = kept(tagged(cut_by_volume(scores, change)), f"zips_{side}", "package_change")
+            choices.append((scenario, mine(zips)))
+        spliced = whatif.splice_scenario(tables.base, choices)
+        final = mine(kept(tagged(spliced), "simulation_output", "package_change"))
+        final = final.select(*spliced.columns)
+        metrics = planning_metrics(tables.base, final, tables.proxy)
+        share = realised_share(metrics["carrier_change"]).first()
+        realised = share["realised_share"] if share else None
+        for name, df in metrics.items():
+            kept(tagged(df, realised), f"metrics/{name}", "package_change")
+    return changes

@@ -25,6 +25,12 @@ def sink_partition_replace(df: DataFrame, path: str, *partition_cols: str) -> No
     )
 
 
+def replaced(df: DataFrame, path: str, *partition_cols: str) -> DataFrame:
+    """Write like :func:`sink_partition_replace`, and read the whole table back."""
+    sink_partition_replace(df, path, *partition_cols)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sink_replace_by_week(df: DataFrame, path: str) -> None:
     """Replace the weeks in the frame, keep all others."""
     sink_partition_replace(df, path, "week_start_date")
@@ -41,13 +47,19 @@ def sink_append_table(df: DataFrame, name: str) -> None:
 
 
 def with_run(
-    df: DataFrame, run_date, run_name: str, zip_count: int = P.ALL_ZIPS
+    df: DataFrame, run_at, run_name: str, zip_count: int = P.ALL_ZIPS
 ) -> DataFrame:
-    """Add the run columns; only the sentinel count makes a full run."""
+    """Add the run columns; only the sentinel count makes a full run.
+
+    ``run_at`` is the moment of the run, as a date, a moment or a text of
+    either; a date means its midnight.
+    """
     tag = "all" if zip_count == P.ALL_ZIPS else "partial"
+    moment = F.lit(run_at).cast("timestamp")
     return df.withColumns(
         {
-            "run_date": F.lit(run_date).cast("date"),
+            "run_dttm": moment,
+            "run_date": moment.cast("date"),
             "run_name": F.lit(run_name),
             "zip_count": F.lit(int(zip_count)),
             "zip_count_tag": F.lit(tag),
@@ -66,11 +78,22 @@ def add_parameters(df: DataFrame, parameters: dict) -> DataFrame:
 
 
 def sink_zip_list(df: DataFrame, path: str) -> None:
-    """Chosen zips as Parquet and as CSV, by run date and count."""
-    for kind in ("parquet", "csv"):
-        writer = df.write.mode("overwrite").partitionBy("run_date", "zip_count")
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-        getattr(writer.option("header", True), kind)(f"{path}/{kind}")
+    """Chosen zips as Parquet and as CSV, one partition for each run and count.
+
+    The CSV is made from the Parquet files, so the frame is computed once.  Run
+    again, a run replaces its own lists and leaves the others.
+    """
+    by = ["run_date", "run_name", "zip_count_tag", "zip_count"]
+    runs = replaced(df, f"{path}/parquet", *by)
+    mine = runs.join(F.broadcast(df.select(*by).distinct()), by, "left_semi")
+    (
+        mine.hint("rebalance", *by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("header", True)
+        .partitionBy(*by)
+        .csv(f"{path}/csv")
+    )
 
 
 def sink_metrics(metrics: dict[str, DataFrame], path: str) -> None:
