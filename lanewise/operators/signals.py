@@ -129,23 +129,35 @@ def matched(base: DataFrame, iteration: DataFrame, *more_keys: str) -> DataFrame
     return base.join(iteration.select(*keys, *sim), keys)
 
 
-def _moved(before: str, after: str) -> Column:
-    """Distinct (before, after, package) with a change; unknown codes do not count."""
-    triple = F.struct(before, after, "tracking_number")
-    known = F.col("tracking_number").isNotNull()
-    return F.count_distinct(F.when((F.col(before) != F.col(after)) & known, triple))
+def _moves(before: str, after: str) -> Column:
+    """Number of distinct (before, after) pairs that differ; unknown codes do not count."""
+    pair = F.when(F.col(before) != F.col(after), F.struct(before, after))
+    return F.size(F.collect_set(pair))
 
 
 def fc_carrier_switch(base: DataFrame, iteration: DataFrame) -> DataFrame:
-    """Packages per zip whose FC or carrier differs between two results."""
-    return (
+    """Packages per zip whose FC or carrier differs between two results.
+
+    One row per package comes first, so that no distinct count expands the rows.
+    """
+    known = F.col("tracking_number").isNotNull()
+    packages = (
         matched(base, iteration)
         .where(F.col("zip5").isNotNull())
-        .groupBy("zip5")
+        .groupBy("zip5", "tracking_number")
         .agg(
-            F.count_distinct("tracking_number").alias("package_count"),
-            _moved("base_fc_name", "sim_fc_name").alias("fc_switch_package_count"),
-            _moved("base_carrier_code", "sim_carrier_code").alias(
+            _moves("base_fc_name", "sim_fc_name").alias("fc_moves"),
+            _moves("base_carrier_code", "sim_carrier_code").alias("carrier_moves"),
+        )
+    )
+    return (
+        packages.groupBy("zip5")
+        .agg(
+            F.count("tracking_number").alias("package_count"),
+            numbers.total(F.when(known, F.col("fc_moves"))).alias(
+                "fc_switch_package_count"
+            ),
+            numbers.total(F.when(known, F.col("carrier_moves"))).alias(
                 "carrier_switch_package_count"
             ),
         )

@@ -17,6 +17,11 @@ FAST = [
     "package_dims",
     "lane_cost",
     "routing_result",
+    "routing_result_two_shipments",
+    "routing_result_overlapping_cards",
+    "join_distance",
+    "agg_mean_multi",
+    "fc_carrier_switch",
     "zip_backlog",
     "reason_backlog",
     "last_recommendation",
@@ -27,6 +32,13 @@ FAST = [
     "expansion_score",
     "fidelity_carrier_before",
     "sink_replace_by_week",
+    "execution_run_second_day",
+    "execution_run_zip_lists",
+    "execution_run_carrier_net_before_wms_proxy",
+    "planning_run_zips",
+    "fidelity_run_fc",
+    "signal_run_service",
+    "impact_fc_flow",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not there")

@@ -257,3 +257,32 @@ def test_target_change_rounds_half_to_even(spark):
         "base_carrier_code string, tracking_number string",
     )
     assert scoring.target_change(df, 0.5).first()[0] == 2
+
+
+def test_switch_counts_without_expanding_the_rows(spark):
+    """No distinct count multiplies the rows; unknown codes are no switch."""
+    keys = "order_id long, tracking_number string, order_placed_date date, zip5 string"
+    day = date(2025, 11, 1)
+    base = spark.createDataFrame(
+        [
+            (1, "a", day, "00001", "AVP1", "FDXHD"),
+            (2, "b", day, "00001", "AVP1", "FDXHD"),
+            (3, "c", day, "00001", None, "FDXHD"),
+            (4, None, day, "00001", "AVP1", "FDXHD"),
+        ],
+        f"{keys}, base_fc_name string, base_carrier_code string",
+    )
+    other = spark.createDataFrame(
+        [
+            (1, "a", day, "00001", "MCI1", "FDXHD"),
+            (1, "a", day, "00001", "MCI1", "ONTRGD"),
+            (2, "b", day, "00001", "AVP1", "FDXHD"),
+            (3, "c", day, "00001", "AVP1", "ONTRGD"),
+        ],
+        f"{keys}, sim_fc_name string, sim_carrier_code string",
+    )
+    out = signals.fc_carrier_switch(base, other)
+    row = out.first()
+    assert (row["package_count"], row["fc_switch_package_count"]) == (3, 1)
+    assert row["carrier_switch_package_count"] == 2
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
