@@ -8,7 +8,7 @@ from checks.registry import check
 from checks.world import BACKLOG_END, BACKLOG_START, END, EXECUTION, RUN_DATE, World
 from lanewise import params as P
 from lanewise.functions import calendar, codes, numbers
-from lanewise.operators import decisions, scoring, shares, signals, zips
+from lanewise.operators import decisions, diagnostics, scoring, shares, signals, zips
 from lanewise.plans import execution, planning
 
 
@@ -874,14 +874,12 @@ def filter_not_null_delivered(w: World):
     """,
 )
 def flag_threshold(w: World):
-    def flag(test, name):
-        return F.when(test, 1).otherwise(0).alias(name)
-
+    low, many, good = diagnostics.fail_flags().values()
     return w.master.select(
         "zip5",
-        flag(F.col("daily_package_count_avg") < 25, "low_volume"),
-        flag(F.col("fc_switch_package_per") > 0.15, "many_switches"),
-        flag(F.col("ONTRGD_unpadded_edd_dea") >= 0.9, "good_service"),
+        low.alias("low_volume"),
+        many.alias("many_switches"),
+        good.alias("good_service"),
     )
 
 

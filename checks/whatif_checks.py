@@ -269,23 +269,8 @@ def wms_proxy(w: World):
     """,
 )
 def join_proxy_filter(w: World):
-    from lanewise.functions import calendar
-
-    counted = (
-        w.routing()
-        .groupBy(
-            "order_placed_date",
-            F.col("sim_fc_name").alias("fc"),
-            F.col("sim_carrier_code").alias("proxy_carrier"),
-        )
-        .agg(F.count_distinct("tracking_number").alias("packages"))
-        .withColumn("dayofweek", calendar.dow_sunday0("order_placed_date"))
-    )
-    return (
-        counted.join(w.wms_proxy, ["dayofweek", "fc", "proxy_carrier"])
-        .withColumnRenamed("proxy_carrier", "carrier")
-        .drop("dayofweek")
-    )
+    rows = whatif.counted_with_proxy(w.routing(), w.wms_proxy)
+    return rows.withColumnRenamed("proxy_carrier", "carrier").drop("dayofweek")
 
 
 @check(
@@ -816,8 +801,11 @@ EXTERNAL_SQL = """
 
 
 def _compared(w: World):
-    listed = w.removal_zips.select(codes.zip_pad("zip5").alias("zip5"))
-    external = listed.unionByName(listed.limit(1).select(F.lit("99999").alias("zip5")))
+    listed = w.removal_zips.select(
+        codes.zip_pad("zip5").alias("zip5"), (F.col("zip5") * 7).alias("weekly_volume")
+    )
+    unknown = listed.limit(1).withColumn("zip5", F.lit("99999"))
+    external = listed.unionByName(unknown.withColumn("weekly_volume", F.lit(-1)))
     decided = w.runs.where(F.col("final_recommendation") != "None").withColumn(
         "priority_score", F.lit(0.0)
     )
@@ -837,6 +825,50 @@ def external_compare(w: World):
     )
 
 
+OWN_SQL = """
+    select lpad(cast(zip5 as varchar), 5, '0') as zip5, zip5 * 7 as weekly_volume
+    from removal_zips union all select '99999', -1
+"""
+SIGNALS = ", ".join(f"m.{c}" for c in diagnostics.SIGNALS)
+REASONS = ", ".join(f"r.{c}" for c in diagnostics.FINAL_REASONS)
+
+
+@check(
+    "external_compare_signals",
+    f"""
+    select e.zip5, e.weekly_volume, coalesce(cast(m.run_date as varchar), 'None') as run_date,
+           {SIGNALS}, {REASONS}
+    from ({OWN_SQL}) e
+    left join runs m on m.zip5 = e.zip5
+    left join (select * from runs where final_recommendation <> 'None') r
+      on r.zip5 = m.zip5 and r.run_date = m.run_date
+    """,
+)
+def external_compare_signals(w: World):
+    return _compared(w).select(
+        "zip5",
+        "weekly_volume",
+        "run_date",
+        *diagnostics.SIGNALS,
+        *diagnostics.FINAL_REASONS,
+    )
+
+
+@check(
+    "external_without_decision",
+    f"""
+    select e.zip5, e.weekly_volume, coalesce(cast(m.run_date as varchar), 'None') as run_date,
+           coalesce(cast(m.active as varchar), 'None') as active, 'None' as
+           final_recommendation, {SIGNALS}
+    from ({OWN_SQL}) e
+    left join runs m on m.zip5 = e.zip5
+    where coalesce(m.final_recommendation, 'None') = 'None'
+    """,
+)
+def external_without_decision(w: World):
+    return diagnostics.without_decision(_compared(w))
+
+
 @check(
     "agg_value_counts",
     f"""

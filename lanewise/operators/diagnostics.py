@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import params as P
@@ -77,49 +77,54 @@ FAIL_FLAGS = (
     "fc_switch_package_per_fail",
     "challenger_service_high",
 )
+SIGNALS = (
+    "fc_switch_package_per",
+    "daily_package_count_avg",
+    "reason_code_dea",
+    *(f"{c}_{what}" for what in ("unpadded_edd_dea", "act_package_count", "days_behind") for c in P.CARRIERS),
+)
+FINAL_REASONS = ("final_reason_dea", "final_reason_shutdown", "final_reason_backlog")
 
 
-def external_compare(
-    external: DataFrame,
-    metadata: DataFrame,
-    recommendations: DataFrame,
+def fail_flags(
     volume_floor: float = 25,
     switch_threshold: float = 0.15,
     service_threshold: float = 0.9,
     challenger=P.CHALLENGER,
+) -> dict[str, Column]:
+    """1 where a limit is broken, or the service is as good as asked; else 0."""
+    tests = (
+        F.col("daily_package_count_avg") < volume_floor,
+        F.col("fc_switch_package_per") > switch_threshold,
+        F.col(f"{challenger}_unpadded_edd_dea") >= service_threshold,
+    )
+    return {n: F.when(test, 1).otherwise(0) for n, test in zip(FAIL_FLAGS, tests)}
+
+
+def external_compare(
+    external: DataFrame, metadata: DataFrame, recommendations: DataFrame, **limits
 ) -> DataFrame:
-    """An outside zip list next to what the master table and the decisions say."""
-    service = f"{challenger}_unpadded_edd_dea"
-    compared = (
-        external.select("zip5")
-        .join(
-            metadata.select(
-                "zip5",
-                "run_date",
-                "active",
-                "fc_switch_package_per",
-                "daily_package_count_avg",
-                service,
-            ),
-            "zip5",
-            "left",
-        )
-        .join(
-            recommendations.select(
-                "zip5", "run_date", "final_recommendation", "priority_score"
-            ),
-            ["zip5", "run_date"],
-            "left",
-        )
+    """An outside zip list next to what the master table and the decisions say.
+
+    The list keeps its own columns; each run of the master adds a row with its
+    signals, the final reasons and the flags of :func:`fail_flags`, which takes
+    the ``limits``.
+    """
+    decided = ["final_recommendation", *FINAL_REASONS, "priority_score"]
+    compared = external.join(
+        metadata.select("zip5", "run_date", "active", *SIGNALS), "zip5", "left"
+    ).join(
+        recommendations.select("zip5", "run_date", *decided), ["zip5", "run_date"], "left"
     )
-    flags = {
-        "zip_volume_req_fail": F.col("daily_package_count_avg") < volume_floor,
-        "fc_switch_package_per_fail": F.col("fc_switch_package_per") > switch_threshold,
-        "challenger_service_high": F.col(service) >= service_threshold,
-    }
     return none_for_null(
         compared, "run_date", "active", "final_recommendation"
-    ).withColumns({name: F.when(test, 1).otherwise(0) for name, test in flags.items()})
+    ).withColumns(fail_flags(**limits))
+
+
+def without_decision(compared: DataFrame) -> DataFrame:
+    """Rows of the comparison no decision speaks about, without the decision's columns."""
+    rows = compared.where(F.col("final_recommendation") == P.NONE)
+    return rows.drop(*FINAL_REASONS, "priority_score", *FAIL_FLAGS)
 
 
 def external_counts(compared: DataFrame, *by: str) -> DataFrame:

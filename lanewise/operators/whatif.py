@@ -51,10 +51,8 @@ def splice_scenario(
     return out
 
 
-def wms_proxy(
-    routing: DataFrame, proxy: DataFrame, rates: dict[str, str] = PROXY_RATES
-) -> DataFrame:
-    """Packages by day, FC and carrier after the warehouse has moved its usual part.
+def counted_with_proxy(routing: DataFrame, proxy: DataFrame) -> DataFrame:
+    """Packages by day, FC and carrier with the proxy rates of the weekday.
 
     Packages are counted before they meet the proxy table.
     """
@@ -70,12 +68,19 @@ def wms_proxy(
         .agg(F.count_distinct("tracking_number").alias("packages"))
         .withColumn("dayofweek", calendar.dow_sunday0("order_placed_date"))
     )
+    return counted.join(proxy, ["dayofweek", "fc", "proxy_carrier"])
+
+
+def wms_proxy(
+    routing: DataFrame, proxy: DataFrame, rates: dict[str, str] = PROXY_RATES
+) -> DataFrame:
+    """Packages by day, FC and carrier after the warehouse has moved its usual part."""
     moved = {
         carrier: numbers.half_even(F.col("packages") * F.col(rate))
         for carrier, rate in rates.items()
     }
     return (
-        counted.join(proxy, ["dayofweek", "fc", "proxy_carrier"])
+        counted_with_proxy(routing, proxy)
         .groupBy("order_placed_date", "fc")
         .agg(*(numbers.total(v).alias(c) for c, v in moved.items()))
         .unpivot(
