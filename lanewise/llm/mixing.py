@@ -42,8 +42,8 @@ def tempered_targets(cells: DataFrame, margin: str, temper: float = TEMPER) -> D
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"))
     sums = sums.where("tokens > 0")
     weights = sums.select("value", F.pow(F.col("tokens").cast("double"), F.lit(temper)).alias("w"))
-    total = weights.agg(F.sum("w").alias("total"))
-    return weights.join(F.broadcast(total)).select("value", (F.col("w") / F.col("total")).alias("share"))
+    total = weights.agg(F.sum("w")).scalar()
+    return weights.select("value", (F.col("w") / total).alias("share"))
 
 
 def raked(
@@ -56,9 +56,8 @@ def raked(
     after the other.  Values without a target, or with none of the tokens, get
     no weight.
     """
-    total = cells.agg(F.sum("tokens").alias("_all"))
-    share = F.col("tokens") / F.nullif(F.col("_all"), F.lit(0))
-    weighted = cells.join(F.broadcast(total)).withColumn("weight", share).drop("_all")
+    total = cells.agg(F.sum("tokens")).scalar()
+    weighted = cells.withColumn("weight", F.try_divide("tokens", total))
     goals = {margin: staged(df.select("value", "share"), "target") for margin, df in targets.items()}
     for _ in range(sweeps):
         for margin, goal in goals.items():
@@ -128,10 +127,10 @@ def mix(
     goals = {n: targets.get(n, tempered_targets(cells, n, temper)) for n in named}
     weighted = raked(cells, goals, sweeps)
     weighted = weighted.withColumn("_lift", F.try_divide("weight", "tokens"))
-    most = weighted.agg(F.max("_lift").alias("_most"))
-    lifts = weighted.join(F.broadcast(most)).select(
+    most = weighted.agg(F.max("_lift")).scalar()
+    lifts = weighted.select(
         F.struct(*named).alias("__cell"),
-        F.coalesce(F.try_divide("_lift", "_most"), F.lit(0.0)).alias("__probability"),
+        F.coalesce(F.try_divide("_lift", most), F.lit(0.0)).alias("__probability"),
     )
     # One row per cell, written first: its size is known when Spark decides
     # whether to send it to every task or to shuffle and split hot cells.
