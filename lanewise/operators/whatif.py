@@ -9,7 +9,7 @@ from lanewise import params as P
 from lanewise.functions import calendar, numbers
 from lanewise.operators.shares import relative_change, share_change, share_of_total
 from lanewise.operators.signals import matched
-from lanewise.operators.zips import rank_within, small_zips
+from lanewise.operators.zips import distinct_zips, rank_within
 
 PROXY_RATES = {"FDXHD": "fdxhd_proxy", "ONTRGD": "ontrgd_proxy"}
 
@@ -38,7 +38,7 @@ def splice_scenario(
 
     ``choices`` pairs a scenario with its zips.
     """
-    lists = [small_zips(zips) for _, zips in choices]
+    lists = [distinct_zips(zips) for _, zips in choices]
     kept = base
     for zips in lists:
         kept = kept.join(zips, "zip5", "left_anti")
@@ -229,7 +229,7 @@ def switched_packages(
 ) -> DataFrame:
     """Packages a carrier has in the chosen zips, one row."""
     chosen = routing.where(F.col(carrier_col) == carrier)
-    return chosen.join(small_zips(zips), "zip5", "left_semi").agg(
+    return chosen.join(distinct_zips(zips), "zip5", "left_semi").agg(
         F.count_distinct("tracking_number").alias("carrier_switch_package_count")
     )
 

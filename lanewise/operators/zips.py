@@ -14,14 +14,6 @@ def distinct_zips(df: DataFrame) -> DataFrame:
     return df.select("zip5").distinct()
 
 
-def small_zips(df: DataFrame) -> DataFrame:
-    """Distinct zips of a list, broadcast: five digits make at most 100,000.
-
-    What is no zip code of five digits is no entry of a list.
-    """
-    return F.broadcast(distinct_zips(df.where(F.col("zip5").rlike("^[0-9]{5}$"))))
-
-
 def open_zips(ship_map: DataFrame, check_date=None, carrier=P.CHALLENGER) -> DataFrame:
     """Zips a carrier serves, on one day or on any."""
     lanes = ship_map.where(F.col("mode") == carrier)
@@ -105,7 +97,7 @@ SCENARIO_COLUMNS = [
 
 def scenario_of_zips(scenario: DataFrame, zips: DataFrame) -> DataFrame:
     columns = [c for c in SCENARIO_COLUMNS if c in scenario.columns]
-    return scenario.join(small_zips(zips), "zip5", "left_semi").select(*columns)
+    return scenario.join(distinct_zips(zips), "zip5", "left_semi").select(*columns)
 
 
 def select_zips_topn(scenario: DataFrame, scored: DataFrame, n: int):
