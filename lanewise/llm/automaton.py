@@ -13,7 +13,7 @@ class Lexicon:
     """
 
     #: Transitions remembered at most; beyond that they are worked out anew.
-    MEMORY = 500_000
+    MEMORY = 100_000
 
     def __init__(self, terms: list[str], edits_for=lambda term: int(len(term) >= 5)):
         self.children: list[dict[str, int]] = [{}]

@@ -27,7 +27,8 @@ MAX_TERMS = 5_000
 #: Words on either side of a term that tell quotation from abuse.
 WINDOW = 6
 
-TOKEN = regex.compile(r"[\p{L}\p{M}]+|[\"“”„«»]")
+WORD = r"[\p{L}\p{M}]+"
+TOKEN = regex.compile(WORD + "|[\"“”„«»]")
 MARKS = frozenset('"“”„«»')
 # Words of speech about a term, and words that address someone.
 SPEECH = frozenset(
@@ -44,19 +45,15 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def contexts(text: Column) -> Column:
-    """Distinct pairs of a word and the word before it."""
+def words_of(text: Column) -> Column:
+    """The words of :func:`tokens` as an array, without leaving the JVM."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
-    def batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                words = [w for w in tokens(t) if w not in MARKS]
-                pairs = set(zip(words, ["", *words], strict=False))
-                out.append([{"word": w, "before": b} for w, b in pairs])
-            yield pd.Series(out)
 
-    return F.pandas_udf(batch, "array<struct<word string, before string>>")(text)
+def with_word_before(words: Column) -> Column:
+    """Pairs ``word, before`` of an array of words."""
+    before = F.slice(F.concat(F.array(F.lit("")), words), 1, F.size(words))
+    return F.arrays_zip(words.alias("word"), before.alias("before"))
 
 
 def learned_terms(
@@ -67,18 +64,26 @@ def learned_terms(
 ) -> list[tuple[str, float]]:
     """Terms and weights from ``text, toxic`` rows.
 
-    A term counts once for every different word before it, so that copies of a
-    text give no evidence of their own.
+    A term counts once for every different word before it in toxic texts, so
+    that copies of a text give no evidence of their own, and once for every
+    clean text that has it.
     """
     sizes = train.agg(
         F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")
     ).first()
-    pairs = train.select("toxic", F.explode(contexts(F.col("text"))).alias("c"))
-    pairs = pairs.select("toxic", "c.*").where(F.length("word") >= MIN_LETTERS)
-    toxic = pairs.where("toxic").select("word", "before").distinct()
-    toxic = toxic.groupBy("word").agg(F.count(F.lit(1)).alias("toxic"))
+    words = train.select("toxic", words_of(F.col("text")).alias("words"))
+    long_enough = F.length("word") >= MIN_LETTERS
+    pairs = words.where("toxic").select(
+        F.inline(with_word_before(F.col("words"))).alias("word", "before")
+    )
+    toxic = pairs.where(long_enough).distinct().groupBy("word")
+    toxic = toxic.agg(F.count(F.lit(1)).alias("toxic"))
     toxic = staged(toxic.where(F.col("toxic") >= min_contexts), "toxic-words")
-    clean = pairs.where("not toxic").groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
+    clean = words.where("not toxic").select(
+        F.explode(F.array_distinct("words")).alias("word")
+    )
+    clean = clean.where(long_enough).groupBy("word")
+    clean = clean.agg(F.count(F.lit(1)).alias("clean"))
     both = toxic.join(clean, "word", "left").fillna(0, ["clean"])
     odds = F.log((F.col("toxic") + 0.5) / (sizes["toxic"] + 1)) - F.log(
         (F.col("clean") + 0.5) / (sizes["clean"] + 1)
@@ -98,7 +103,7 @@ class Scorer:
 
     def term(self, word: str) -> tuple[str, int] | None:
         if word not in self.seen:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             self.seen[word] = self.lexicon.find(word)
         return self.seen[word]
