@@ -37,7 +37,8 @@ CHUNK_BYTES = 32 << 20
 #: Bytes of text worked on at a time within a chunk.
 PART_BYTES = 2 << 20
 END_TOKEN = b"\n"  # no word holds white space
-TOKEN, STRING = 0, 1
+#: Kinds of rows that a chunk is made of, in this order.
+TOKEN, STRING, DOCUMENT = 0, 1, 2
 
 
 # --- Texts as tokens and byte strings ----------------------------------------
@@ -52,8 +53,11 @@ def tokens(raw: bytes) -> list[bytes]:
     return [*raw.split(), END_TOKEN]
 
 
-def token_key(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token)
+def token_keys(raw: bytes) -> np.ndarray:
+    """A 64-bit hash for each token."""
+    words = tokens(raw)
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return keys.view(np.int64)
 
 
 def byte_strings(texts: list[bytes], order: int) -> np.ndarray:
@@ -73,58 +77,88 @@ def byte_strings(texts: list[bytes], order: int) -> np.ndarray:
     return key[own[order:]]
 
 
-def parts(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of the texts of bounded size, one text at least."""
+def parts(sizes: list[int]) -> Iterator[slice]:
+    """Slices of texts of these sizes: of bounded size, one text at least."""
     start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
+    for k, n in enumerate(sizes):
+        size += n
         if size >= PART_BYTES:
             yield slice(start, k + 1)
             start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
-def counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their counts over all arrays."""
-    if not arrays:
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts."""
+    found = pc.value_counts(pa.array(keys))
+    return found.field("values").to_numpy(), found.field("counts").to_numpy()
+
+
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, in order, and their counts over all parts."""
+    if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = [pc.value_counts(pa.array(a)) for a in arrays]
-    values = np.concatenate([x.field("values").to_numpy() for x in found])
-    counts = np.concatenate([x.field("counts").to_numpy() for x in found])
-    distinct, place = np.unique(values, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+    values, place = np.unique(np.concatenate([v for v, _ in counts]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([n for _, n in counts]), len(values))
+    return values, total.astype(np.int64)
+
+
+class Counts:
+    """Distinct keys of one kind in a chunk, and their counts in training texts."""
+
+    #: Entries waiting to be summed up, at most.
+    WAITING = 1_000_000
+
+    def __init__(self):
+        self.kept = summed([])
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, held: bool) -> None:
+        values, counts = distinct(keys)
+        self.waiting.append((values, np.zeros_like(counts) if held else counts))
+        if sum(len(v) for v, _ in self.waiting) > self.WAITING:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self.kept, self.waiting = summed([self.kept, *self.waiting]), []
+        return self.kept
+
+
+def by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Runs of rows of one chunk; a chunk may come in several runs, one after the other."""
+    for batch in batches:
+        for chunk, rows in batch.groupby("chunk", sort=False):
+            yield int(chunk), rows
 
 
 def chunk_counts(order: int):
-    """What occurs in a chunk, and how often in its training texts."""
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk = rows["chunk"].iloc[0]
-        texts = [lowered(t) for t in rows["text"]]
-        held = rows["held_out"].to_numpy(bool)
-        out = []
-        learned: dict[bytes, int] = defaultdict(int)
-        for raw, out_of_model in zip(texts, held, strict=True):
-            step = 0 if out_of_model else 1
-            for token in tokens(raw):
-                learned[token] += step
-        keys = np.fromiter(map(token_key, learned), np.uint64, len(learned))
-        out.append((TOKEN, keys.view(np.int64), np.fromiter(learned.values(), np.int64)))
-        for flag in (False, True):
-            some = [t for t, h in zip(texts, held, strict=True) if h == flag]
-            arrays = [byte_strings(some[s], order) for s in parts(some)]
-            keys, counts = counted(arrays)
-            if not flag:
-                seen = keys
-                out.append((STRING, keys, counts))
-            else:
-                new = keys[~np.isin(keys, seen)]
-                out.append((STRING, new, np.zeros(len(new), np.int64)))
-        return pd.concat(
-            pd.DataFrame({"chunk": chunk, "kind": kind, "key": keys, "n": counts})
-            for kind, keys, counts in out
-        )
+    """What occurs in a chunk, and how often in its training texts.
+
+    Rows come sorted by chunk, a batch at a time; only sums are held.
+    """
+
+    def frames(chunk: int, counts: dict[int, Counts]) -> Iterator[pd.DataFrame]:
+        for kind, found in counts.items():
+            keys, n = found.total()
+            for k in range(0, len(keys), 100_000):
+                part = slice(k, k + 100_000)
+                yield pd.DataFrame(
+                    {"chunk": chunk, "kind": kind, "key": keys[part], "n": n[part]}
+                )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, counts = None, {}
+        for chunk, rows in by_chunk(batches):
+            if chunk != at:
+                yield from frames(at, counts)
+                at, counts = chunk, {TOKEN: Counts(), STRING: Counts()}
+            for held, group in rows.groupby("held_out"):
+                for s in parts([len(t or "") for t in group["text"]]):
+                    raw = [lowered(t) for t in group["text"].iloc[s]]
+                    counts[TOKEN].add(np.concatenate(list(map(token_keys, raw))), held)
+                    counts[STRING].add(byte_strings(raw, order), held)
+        yield from frames(at, counts)
 
     return count
 
@@ -195,9 +229,9 @@ def code_lengths(strings: DataFrame, order: int = ORDER) -> DataFrame:
         )
         walk = staged(left, "escaped")
     # Bytes that no training text has share what is left of the alphabet.
-    seen = contexts[0].agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("seen"))
-    rest = walk.join(F.broadcast(seen)).select(
-        "key", (F.col("value") - F.log10(F.lit(SYMBOLS) - F.col("seen"))).alias("value")
+    seen = contexts[0].agg(F.coalesce(F.sum("distinct"), F.lit(0))).scalar()
+    rest = walk.select(
+        "key", (F.col("value") - F.log10(F.lit(SYMBOLS) - seen)).alias("value")
     )
     return done.union(rest)
 
@@ -205,44 +239,79 @@ def code_lengths(strings: DataFrame, order: int = ORDER) -> DataFrame:
 # --- Scores ------------------------------------------------------------------
 
 
+class Values:
+    """Values of one kind by key, collected batch by batch."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.found: list[np.ndarray] = []
+        self.index: pd.Index | None = None
+
+    def add(self, keys: pd.Series, values: pd.Series) -> None:
+        # Copies: a view would keep the whole batch.
+        self.keys.append(keys.to_numpy(copy=True))
+        self.found.append(values.to_numpy(copy=True))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if self.index is None:
+            self.index = pd.Index(np.concatenate(self.keys).astype(np.int64))
+            self.values, self.keys = np.concatenate(self.found), []
+            self.found = []
+        place = self.index.get_indexer(keys)
+        if len(place) and place.min() < 0:
+            raise KeyError("a key of the chunk has no value")
+        return self.values[place]
+
+
 def chunk_scores(order: int, n: int, v: int):
-    """Scores of the documents of a chunk from the values it asked for."""
+    """Scores of the documents of a chunk from the values it asked for.
+
+    In each chunk the values come first, the documents after them; of these one
+    batch is held at a time.
+    """
     least = math.log10(n + 0.1 * (v + 1))
 
-    def score(docs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        texts = [lowered(t) for t in docs["text"]]
-        of_tokens = values[values["kind"] == TOKEN]
-        learned = dict(zip(of_tokens["key"].tolist(), of_tokens["value"].tolist(), strict=True))
-        count: dict[bytes, float] = {}
-        rows = []
-        for raw in texts:
-            words = tokens(raw)
-            for w in words:
-                if w not in count:
-                    key = token_key(w)
-                    count[w] = learned[key - (1 << 64) if key >> 63 else key]
-            c = np.fromiter((count[w] for w in words), float, len(words))
-            base = float(np.log10(c + 0.1).sum() - len(words) * least)
-            rows.append((len(words), int((c > 0).sum()), base))
-        of_strings = values[values["kind"] == STRING].sort_values("key")
-        keys, logs = of_strings["key"].to_numpy(), of_strings["value"].to_numpy(float)
-        index = pd.Index(keys)
-        scores = []
-        for s in parts(texts):
-            found = logs[index.get_indexer(byte_strings(texts[s], order))]
-            ends = np.cumsum([len(t) + 1 for t in texts[s]])
-            scores.extend(np.add.reduceat(found, np.r_[0, ends[:-1]]).tolist())
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-        return out.assign(
-            id=docs["id"].to_numpy(),
-            held_out=docs["held_out"].to_numpy(),
-            train_tokens=n,
-            score=scores,
-        )
+    def scored(docs: pd.DataFrame, values: dict[int, Values]) -> Iterator[pd.DataFrame]:
+        for s in parts([len(t or "") for t in docs["text"]]):
+            some = docs.iloc[s]
+            raw = [lowered(t) for t in some["text"]]
+            keys = list(map(token_keys, raw))
+            size = np.array(list(map(len, keys)))
+            c = values[TOKEN].of(np.concatenate(keys))
+            logs = values[STRING].of(byte_strings(raw, order))
+            yield pd.DataFrame(
+                {
+                    "id": some["id"].astype("Int64").where(some["named"]),
+                    "held_out": some["held_out"],
+                    "n_tokens": size,
+                    "n_known": sums_by((c > 0).astype(np.int64), size),
+                    "train_tokens": n,
+                    "base_score": sums_by(np.log10(c + 0.1), size) - size * least,
+                    "score": sums_by(logs, np.array([len(t) + 1 for t in raw])),
+                }
+            )
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, values = None, {}
+        for chunk, rows in by_chunk(batches):
+            if chunk != at:
+                at, values = chunk, {TOKEN: Values(), STRING: Values()}
+            for kind, found in values.items():
+                own = rows[rows["kind"] == kind]
+                if len(own):
+                    found.add(own["key"], own["value"])
+            docs = rows[rows["kind"] == DOCUMENT]
+            if len(docs):
+                yield from scored(docs, values)
 
     return score
 
 
+def sums_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of these sizes, none of them empty."""
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes)
+
+
 SCORE_ROW = (
     "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
@@ -266,7 +335,8 @@ def ppm_scores(
 
     Documents fall into chunks of about ``chunk_bytes`` by a hash of id and
     text.  A chunk sends its distinct strings and words with their counts; sums
-    over the chunks give the model; the values go back to the chunks that asked.
+    over the chunks give the model; the values go back to the chunks that asked,
+    whose numbers travel with each sum.
 
     Nulls: a null text is empty, so its end is all there is to score; a null
     ``held_out`` counts as held out; a null id is returned as null.  Repeated
@@ -285,25 +355,47 @@ def ppm_scores(
         "chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")
     )
     kinds = "chunk int, kind int, key bigint, n bigint"
-    counts = own.groupBy("chunk").applyInPandas(chunk_counts(order), kinds)
-    counts = staged(counts, "counts")
-    sums = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "sums")
+    grouped = own.repartition("chunk").sortWithinPartitions("chunk")
+    counts = grouped.select("chunk", "held_out", "text").mapInPandas(chunk_counts(order), kinds)
+    # A key has one row for each chunk at most, so nothing combines before the
+    # shuffle; plain rows are smaller than partial sets.
+    counts = counts.repartition("kind", "key")
+    sums = counts.groupBy("kind", "key").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_set("chunk")).alias("chunks")
+    )
+    sums = staged(sums, "sums")
     words = sums.where(F.col("kind") == TOKEN)
     total = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")
     ).first()
-    strings = sums.where(F.col("kind") == STRING).select("key", "n")
-    logs = code_lengths(strings, order)
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).union(
-        logs.select(F.lit(STRING).alias("kind"), "key", "value")
+    strings = sums.where(F.col("kind") == STRING)
+    logs = staged(code_lengths(strings.select("key", "n"), order), "logs")
+    values = words.select("chunks", "kind", "key", F.col("n").cast("double").alias("value"))
+    values = values.union(strings.join(logs, "key").select("chunks", "kind", "key", "value"))
+    asked = values.select(
+        F.explode("chunks").alias("chunk"),
+        "kind",
+        "key",
+        "value",
+        F.lit(0).cast("long").alias("id"),
+        F.lit(False).alias("named"),
+        F.lit(False).alias("held_out"),
+        F.lit(None).cast("string").alias("text"),
     )
-    values = staged(values, "values")
-    asked = counts.select("chunk", "kind", "key").join(values, ["kind", "key"])
-    return (
-        own.groupBy("chunk")
-        .cogroup(asked.groupBy("chunk"))
-        .applyInPandas(chunk_scores(order, total["n"], total["v"]), SCORE_ROW)
+    # No nulls among the numbers: pandas would make floats of them.
+    docs = own.select(
+        "chunk",
+        F.lit(DOCUMENT).alias("kind"),
+        F.lit(0).cast("long").alias("key"),
+        F.lit(0.0).alias("value"),
+        F.coalesce("id", F.lit(0)).alias("id"),
+        F.col("id").isNotNull().alias("named"),
+        "held_out",
+        "text",
     )
+    both = asked.union(docs).repartition("chunk")
+    both = both.sortWithinPartitions("chunk", "kind")
+    return both.mapInPandas(chunk_scores(order, total["n"], total["v"]), SCORE_ROW)
 
 
 # --- A model of the text itself ----------------------------------------------
