@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.stages import row_key, staged
 
-#: Sentences in a run.  A longer repeated passage is covered by its runs of two.
+#: Sentences in a run, at least.
 RUN = 2
 #: Words a run must have to count: short runs repeat by chance.
 MIN_WORDS = 8
@@ -30,31 +30,53 @@ def sentences(text: str | None) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
 
-def run_hashes(text: str | None, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position and hash of every run of sentences that has enough words.
+def shortest_runs(size: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and number of sentences of the shortest runs that count.
+
+    From each sentence on, and back from each sentence, a run grows until it has
+    ``run`` sentences and sizes of ``least`` in all.  Every longer run is
+    covered by these: the last that starts inside it and fits, grown back from
+    its end, reaches the end.
+    """
+    n = len(size)
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    start = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + least), start + run)
+    last = np.arange(1, n + 1)
+    first = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, last - run)
+    ahead, back = end <= n, first >= 0
+    found = np.concatenate([start[ahead] * (n + 1) + end[ahead], first[back] * (n + 1) + last[back]])
+    start, end = np.divmod(np.unique(found), n + 1)
+    return start, end - start
+
+
+def run_hashes(
+    text: str | None, run: int, min_words: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, number of sentences and hash of the runs of :func:`shortest_runs`.
 
     Sentences are compared in lower case with one space between words.
     """
     words = [s.lower().encode().split() for s in sentences(text)]
-    n = max(0, len(words) - run + 1)
     size = np.array([len(w) for w in words], np.int64)
-    enough = sum((size[k : k + n] for k in range(run)), np.zeros(n, np.int64)) >= min_words
-    pos = np.flatnonzero(enough)
+    pos, many = shortest_runs(size, run, min_words)
     bare = [b" ".join(w) for w in words]
     digest = xxhash.xxh64_intdigest
-    found = [digest(b"\n".join(bare[p : p + run])) for p in pos.tolist()]
-    return pos.astype(np.int32), np.array(found, np.uint64).view(np.int64)
+    places = zip(pos.tolist(), many.tolist(), strict=True)
+    found = [digest(b"\n".join(bare[p : p + m])) for p, m in places]
+    found = np.array(found, np.uint64).view(np.int64)
+    return pos.astype(np.int32), many.astype(np.int32), found
 
 
 def runs(text: Column, run: int, min_words: int) -> Column:
-    """Arrays ``pos`` and ``hash`` of the runs of a text column."""
+    """Arrays ``pos``, ``many`` and ``hash`` of the runs of a text column."""
 
     def batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [run_hashes(t, run, min_words) for t in texts]
-            yield pd.DataFrame(found, columns=["pos", "hash"])
+            yield pd.DataFrame(found, columns=["pos", "many", "hash"])
 
-    return F.pandas_udf(batch, "pos array<int>, hash array<bigint>")(text)
+    return F.pandas_udf(batch, "pos array<int>, many array<int>, hash array<bigint>")(text)
 
 
 def repeated_sentences(
@@ -66,10 +88,10 @@ def repeated_sentences(
 ) -> DataFrame:
     """``row, cut``: for each row with repeats the positions of sentences to remove.
 
-    A run of ``run`` consecutive sentences with at least ``min_words`` words is
-    repeated if another place of the corpus has the same run.  All its places
-    but the first, in the order of id (null first), text hash and position,
-    have their sentences cut.
+    A run of at least ``run`` consecutive sentences with at least ``min_words``
+    words is repeated if another place of the corpus has the same run.  All its
+    places but the first, in the order of id (null first), text hash and
+    position, have their sentences cut.
 
     Runs are counted by their hash alone, which combines before the shuffle;
     only runs seen twice carry their places on.
@@ -81,14 +103,14 @@ def repeated_sentences(
     counts = own.select(F.explode("hash").alias("hash")).groupBy("hash")
     counts = counts.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = staged(counts.select("hash"), "again")
-    spans = own.select("id", "key", F.explode(F.arrays_zip("pos", "hash")).alias("r"))
-    spans = spans.select("id", "key", "r.pos", "r.hash")
+    spans = own.select("id", "key", F.explode(F.arrays_zip("pos", "many", "hash")).alias("r"))
+    spans = spans.select("id", "key", "r.pos", "r.many", "r.hash")
     places = staged(spans.join(again, "hash"), "places")
     place = F.struct("id", "key", "pos")
     firsts = places.groupBy("hash").agg(F.min(place).alias("first"))
     firsts = staged(firsts, "firsts")
     later = places.join(firsts, "hash").where(place > F.col("first"))
-    covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.lit(run - 1)))
+    covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("many") - 1))
     cut = later.select("id", "key", covered.alias("pos")).groupBy("id", "key")
     cut = cut.agg(F.collect_set("pos").alias("cut"))
     return cut.select(F.struct("id", F.col("key").alias("text")).alias("row"), "cut")

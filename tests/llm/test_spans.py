@@ -1,3 +1,4 @@
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -54,3 +55,30 @@ def test_odd_rows(odd):
     assert any(t and t.startswith("The harbour") for t in texts[None])
     assert texts[6] == [""] and texts[2] == [None] and texts[3] == [""]
     assert spans.without_repeated_sentences(odd.limit(0)).count() == 0
+
+
+def test_passages_of_short_sentences_go_whole(table):
+    shout = " ".join(f"WORD{k}!!" for k in range(60))
+    menu = "\n".join(f"{k} soup\nbread {k}" for k in range(20))
+    tail = "The last boat of the day has left the harbour now. We all stay here for the night then. Good. Fine. So."
+    rows = [(10 * n + c, t) for n, t in enumerate((shout, menu, tail)) for c in (1, 2, 3)]
+    rows.append((50, f"Quite another start of a text. {shout} Quite another end of it."))
+    rows.append((51, "One! Two! Three! Four!"))
+    rows.append((52, "One! Two! Three! Four!"))
+    found = {r["doc_id"]: r["text"] for r in spans.without_repeated_sentences(table(rows)).collect()}
+    for n, t in enumerate((shout, menu, tail)):
+        assert [found[10 * n + c] for c in (1, 2, 3)] == [t, "", ""]
+    assert found[50] == "Quite another start of a text. Quite another end of it."
+    assert found[51] == found[52] == "One! Two! Three! Four!"
+
+
+@given(st.lists(st.integers(0, 10), max_size=30), st.integers(1, 4), st.integers(0, 20))
+def test_shortest_runs_cover_every_run_that_counts(size, run, least):
+    start, many = spans.shortest_runs(np.array(size, np.int64), run, least)
+    found = [range(a, a + n) for a, n in zip(start.tolist(), many.tolist(), strict=True)]
+    assert all(len(r) >= run and sum(size[r.start : r.stop]) >= least for r in found)
+    for a in range(len(size)):
+        for b in range(a + run, len(size) + 1):
+            if sum(size[a:b]) >= least:
+                inside = {k for r in found if a <= r.start and r.stop <= b for k in r}
+                assert inside == set(range(a, b))
