@@ -1,4 +1,4 @@
-"""Substring dedup over runs of consecutive sentences."""
+"""Substring dedup over runs of consecutive sentences and pieces of them."""
 
 from __future__ import annotations
 
@@ -13,13 +13,25 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.stages import row_key, staged
 
-#: Sentences in a run, at least.
+#: Units (short sentences, pieces of longer ones) in a run, at least.
 RUN = 2
 #: Words a run must have to count: short runs repeat by chance.
 MIN_WORDS = 8
 #: A sentence ends with a full stop, question or exclamation mark and the white
-#: space after it, or with its line.
-BOUNDARY = re.compile(r"(?:[.!?][\x20\x09-\x0D]|\n)[\x20\x09-\x0D]*(?=[^\x20\x09-\x0D])")
+#: space after it, with a full-width one of these, or with its line.
+BOUNDARY = re.compile(
+    r"(?:[.!?][\x20\x09-\x0D]|[。！？｡](?![。！？｡])|\n)[\x20\x09-\x0D]*(?=[^\x20\x09-\x0D])"
+)
+#: Letters of scripts that put no space between words; two count as a word.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff01-\uff65\U00020000-\U0003ffff"
+)
+WORD = re.compile(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+")
+LETTER = re.compile(f"[{UNSPACED}]")
+#: Of so many words in a row inside a sentence, one starts a unit: a passage of
+#: 50 words holds a whole run wherever it starts and ends.
+GAP = 10
 
 
 def sentences(text: str | None) -> list[str]:
@@ -30,11 +42,57 @@ def sentences(text: str | None) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
 
+class Words:
+    """The words of a text in lower case and the units they form.
+
+    A unit starts with each sentence, and after the first word of a sentence
+    with every word whose hash is the smallest (ties: the last) of some ``GAP``
+    words in a row.  That depends on nearby words alone, so copies of a passage
+    are cut alike wherever they stand; sentences of up to ``GAP`` words stay
+    whole, longer ones have two units or more.
+    """
+
+    def __init__(self, text: str | None):
+        self.text = text = text or ""
+        found = [(m.start(), m.group()) for m in WORD.finditer(text)]
+        words = [w for _, w in found]
+        n = len(words)
+        #: All words with one space between them, and where each starts.
+        self.bare = " ".join(words).lower().encode()
+        space = np.flatnonzero(np.frombuffer(self.bare, np.uint8) == 32)
+        self.at = np.concatenate([[0], space + 1, [len(self.bare) + 1]])
+        #: A word has size 2, a letter of a script without spaces 1.
+        self.size = np.full(n, 2, np.int64)
+        if LETTER.search(text):
+            self.size -= np.fromiter((LETTER.match(w) is not None for w in words), bool, n)
+        place = np.fromiter((at for at, _ in found), np.int64, n)
+        ends = np.array([m.end() for m in BOUNDARY.finditer(text)], np.int64)
+        sentence = np.searchsorted(ends, place, "right")
+        starts = np.ones(n, bool)
+        starts[1:] = sentence[1:] != sentence[:-1]
+        windows = 1 + np.flatnonzero(sentence[GAP:] == sentence[: max(0, n - GAP)])
+        if len(windows):
+            digest = xxhash.xxh64_intdigest
+            value = np.array([digest(w) for w in self.bare.split(b" ")], np.uint64)
+            smallest = np.lib.stride_tricks.sliding_window_view(value, GAP)[windows, ::-1]
+            starts[windows + GAP - 1 - smallest.argmin(axis=1)] = True
+        #: First words of the units, and the number of words.
+        self.first = np.append(np.flatnonzero(starts), n)
+        #: Where units start in the text, and the sentence each is in.
+        self.place = place[self.first[:-1]]
+        self.sentence = sentence[self.first[:-1]]
+
+    def units(self) -> list[str]:
+        """The text cut into units; put together again they are the text."""
+        ends, text = self.place[1:].tolist(), self.text
+        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
 def shortest_runs(size: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence and number of sentences of the shortest runs that count.
+    """First unit and number of units of the shortest runs that count.
 
-    From each sentence on, and back from each sentence, a run grows until it has
-    ``run`` sentences and sizes of ``least`` in all.  Every longer run is
+    From each unit on, and back from each unit, a run grows until it has
+    ``run`` units and sizes of ``least`` in all.  Every longer run is
     covered by these: the last that starts inside it and fits, grown back from
     its end, reaches the end.
     """
@@ -53,17 +111,19 @@ def shortest_runs(size: np.ndarray, run: int, least: int) -> tuple[np.ndarray, n
 def run_hashes(
     text: str | None, run: int, min_words: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, number of sentences and hash of the runs of :func:`shortest_runs`.
+    """Position, number of units and hash of the runs of :func:`shortest_runs`.
 
-    Sentences are compared in lower case with one space between words.
+    A text of fewer than ``run`` units is a run as a whole.  Runs are compared in
+    lower case with one space between words.
     """
-    words = [s.lower().encode().split() for s in sentences(text)]
-    size = np.array([len(w) for w in words], np.int64)
-    pos, many = shortest_runs(size, run, min_words)
-    bare = [b" ".join(w) for w in words]
-    digest = xxhash.xxh64_intdigest
-    places = zip(pos.tolist(), many.tolist(), strict=True)
-    found = [digest(b"\n".join(bare[p : p + m])) for p, m in places]
+    words = Words(text)
+    first = words.first
+    total = np.concatenate([[0], np.cumsum(words.size)])
+    size = np.diff(total[first])
+    pos, many = shortest_runs(size, min(run, len(size)), 2 * min_words)
+    bare, digest = words.bare, xxhash.xxh64_intdigest
+    a, b = words.at[first[pos]], words.at[first[pos + many]] - 1
+    found = [digest(bare[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     found = np.array(found, np.uint64).view(np.int64)
     return pos.astype(np.int32), many.astype(np.int32), found
 
@@ -86,12 +146,12 @@ def repeated_sentences(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``row, cut``: for each row with repeats the positions of sentences to remove.
+    """``row, cut``: for each row with repeats the positions of units to remove.
 
-    A run of at least ``run`` consecutive sentences with at least ``min_words``
+    A run of at least ``run`` consecutive units with at least ``min_words``
     words is repeated if another place of the corpus has the same run.  All its
     places but the first, in the order of id (null first), text hash and
-    position, have their sentences cut.
+    position, have their units cut.
 
     Runs are counted by their hash alone, which combines before the shuffle;
     only runs seen twice carry their places on.
@@ -117,15 +177,22 @@ def repeated_sentences(
 
 
 def without(text: Column, cut: Column) -> Column:
-    """The text without the sentences at the positions ``cut``, and their number."""
+    """The text without the units at the positions ``cut``.
+
+    With it the number of sentences that lose words, and of all sentences.
+    """
 
     def batch(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, cuts in pairs:
             out = []
             for t, c in zip(texts, cuts, strict=True):
-                parts, gone = sentences(t), set() if c is None else set(c.tolist())
-                left = "".join(s for k, s in enumerate(parts) if k not in gone)
-                out.append((left if gone else t, len(gone), len(parts)))
+                total = 1 + sum(1 for _ in BOUNDARY.finditer(t)) if t else 0
+                if c is None:
+                    out.append((t, 0, total))
+                    continue
+                words, gone = Words(t), set(c.tolist())
+                left = "".join(u for k, u in enumerate(words.units()) if k not in gone)
+                out.append((left, len(np.unique(words.sentence[c])), total))
             yield pd.DataFrame(out, columns=["text", "removed", "total"])
 
     return F.pandas_udf(batch, "text string, removed int, total int")(text, cut)
@@ -140,17 +207,18 @@ def without_repeated_sentences(
     removed: str = "n_removed_sentences",
     total: str = "n_sentences",
 ) -> DataFrame:
-    """Remove from ``text`` the sentences of :func:`repeated_sentences`.
+    """Remove from ``text`` the units of :func:`repeated_sentences`.
 
     What stays is put together as it was.  ``removed`` and ``total`` are new
-    columns with the number of sentences cut and found.  Every row stays, if
-    only with an empty text.
+    columns with the number of sentences cut, whole or in part, and found.
+    Every row stays, if only with an empty text.
 
     Nulls: a null text stays null and has no sentence; a null id counts as the
     smallest.  Repeated rows (same id and text) are one row with several places
     of equal rank: they keep or lose the same sentences.  Rows with one id and
-    different texts are ordered by a hash of the text.  Texts of fewer than
-    ``run`` sentences have no run.  An empty table gives an empty table.  Other
+    different texts are ordered by a hash of the text.  A text of fewer
+    than ``run`` units can only be repeated as a whole, by a text or by a run of
+    the same words.  An empty table gives an empty table.  Other
     columns pass through, except those named as ``removed`` and ``total``, which
     are replaced.
     """

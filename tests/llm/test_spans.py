@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
@@ -82,3 +84,52 @@ def test_shortest_runs_cover_every_run_that_counts(size, run, least):
             if sum(size[a:b]) >= least:
                 inside = {k for r in found if a <= r.start and r.stop <= b for k in r}
                 assert inside == set(range(a, b))
+
+
+def windows(text, n=50):
+    words = text.lower().split()
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def test_passages_planted_inside_sentences_go(table):
+    draw = random.Random(3)
+
+    def prose(n, stops=0.0):
+        return " ".join(f"w{draw.randrange(10**6)}" + "." * (draw.random() < stops) for _ in range(n))
+
+    passages = [prose(50, stops) for stops in (0, 0, 0.03, 0.03, 0.1, 0.3) for _ in range(5)]
+    passages += [prose(50).replace(" ", ".&&& ", 3), " ".join(["IM!! BEST!! EIN!!"] * 17)]
+    rows, before = [], {}
+    for k, passage in enumerate(passages):
+        for copy in range(2):
+            before[2 * k + copy] = f"{prose(draw.randrange(15))} {passage} {prose(draw.randrange(15))}".strip()
+    rows = list(before.items())
+    found = {r["doc_id"]: r["text"] for r in spans.without_repeated_sentences(table(rows)).collect()}
+    for k, passage in enumerate(passages):
+        first, second = found[2 * k], found[2 * k + 1]
+        assert windows(passage) <= windows(before[2 * k + 1])
+        assert not windows(first) & windows(second)
+        assert set(passage.lower().split()) <= set(first.lower().split())
+        # What stands around the passage stays.
+        assert set(before[2 * k + 1].split()) - set(passage.split()) <= set(second.split())
+
+
+def test_copies_of_one_sentence_go(table):
+    one = [
+        "nobody ever takes the long way round the bay in one evening when it rains like that",
+        "Eight words make a sentence that counts here.",
+        "港は町より先に目を覚ます。船は潮と一緒に入ります。誰も知りません。",
+        "港" * 9 + "町先目覚船潮緒入誰知",
+    ]
+    rows = [(10 * k + c, t) for k, t in enumerate(one) for c in range(3)]
+    rows += [(90, "Seven words are not enough for this"), (91, "Seven words are not enough for this")]
+    found = {r["doc_id"]: r for r in spans.without_repeated_sentences(table(rows)).collect()}
+    for k, t in enumerate(one):
+        assert [found[10 * k + c]["text"] for c in range(3)] == [t, "", ""]
+    assert found[90]["text"] == found[91]["text"] == "Seven words are not enough for this"
+    assert found[21]["n_sentences"] == found[21]["n_removed_sentences"] == 3
+
+
+@given(st.text(alphabet="abc .!?\n\t港。", max_size=200))
+def test_units_put_together_are_the_text(text):
+    assert "".join(spans.Words(text).units()) == text
