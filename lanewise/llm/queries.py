@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,18 @@ from lanewise.llm import (
     archives,
     cascade,
     decontaminate,
+    langid,
     lines,
     mixing,
     ppm,
+    prefixes,
     simhash,
     spans,
     toxicity,
     urlrules,
+    variants,
 )
+from lanewise.llm.stages import lower_ascii
 
 #: Texts that a Python worker holds at a time, about.
 BATCH_BYTES = 8 << 20
@@ -193,6 +198,133 @@ def mix_sql(sweeps: int = mixing.SWEEPS, temper: float = mixing.TEMPER) -> str:
     )
 
 
+#: CRC-32 of a text, byte by byte; the table is made by its polynomial.
+CRC_TABLE = """(
+    select list(list_reduce(range(8), lambda c, _: case when c & 1 = 1
+                then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b)
+    from range(256) t(b)
+)"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    """The CRC as an expression; ``table`` is a column with ``CRC_TABLE``."""
+    code = f"hex(encode({text}))"
+    byte = f"('0x' || substr({code}, 2 * i + 1, 2))::bigint"
+    return (
+        f"xor(list_reduce(list_transform(range(length({code}) // 2), lambda i: {byte}), "
+        f"lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
+VARIANTS_SQL = f"""
+    with recursive k as materialized (select {CRC_TABLE} as tab),
+    runs as (
+        select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))
+               as run from documents
+    ), low as (
+        select coalesce(doc_id::varchar, '') || ':' as doc,
+               translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+        from runs where length(run) >= 7
+    ), hashed as (
+        select run, {crc32_sql("doc || run", "tab")} as h from low, k
+    ), spoken as (
+        select case when h % 31 = 0 then substr(run, 1, h % length(run))
+                    || substr(run, h % length(run) + 2) else run end as word from hashed
+    ), words as materialized (
+        select word, count(*) as n from spoken where length(word) >= 7
+        group by word having count(*) >= 2
+    ), cut as materialized (
+        select word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) as pattern,
+               substr(word, 1, i) || substr(word, i + 2) as less
+        from words, lateral unnest(range(length(word))) as t(i)
+    ), near as materialized (
+        select a.word, b.word as near, b.n as near_n from cut a join cut b using (pattern)
+        where a.word <> b.word
+        union
+        select a.word, b.word, b.n from cut a join words b on a.less = b.word
+        union
+        select b.word, a.word, a.n from cut a join words b on a.less = b.word
+    ), met as (
+        select word, count(*) as n_near, max(near_n) as form_n from near group by word
+    ), judged as materialized (
+        select w.word, w.n, coalesce(n_near, 0) as n_near,
+               case when form_n >= 10 * w.n then form_n end as form_n,
+               (select min(near) from near x where x.word = w.word and x.near_n = form_n
+                and form_n >= 10 * w.n) as form
+        from words w left join met m on w.word = m.word
+    ), steps as (
+        select word, form as top from judged where form is not null
+        union all
+        select s.word, j.form from steps s join judged j on j.word = s.top
+        where j.form is not null
+    ), ends as (
+        select s.word, s.top from steps s join judged j on j.word = s.top where j.form is null
+    )
+    select word, form, coalesce(top, word) as root, n, n_near, form_n
+    from judged left join ends using (word)
+"""
+
+
+TRIE_SQL = rf"""
+    with k as materialized (select {CRC_TABLE} as tab),
+    said as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+        from conversations where conv_id is not null
+    ), own as (
+        select conv_id, row_number() over (
+                   partition by conv_id order by turn nulls first, role, text) as pos,
+               sha256(length(role) || ':' || role || text) as turn_hash,
+               len({WORDS})::bigint as words
+        from said
+    ), convs as (
+        select conv_id, conv_id - conv_id % 20 as base,
+               {crc32_sql("conv_id::varchar", "tab")} % 4 as h
+        from (select distinct conv_id from own), k
+    ), built as (
+        select c.conv_id, 0 as part, o.pos, turn_hash, words
+        from convs c join own o on o.conv_id = c.base where o.pos <= c.h
+        union all
+        select c.conv_id, 1, o.pos, turn_hash, words
+        from convs c join own o using (conv_id) where o.pos > c.h
+    ), turns as (
+        select conv_id, words, turn_hash,
+               row_number() over (partition by conv_id order by part, pos) as depth
+        from built
+    ), path as materialized (
+        select conv_id, 0 as depth, '' as node, null as above, 0 as words from convs
+        union all
+        select conv_id, depth, sha256(string_agg(turn_hash, '') over o),
+               coalesce(sha256(string_agg(turn_hash, '') over (o rows between
+                   unbounded preceding and 1 preceding)), ''), words
+        from turns window o as (partition by conv_id order by depth)
+    ), ends as (
+        select p.conv_id, p.node from path p join (
+            select conv_id, max(depth) as depth from path group by conv_id
+        ) using (conv_id, depth)
+    ), nodes as materialized (
+        select node, min(depth) as depth, min(above) as above, min(conv_id) as conv_id,
+               count(*) as n_convs, max(words) as words
+        from path group by node
+    ), kids as (
+        select above as node, count(*) as n_children from nodes where depth > 0 group by above
+    ), full_nodes as (
+        select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (node)
+    ), sums as (
+        select p.node, sum((f.n_children = 0)::int)::bigint as n_leaves,
+               sum((f.n_convs - 1) * f.words)::bigint as saved_tokens
+        from full_nodes f join path p on p.conv_id = f.conv_id and p.depth <= f.depth
+        group by p.node
+    ), shas as (
+        select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256
+        from ends group by node
+    )
+    select f.conv_id, f.depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children,
+           n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+    from full_nodes f join sums using (node) left join shas using (node)
+    left join nodes up on up.node = f.above and f.depth > 0
+"""
+
+
 # --- Queries ------------------------------------------------------------------
 
 
@@ -331,3 +463,57 @@ def op10(read):
         F.col("toxicity.score").alias("score"),
         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+#: Words of variants have so many letters and occur so often.
+MIN_LETTERS, MIN_TIMES = 7, 2
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(read):
+    """Words of all documents, some misspelled by rule, and the forms they belong to."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z\u00C0-\u00FF]+"), 0)
+    runs = read("documents").select("doc_id", F.explode(found).alias("run"))
+    runs = runs.where(F.length("run") >= MIN_LETTERS)
+    runs = runs.select("doc_id", lower_ascii(F.col("run")).alias("run"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    h = F.crc32(F.concat(doc, F.lit(":"), "run").cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    less = F.concat(
+        F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run"))
+    )
+    spoken = runs.withColumn("h", h).select(
+        F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word")
+    )
+    words = (
+        spoken.where(F.length("word") >= MIN_LETTERS)
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= MIN_TIMES)
+    )
+    return variants.spelling_variants(words)
+
+
+@query("op12_language_filters")
+def op12(read):
+    """Language of every document, learned from two thirds of them."""
+    docs = read("documents")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    fold = F.crc32(name.cast("binary")) % 3 == 1
+    found = langid.languages(docs, docs.where(~fold))
+    return found.select(
+        "doc_id",
+        fold.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
+#: Conversations of one twenty start with up to three turns of its first.
+SHARED_HEADS = prefixes.Heads(20, 3, lambda conv_id: zlib.crc32(str(conv_id).encode()) % 4)
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(read):
+    """All nodes of the trie of the rebuilt conversations."""
+    return prefixes.prefix_trie(read("conversations"), SHARED_HEADS)
