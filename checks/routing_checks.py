@@ -229,8 +229,7 @@ LANE_JOIN_SQL = """
 
 
 def _open(w: World, routes):
-    packages = lanes.candidate_packages(w.candidates, w.shipments)
-    return lanes.package_lanes(packages, w.smap(), routes)
+    return lanes.package_lanes(w.lane_stage, routes)
 
 
 @check("join_lane", LANE_JOIN_SQL)
@@ -339,9 +338,11 @@ def _cost_lanes(w: World):
     """Lanes with what prices them, as the library makes them."""
 
     def build():
-        packages = lanes.candidate_packages(w.candidates, w.shipments)
-        open_lanes = lanes.package_lanes(packages, w.smap(), lanes.priced_zones(w.smap()))
-        return open_lanes.select(*COST_LANE, *lanes.LANE_KEYS, *lanes.PRICED_BY)
+        measures = lanes.candidate_packages(w.candidates, w.shipments)
+        measures = measures.select(*stock.PACKAGE, *lanes.PRICED_BY).distinct()
+        open_lanes = lanes.package_lanes(w.lane_stage, lanes.priced_zones(w.smap()))
+        open_lanes = open_lanes.select(*COST_LANE, *lanes.LANE_KEYS)
+        return open_lanes.join(measures, stock.PACKAGE)
 
     return w.saved("cost_lanes", build)
 
@@ -393,7 +394,7 @@ COST_SQL = """
 
 @check("lane_cost", COST_SQL)
 def lane_cost(w: World):
-    return lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
+    return lanes.lane_cost(w.lane_stage, w.smap())
 
 
 @check(
@@ -406,7 +407,7 @@ def lane_cost(w: World):
 )
 def total_amount(w: World):
     return (
-        lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
+        lanes.lane_cost(w.lane_stage, w.smap())
         .groupBy("mode", "zone")
         .agg(
             F.count(F.lit(1)).alias("lanes"),
@@ -418,19 +419,15 @@ def total_amount(w: World):
 
 # --- lanes ------------------------------------------------------------------
 def _costs(w: World):
-    return w.saved(
-        "costs", lambda: lanes.lane_cost(w.candidates, w.smap(), w.shipments, w.cards)
-    )
+    return w.saved("costs", lambda: lanes.lane_cost(w.lane_stage, w.smap()))
 
 
 def _options(w: World):
-    return lanes.lane_options(
-        w.candidates, w.smap(), w.shipments, w.cards, w.fc_zip_distance
-    )
+    return lanes.lane_options(w.lane_stage, w.smap(), w.fc_zip_distance)
 
 
 def _ranked(w: World):
-    return lanes.rank_lanes(_options(w), lanes.LANE_GROUP)
+    return lanes.ranked_options(w.lane_stage, w.smap(), w.fc_zip_distance)
 
 
 @check(
@@ -443,9 +440,7 @@ def _ranked(w: World):
     """,
 )
 def choose_lane(w: World):
-    return lanes.choose_lane(
-        w.candidates, w.smap(), w.shipments, w.cards, w.fc_zip_distance
-    )
+    return lanes.choose_lane(w.lane_stage, w.smap(), w.fc_zip_distance)
 
 
 @check(
@@ -476,7 +471,7 @@ def win_conditional_max(w: World):
 
 @check("cost_neutral_fcs", "select * from neutral_baseline")
 def cost_neutral_fcs(w: World):
-    return lanes.cost_neutral_fcs(_ranked(w))
+    return lanes.cost_neutral_fcs(w.lane_stage, w.smap(), w.fc_zip_distance)
 
 
 @check(
@@ -544,14 +539,15 @@ def join_actual_cost(w: World):
     """,
 )
 def join_cost_neutral(w: World):
-    ranked = _ranked(w)
-    winners = ranked.where(F.col("row_n") == 1).select(*stock.PACKAGE, "fc_name")
-    return winners.join(lanes.cost_neutral_fcs(ranked), stock.PACKAGE, "left")
+    tables = w.lane_stage, w.smap(), w.fc_zip_distance
+    winners = lanes.choose_lane(*tables).select(*stock.PACKAGE, "fc_name")
+    return winners.join(lanes.cost_neutral_fcs(*tables), stock.PACKAGE, "left")
 
 
 @check("routing_result", ROUTING_SQL.format("baseline"))
 def routing_result(w: World):
-    return w.build_routing("baseline")
+    """With the package stage written anew each time."""
+    return _routed(w, w.shipments, w.cards)
 
 
 @check("routing_result_remediation", ROUTING_SQL.format("remediation"))
@@ -565,16 +561,8 @@ def routing_result_expansion(w: World):
 
 
 def _routed(w: World, shipments, cards):
-    return lanes.routing_result(
-        shipments,
-        w.order_lines,
-        w.inventory,
-        w.smap(),
-        cards,
-        w.fc_zip_distance,
-        START,
-        END,
-    )
+    stage = w.build_routing_stage(shipments, cards)
+    return lanes.routing_result(stage, w.smap(), w.fc_zip_distance)
 
 
 @check("routing_result_two_shipments", ROUTING_SQL.format("baseline_again"))
@@ -598,7 +586,9 @@ def routing_result_overlapping_cards(w: World):
     """,
 )
 def lane_cost_two_shipments(w: World):
-    return lanes.lane_cost(w.candidates, w.smap(), w.shipments_again, w.cards)
+    packages = lanes.candidate_packages(w.candidates, w.shipments_again)
+    stage = lanes.lane_stage(packages, w.shipments_again, w.cards, "again")
+    return lanes.lane_cost(stage, w.smap())
 
 
 # --- lane columns -----------------------------------------------------------

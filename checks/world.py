@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import Inputs, key_of
 from lanewise import params as P
-from lanewise.operators import signals, whatif, zips
-from lanewise.operators.lanes import routing_result
+from lanewise.operators import lanes, signals, whatif, zips
 from lanewise.operators.rates import CARDS, RateCards
 from lanewise.operators.scoring import expansion_score, remediation_score
 from lanewise.operators.shipmap import ship_map_for
@@ -33,6 +32,8 @@ EXECUTION = P.ExecutionParams(
     switch_for_inactive=True,
 )
 
+LANE_STAGES: dict[tuple, lanes.LaneStage] = {}
+
 
 class World(Inputs):
     def saved(self, name: str, build) -> DataFrame:
@@ -80,18 +81,38 @@ class World(Inputs):
     def candidates(self) -> DataFrame:
         return self.saved("candidates", self.build_candidates)
 
-    def build_routing(self, scenario: str = "baseline") -> DataFrame:
-        return routing_result(
-            self.shipments,
+    def stage(self, name: str, build) -> lanes.LaneStage:
+        """A package stage, written once for a session and its tables."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in LANE_STAGES:
+            LANE_STAGES[key] = build()
+        return LANE_STAGES[key]
+
+    @property
+    def lane_stage(self) -> lanes.LaneStage:
+        """The stage of the candidate packages."""
+
+        def build():
+            packages = lanes.candidate_packages(self.candidates, self.shipments)
+            return lanes.lane_stage(packages, self.shipments, self.cards)
+
+        return self.stage("lanes", build)
+
+    def build_routing_stage(self, shipments=None, cards=None) -> lanes.LaneStage:
+        return lanes.routing_stage(
+            self.shipments if shipments is None else shipments,
             self.order_lines,
             self.inventory,
-            self.smap(scenario),
-            self.cards,
-            self.fc_zip_distance,
+            cards or self.cards,
             START,
             END,
         )
 
+    def build_routing(self, scenario: str = "baseline") -> DataFrame:
+        """One of the scenarios, which share their package stage."""
+        stage = self.stage("routing", self.build_routing_stage)
+        return lanes.routing_result(stage, self.smap(scenario), self.fc_zip_distance)
+
     def routing(self, scenario: str = "baseline") -> DataFrame:
         return self.saved(f"routing_{scenario}", lambda: self.build_routing(scenario))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import calendar, codes, package
-from lanewise.operators.rates import RateCards, package_dims, with_charges
-from lanewise.operators.skew import SALT, hot_pairs, salted_join
+from lanewise.operators.rates import RateCards, handling_card, package_dims, priced, sized
+from lanewise.operators.skew import SALT, salt, salted_copies, slices_of, within_rows
 from lanewise.operators.stock import PACKAGE, fc_sets, stocked_lines
+from lanewise.sources.shared import bucketed, stored
 
 LANE_KEYS = ["zip5", "order_placed_date"]
 # What the price of a lane depends on, from a shipment row.
@@ -24,6 +27,13 @@ PRICED_BY = [
 # Zip, day and slice are functions of the package: grouped by all of them, lanes
 # keep the partitioning of the ship map join.
 LANE_GROUP = [*LANE_KEYS, SALT, *PACKAGE]
+SLICE = [*LANE_KEYS, SALT]
+
+# Packages of one zip and day that one task fans out into lanes, about; each has
+# as many lanes as routes, some dozens.
+PACKAGES_PER_SLICE = 20_000
+# Packages of one bucket of the stage, about.
+PACKAGES_PER_BUCKET = 250_000
 
 
 def attach_distance(lanes: DataFrame, distances: DataFrame) -> DataFrame:
@@ -208,36 +218,74 @@ def candidate_packages(candidates: DataFrame, shipments: DataFrame) -> DataFrame
     return shipped_packages_with(served.join(package_facts(shipments), PACKAGE))
 
 
-def package_lanes(packages: DataFrame, ship_map: DataFrame, routes: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class LaneStage:
+    """What all lane operators read, written once for any number of scenarios.
+
+    ``packages`` is bucketed by zip, order day and slice, so no scenario shuffles
+    it again; ``hot`` lists the zips and days with several slices, and
+    ``handling`` is the handling card of the packages' size classes.
+    """
+
+    packages: DataFrame
+    hot: DataFrame
+    handling: DataFrame
+    cards: RateCards
+
+
+def lane_stage(
+    packages: DataFrame, shipments: DataFrame, cards: RateCards, name: str = "lanes"
+) -> LaneStage:
+    """Write the package stage below the shared folder and read it back.
+
+    Slices come from the shipment rows by zip and day, before the packages are
+    known, so stock and order lines are read once.
+    """
+    day = F.col("order_placed_ts").cast("date").alias("order_placed_date")
+    keys = shipments.select("zip5", day).groupBy(*LANE_KEYS)
+    keys = stored(keys.agg(F.count(F.lit(1)).alias("_rows")), f"{name}-keys")
+    rows = keys.agg(F.sum("_rows")).first()[0] or 0
+    hot = stored(
+        slices_of(keys, LANE_KEYS, F.col("_rows"), PACKAGES_PER_SLICE), f"{name}-hot"
+    )
+    least = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-rows // PACKAGES_PER_BUCKET))
+    rows = salt(sized(packages, cards), LANE_KEYS, PACKAGE, hot)
+    rows = bucketed(rows, f"{name}-packages", buckets, SLICE)
+    handling = stored(handling_card(rows, cards), f"{name}-handling")
+    # A row is a few numbers and two short names; larger cards are merge-joined.
+    if within_rows({"handling": handling})["handling"]:
+        handling = F.broadcast(handling)
+    return LaneStage(rows, hot, handling, cards)
+
+
+def package_lanes(stage: LaneStage, routes: DataFrame) -> DataFrame:
     """Every lane of ``routes`` open to a package, with what prices it.
 
-    Packages carry their FC set (at most one entry per FC) through the shuffle
-    to the ship map, one row each.  Keys under which packages times routes make
-    more than a slice are cut into slices.  What the result needs of the package
-    is computed before the lanes fan out; few columns keep the generated code of
-    the pricing joins below the size the JVM compiles.
+    Only the routes move: they are copied to the slices of hot keys and meet the
+    buckets of the stage, whose partitioning the lanes keep.  A merge join at any
+    size, as broadcasting the packages would lose it.  Packages carry their FC set
+    (at most one entry per FC), and what the result needs of them is computed
+    before the lanes fan out.
     """
-    hot = hot_pairs(packages.select(*LANE_KEYS), open_routes(ship_map), LANE_KEYS)
+    copies = salted_copies(routes, LANE_KEYS, stage.hot)
     return (
-        salted_join(
-            packages, routes, LANE_KEYS, "inner", salt_on=PACKAGE, hot=hot, keep_salt=True
-        )
+        stage.packages.hint("merge")
+        .join(copies, SLICE)
         .where(F.array_contains("fcs", F.col("fc_name")))
         .drop("fcs")
     )
 
 
-def lane_cost(
-    candidates: DataFrame,
-    ship_map: DataFrame,
-    shipments: DataFrame,
-    cards: RateCards,
-) -> DataFrame:
+def charged(lanes: DataFrame, stage: LaneStage) -> DataFrame:
+    return priced(lanes, stage.cards, stage.handling)
+
+
+def lane_cost(stage: LaneStage, ship_map: DataFrame) -> DataFrame:
     """Cost of every (package, FC, carrier, zone) lane open on the order day."""
-    packages = candidate_packages(candidates, shipments).drop(
+    lanes = package_lanes(stage, priced_zones(ship_map)).drop(
         "release_seconds", "used", "outcomes"
     )
-    lanes = package_lanes(packages, ship_map, priced_zones(ship_map))
     columns = [
         *PACKAGE,
         "fc_name",
@@ -245,76 +293,76 @@ def lane_cost(
         F.col("cost_zone").alias("zone"),
         "total_amount",
     ]
-    priced = with_charges(lanes, cards).select(*LANE_KEYS, SALT, *columns)
-    return priced.distinct().drop(*LANE_KEYS, SALT)
+    costs = charged(lanes, stage).select(*SLICE, *columns)
+    return costs.distinct().drop(*SLICE)
 
 
-def lane_options(
-    candidates: DataFrame,
-    ship_map: DataFrame,
-    shipments: DataFrame,
-    cards: RateCards,
-    distances: DataFrame,
+def priced_options(
+    stage: LaneStage, ship_map: DataFrame, distances: DataFrame
 ) -> DataFrame:
-    """Every route a candidate FC could have used, with cost; lanes without cost stay."""
-    packages = candidate_packages(candidates, shipments).drop("used", "outcomes")
-    lanes = package_lanes(packages, ship_map, priced_routes(ship_map, distances))
+    """Every route of a package with its cost, one row for each price found."""
+    lanes = package_lanes(stage, priced_routes(ship_map, distances))
+    return charged(with_transit(lanes.drop("used", "outcomes")), stage).select(
+        *LANE_GROUP,
+        "fc_name",
+        "mode",
+        "routeid",
+        "zone",
+        "cost_zone",
+        "preferred",
+        "tnt",
+        "distance",
+        "total_amount",
+    )
+
+
+def lane_options(stage: LaneStage, ship_map: DataFrame, distances: DataFrame) -> DataFrame:
+    """Every route a candidate FC could have used, with cost; lanes without cost stay.
+
+    Prices that several entries of a card agree on are one option.
+    """
+    return priced_options(stage, ship_map, distances).distinct()
+
+
+def ranked_options(
+    stage: LaneStage, ship_map: DataFrame, distances: DataFrame
+) -> DataFrame:
+    """The options of each package in their order."""
+    return rank_lanes(lane_options(stage, ship_map, distances), LANE_GROUP)
+
+
+def choose_lane(stage: LaneStage, ship_map: DataFrame, distances: DataFrame) -> DataFrame:
+    """The winning lane of each package; equal options need not be told apart."""
+    ordered = Window.partitionBy(*LANE_GROUP).orderBy(*lane_order())
+    options = priced_options(stage, ship_map, distances)
     return (
-        with_charges(with_transit(lanes), cards)
+        options.withColumn("row_n", F.row_number().over(ordered))
+        .where(F.col("row_n") == 1)
         .select(
-            *LANE_GROUP,
+            *PACKAGE,
+            *LANE_KEYS,
             "fc_name",
-            "mode",
+            F.col("mode").alias("carrier_code"),
             "routeid",
             "zone",
-            "cost_zone",
-            "preferred",
+            "total_amount",
+            package.transit_penalty("tnt").alias("tnt_penalty"),
             "tnt",
             "distance",
-            "total_amount",
         )
-        .distinct()
     )
 
 
-def ranked_options(*tables, **named) -> DataFrame:
-    """The options of each package in their order; arguments of :func:`lane_options`."""
-    return rank_lanes(lane_options(*tables, **named), LANE_GROUP)
-
-
-def choose_lane(
-    candidates: DataFrame,
-    ship_map: DataFrame,
-    shipments: DataFrame,
-    cards: RateCards,
-    distances: DataFrame,
+def cost_neutral_fcs(
+    stage: LaneStage, ship_map: DataFrame, distances: DataFrame
 ) -> DataFrame:
-    """The winning lane of each package."""
-    ranked = ranked_options(candidates, ship_map, shipments, cards, distances)
-    return ranked.where(F.col("row_n") == 1).select(
-        *PACKAGE,
-        *LANE_KEYS,
-        "fc_name",
-        F.col("mode").alias("carrier_code"),
-        "routeid",
-        "zone",
-        "total_amount",
-        "tnt_penalty",
-        "tnt",
-        "distance",
-    )
-
-
-def cost_neutral_fcs(ranked: DataFrame) -> DataFrame:
-    """Per package the sorted FCs that cost the same as the winner, penalty included.
-
-    ``ranked`` comes from :func:`ranked_options`, whose partitioning is kept.
-    """
+    """Per package the sorted FCs that cost the same as the winner, penalty included."""
+    ranked = rank_lanes(priced_options(stage, ship_map, distances), LANE_GROUP)
     return (
         ranked.where(F.col("cost") == F.col("selected_cost"))
         .groupBy(*LANE_GROUP)
         .agg(F.array_sort(F.collect_set("fc_name")).alias("cost_neutral_fc"))
-        .drop(*LANE_KEYS, SALT)
+        .drop(*SLICE)
     )
 
 
@@ -325,26 +373,31 @@ def actual_cost(shipments: DataFrame, costs: DataFrame) -> DataFrame:
     return used.join(priced, [*PACKAGE, "fc_name", "carrier_code"], "left")
 
 
-def routing_result(
+def routing_stage(
     shipments: DataFrame,
     order_lines: DataFrame,
     inventory: DataFrame,
-    ship_map: DataFrame,
     cards: RateCards,
-    distances: DataFrame,
     start,
     end,
     fcs=P.FCS,
+) -> LaneStage:
+    """The stage of the packages of the days, for all scenarios."""
+    packages = served_packages(shipments, order_lines, inventory, start, end, fcs)
+    return lane_stage(packages, shipments, cards, "routing")
+
+
+def routing_result(
+    stage: LaneStage, ship_map: DataFrame, distances: DataFrame
 ) -> DataFrame:
     """Chosen lane of every package next to what actually happened.
 
     A package has one chosen lane and as many rows as distinct shipment rows,
     whichever FC shipped them, times the costs of the lane really used.
     """
-    packages = served_packages(shipments, order_lines, inventory, start, end, fcs)
-    lanes = package_lanes(packages, ship_map, priced_routes(ship_map, distances))
+    lanes = package_lanes(stage, priced_routes(ship_map, distances))
     group = Window.partitionBy(*LANE_GROUP)
-    ranked = rank_lanes(with_charges(with_transit(lanes), cards), LANE_GROUP)
+    ranked = rank_lanes(charged(with_transit(lanes), stage), LANE_GROUP)
 
     as_cheap = F.when(F.col("cost") == F.col("selected_cost"), F.col("fc_name"))
     neutral = F.array_sort(F.collect_set(as_cheap).over(group))

@@ -161,60 +161,123 @@ def _band_entries(cards: "RateCards", tag: str) -> DataFrame:
     return cards.frames()[card].select(
         F.col("carrier_code").alias("book_carrier"),
         F.col("zone").alias("book_zone"),
-        F.col(f"{bounds}_lower").alias("lower"),
-        F.col(f"{bounds}_upper").alias("upper"),
+        F.col(f"{bounds}_lower").cast("double").alias("lower"),
+        F.col(f"{bounds}_upper").cast("double").alias("upper"),
         "amount",
         F.col("charge_type").alias("type"),
         F.col("charge_type").isin(*COUNTED[tag]).alias("counts"),
-        F.col("start_date").alias("start"),
-        F.col("end_date").alias("end"),
+        F.col("start_date").cast("date").alias("start"),
+        F.col("end_date").cast("date").alias("end"),
     )
 
 
+def _bounds(entries: DataFrame) -> Column:
+    """All bounds of a card in ascending order, as one value."""
+    bounds = F.explode(F.array("lower", "upper"))
+    every = entries.select(bounds.alias("bound")).where("bound is not null")
+    return numbers.one_value(every, F.sort_array(F.collect_set("bound")))
+
+
+def _days(entries: DataFrame) -> Column:
+    """All days on which an entry of the cards begins or is over, ascending."""
+    edges = F.explode(F.array("start", F.date_add("end", 1)))
+    every = entries.select(edges.alias("edge")).where("edge is not null")
+    return numbers.one_value(every, F.sort_array(F.collect_set("edge")))
+
+
+def _place(bounds: Column, value: Column) -> Column:
+    """How many bounds lie below a value; -1 for an unknown one.
+
+    The value is sorted in among the bounds and its place looked up, all in
+    generated code.
+    """
+    place = F.array_position(F.sort_array(F.array_append(bounds, value)), value)
+    return F.coalesce(place.cast("int") - 1, F.lit(-1))
+
+
+BAND_DAY = "band_day"
+SIZE_CLASS = [BAND_DAY, *(f"{tag}_bin" for tag in BANDS)]
+
+
 def _all_bands(cards: "RateCards") -> DataFrame:
-    return reduce(
-        DataFrame.unionAll,
-        (_band_entries(cards, t).withColumn("card", F.lit(t)) for t in BANDS),
-    )
+    return reduce(DataFrame.unionAll, (_band_entries(cards, t) for t in BANDS))
 
 
-def band_book(cards: "RateCards") -> DataFrame:
-    """All bands of a (carrier, zone) in one row, an array per measure."""
-    entry = F.struct("lower", "upper", "amount", "type", "counts", "start", "end")
-    arrays = (
-        F.collect_list(F.when(F.col("card") == tag, entry)).alias(tag) for tag in BANDS
-    )
-    return _all_bands(cards).groupBy("book_carrier", "book_zone").agg(*arrays)
+def sized(packages: DataFrame, cards: "RateCards") -> DataFrame:
+    """Replace the four measures by the elementary intervals that hold them.
+
+    The bounds of a band card cut its measure into intervals inside which every
+    band applies or none does; the days on which an entry of the cards begins or
+    ends cut time likewise.  Placed once for a package, they make every band
+    lookup of its lanes an equality.
+    """
+    day = F.date_add("ship_date", 1)
+    places = {BAND_DAY: _place(_days(_all_bands(cards)), day)}
+    for tag, (measure, _, _) in BANDS.items():
+        value = F.col(measure).cast("double")
+        places[f"{tag}_bin"] = _place(_bounds(_band_entries(cards, tag)), value)
+    return packages.withColumns(places).drop(*(measure for measure, _, _ in BANDS.values()))
 
 
-def _applies(value: Column, day: Column):
-    return lambda r: (
-        (value > r["lower"])
-        & (value <= r["upper"])
-        & day.between(r["start"], r["end"])
+def _binned_entries(cards: "RateCards", tag: str) -> DataFrame:
+    """Each band once for every elementary interval and span of days it covers."""
+    entries = _band_entries(cards, tag)
+    bounds, days = _bounds(entries), _days(_all_bands(cards))
+
+    def covered(edges: Column, first: Column, after: Column) -> Column:
+        places = F.array_position(edges, first), F.array_position(edges, after) - 1
+        return F.explode(F.sequence(*(p.cast("int") for p in places)))
+
+    return (
+        entries.where("lower < upper and start <= end")
+        .withColumn(f"{tag}_bin", covered(bounds, F.col("lower"), F.col("upper")))
+        .withColumn(BAND_DAY, covered(days, F.col("start"), F.date_add("end", 1)))
+        .select(
+            F.col("book_carrier").alias("mode"),
+            F.col("book_zone").alias("cost_zone"),
+            f"{tag}_bin",
+            BAND_DAY,
+            *(F.col(part).alias(f"{tag}_{part}") for part in ("amount", "type", "counts")),
+        )
+        .distinct()
     )
 
 
-def join_band_book(lanes: DataFrame, book: DataFrame) -> DataFrame:
-    """Attach the charges of all four bands by one lookup.
+def handling_card(packages: DataFrame, cards: "RateCards") -> DataFrame:
+    """Handling class and amount by carrier, zone and size class.
 
-    The entries that apply are picked once for each card; where entries of a
-    card overlap the lane gets one row for each.
+    Only the size classes that occur among the sized ``packages`` are priced:
+    at most one for each combination of elementary intervals.  Where bands of a
+    card overlap there is a row for each; a lane that no band meets has none.
     """
-    on = (F.col("mode") == F.col("book_carrier")) & (
-        F.col("cost_zone") == F.col("book_zone")
+    classes = packages.select(*SIZE_CLASS).distinct()
+    on = ["mode", "cost_zone", *SIZE_CLASS]
+    hits = {}
+    for tag in BANDS:
+        entries = _binned_entries(cards, tag)
+        entries = cards.hinted(entries, BANDS[tag][1])
+        hits[tag] = classes.join(entries, [f"{tag}_bin", BAND_DAY])
+    met = reduce(DataFrame.unionAll, (df.select(*on) for df in hits.values())).distinct()
+    for df in hits.values():
+        met = met.join(df, on, "left")
+    return met.select(
+        *on,
+        handling_class().alias("handling_class"),
+        handling_charge().alias("handling_amount"),
+    ).distinct()
+
+
+def join_handling(lanes: DataFrame, card: DataFrame) -> DataFrame:
+    """Attach class and amount of handling to lanes of sized packages."""
+    on = ["mode", "cost_zone", *SIZE_CLASS]
+    # Names of their own: a lane column must not be taken for one of the card.
+    side = card.withColumnsRenamed({c: f"card_{c}" for c in on})
+    same = reduce(Column.__and__, (F.col(c) == F.col(f"card_{c}") for c in on))
+    return (
+        lanes.join(side, same, "left")
+        .drop(*(f"card_{c}" for c in on), *SIZE_CLASS)
+        .withColumn("handling_amount", numbers.zero_if_null("handling_amount"))
     )
-    found = lanes.join(book, on, "left").drop("book_carrier", "book_zone")
-    day = F.col("ship_date")
-    for tag, (measure, _, _) in BANDS.items():
-        hits = F.filter(tag, _applies(F.col(measure), day))
-        hit = F.explode_outer(hits).alias("_hit")
-        rest = [c for c in found.columns if c != tag]
-        parts = ("amount", "type", "counts")
-        found = found.select(*rest, hit).select(
-            *rest, *(F.col(f"_hit.{part}").alias(f"{tag}_{part}") for part in parts)
-        )
-    return found
 
 
 def flat_amounts(cards: "RateCards") -> DataFrame:
@@ -407,23 +470,28 @@ def total_amount() -> Column:
     return parts * (1 + F.col("fuel_amount"))
 
 
-def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
-    """Attach every charge to lanes that carry the package dimensions.
+def priced(lanes: DataFrame, cards: RateCards, handling: DataFrame) -> DataFrame:
+    """Attach every charge to lanes of sized packages.
 
-    The four band cards and the three flat cards meet each other before they
-    meet the lanes: four lookups instead of nine keep the generated code below
-    the size the JVM compiles.  The plan is the same for all cards; the size
-    check of :meth:`RateCards.checked` only adds the broadcast hints.
+    Four lookups by equality: base rate, delivery area, handling, and the three
+    flat amounts in one.  ``handling`` is the card of :func:`handling_card`; Spark
+    knows its size where it has been written.
     """
-    band_cards = [card for _, card, _ in BANDS.values()]
-    book = cards.hinted(band_book(cards), *band_cards)
     flat = cards.hinted(flat_amounts(cards), "resi", "peak", "fuel")
     return (
         lanes.transform(join_base_rate, cards.side("base_rates"))
         .transform(join_das, cards.side("das"))
-        .transform(join_band_book, book)
+        .transform(join_handling, handling)
         .transform(join_flat_amounts, flat)
-        .withColumn("handling_class", handling_class())
-        .withColumn("handling_amount", handling_charge())
         .withColumn("total_amount", total_amount())
     )
+
+
+def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
+    """Attach every charge to lanes that carry the package dimensions.
+
+    The size classes are those of the lanes themselves, which are read twice;
+    :func:`lanewise.operators.lanes.lane_stage` takes them from packages.
+    """
+    lanes = sized(lanes, cards)
+    return priced(lanes, cards, handling_card(lanes, cards))

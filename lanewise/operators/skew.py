@@ -32,14 +32,29 @@ def hot_keys(
     return slices_of(counts, keys, F.col("_rows"), rows_per_slice)
 
 
-def hot_pairs(
-    many: DataFrame, few: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Keys under which the two sides make more than a slice of joined rows."""
-    left = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    right = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_partners"))
-    made = F.col("_rows") * F.col("_partners")
-    return slices_of(left.join(right, keys), keys, made, rows_per_slice)
+def salt(df: DataFrame, keys: list[str], salt_on: list[str], hot: DataFrame) -> DataFrame:
+    """Add the slice of each row, by a hash of its ``salt_on`` columns.
+
+    A repeated task puts a row in the same slice.  ``hot`` is a list of
+    :func:`slices_of`; its size, known where it has been written, decides how it
+    is joined.
+    """
+    slice_of = F.pmod(F.xxhash64(*salt_on), F.col("_slices")).cast("int")
+    return (
+        df.join(hot, keys, "left")
+        .withColumn(SALT, F.coalesce(slice_of, F.lit(0)))
+        .drop("_slices")
+    )
+
+
+def salted_copies(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """A copy of each row for every slice of its key."""
+    last = F.coalesce(F.col("_slices"), F.lit(1)) - 1
+    return (
+        df.join(hot, keys, "left")
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
+        .drop("_slices")
+    )
 
 
 def salted_join(
@@ -49,30 +64,16 @@ def salted_join(
     how: str,
     salt_on: list[str],
     hot: DataFrame,
-    keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``many`` with ``few`` on ``keys``, the hot keys cut into slices.
 
-    A row of ``many`` goes to the slice its ``salt_on`` columns hash to, so a
-    repeated task puts it in the same place; ``few`` is copied to every slice
-    of a hot key.  ``hot`` is the list of :func:`hot_keys` or :func:`hot_pairs`,
-    which is shorter than all rows divided by the size of a slice.
+    A row of ``many`` goes to one slice of its key; ``few`` is copied to all of
+    them.  ``hot`` is the list of :func:`hot_keys`, which is shorter than all
+    rows divided by the size of a slice.
     """
-    hot = F.broadcast(hot)
-    slice_of = F.pmod(F.xxhash64(*salt_on), F.col("_slices")).cast("int")
-    left = (
-        many.join(hot, keys, "left")
-        .withColumn(SALT, F.coalesce(slice_of, F.lit(0)))
-        .drop("_slices")
-    )
-    last = F.coalesce(F.col("_slices"), F.lit(1)) - 1
-    right = (
-        few.join(hot, keys, "left")
-        .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
-        .drop("_slices")
-    )
-    joined = left.join(right, [*keys, SALT], how)
-    return joined if keep_salt else joined.drop(SALT)
+    left = salt(many, keys, salt_on, hot)
+    right = salted_copies(few, keys, hot)
+    return left.join(right, [*keys, SALT], how).drop(SALT)
 
 
 def within_rows(

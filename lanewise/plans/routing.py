@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lanewise import params as P
-from lanewise.operators.lanes import routing_result
+from lanewise.operators.lanes import LaneStage, routing_result, routing_stage
 from lanewise.operators.rates import RateCards
 from lanewise.operators.shipmap import ship_map_for
 from lanewise.sources.writers import sink_partition_replace
@@ -38,16 +38,12 @@ def scenario_ship_map(tables: RoutingTables, scenario: str, start, end) -> DataF
     )
 
 
-def route_scenario(
-    tables: RoutingTables, ship_map: DataFrame, start, end, fcs=P.FCS
-) -> DataFrame:
-    return routing_result(
+def package_stage(tables: RoutingTables, start, end, fcs=P.FCS) -> LaneStage:
+    return routing_stage(
         tables.shipments,
         tables.order_lines,
         tables.inventory,
-        ship_map,
         tables.cards,
-        tables.distances,
         start,
         end,
         fcs,
@@ -63,18 +59,17 @@ def run_scenarios(
 ) -> None:
     """Write ship map and routing of every scenario by day.
 
-    The ship map is read back from what was written, so the routing does not
-    compute it again.
+    The packages are staged once for all scenarios.  The ship map is read back
+    from what was written, so the routing does not compute it again.
     """
     spark = tables.shipments.sparkSession
+    stage = package_stage(tables, start, end, params.fcs)
     for scenario in params.scenarios:
         lanes = f"{path}/smf/{scenario}"
         sink_partition_replace(
             scenario_ship_map(tables, scenario, start, end), lanes, "shipdate"
         )
-        routed = route_scenario(
-            tables, spark.read.parquet(lanes), start, end, params.fcs
-        )
+        routed = routing_result(stage, spark.read.parquet(lanes), tables.distances)
         sink_partition_replace(
             routed, f"{path}/simulations/{scenario}", "order_placed_date"
         )

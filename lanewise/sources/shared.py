@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,27 @@ def saved_once(
         build().write.mode("overwrite").parquet(path)
         spark.read.parquet(path).createOrReplaceTempView(view)
     return spark.table(view)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written under a new name and read back, its size known to Spark."""
+    path = table_path(df.sparkSession, f"{name}-{uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, columns: list[str]) -> DataFrame:
+    """The frame written in buckets, one file each, and read back as a table.
+
+    The session's catalog knows the table under a new name; dropping it leaves
+    the files, which go with the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"{re.sub(r'[^0-9a-z]+', '_', name.lower())}_{uuid4().hex}"
+    (
+        df.repartition(buckets, *columns)
+        .write.bucketBy(buckets, *columns)
+        .option("path", table_path(spark, table))
+        .saveAsTable(table)
+    )
+    return spark.table(table)

@@ -55,17 +55,3 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_query_has_its_sql():
     assert set(load().SQL) == set(load().QUERIES)
-
-
-@needs_data
-def test_lanes_are_not_shuffled_between_pricing_and_ranking(spark):
-    """One exchange under the windows: the one of the ship map join."""
-    from checks.world import World
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = World(spark, SF).build_routing()._jdf.queryExecution().executedPlan()
-        above_join = plan.toString().split("SortMergeJoin", 1)[0]
-        assert "Window" in above_join and "Exchange" not in above_join
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
