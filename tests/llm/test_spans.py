@@ -7,27 +7,108 @@ from hypothesis import strategies as st
 from lanewise.llm import spans
 
 
+SPACE = "\t\n\v\f\r "
+
+
+def plain_words(text):
+    """Start and lower-case letters of each word."""
+    out, start = [], None
+    for k, c in enumerate(text + " "):
+        alone = any(low <= ord(c) <= high for low, high in spans.UNSPACED)
+        if start is not None and (c in SPACE or alone):
+            out.append((start, text[start:k].lower()))
+            start = None
+        if alone:
+            out.append((k, c))
+        elif c not in SPACE and start is None:
+            start = k
+    return out
+
+
+def value(word):
+    return int(spans.Units([word]).value[0])
+
+
+def plain_units(text):
+    """Lists of the words of each unit, with where it starts and its sentence."""
+    ends = [m.end() for m in spans.BOUNDARY.finditer(text)]
+    by_sentence = {}
+    for at, word in plain_words(text):
+        by_sentence.setdefault(sum(e <= at for e in ends), []).append((at, word))
+    units = []
+    for sentence, words in by_sentence.items():
+        starts = {0}
+        for k in range(1, len(words) - spans.GAP + 1):
+            window = range(k, k + spans.GAP)
+            starts.add(min(window, key=lambda i: (value(words[i][1]), -i)))
+        for k, (at, word) in enumerate(words):
+            if k in starts:
+                units.append((at, sentence, []))
+            units[-1][2].append(word)
+    return units
+
+
 def plain(rows, run=2, least=8):
-    """Texts after the cut, over rows in the order of their ids."""
-    seen, out = {}, {}
-    places = []
-    for doc_id, text in rows:
-        parts = spans.sentences(text)
-        for k in range(len(parts) - run + 1):
-            words = [p.lower().split() for p in parts[k : k + run]]
-            if sum(map(len, words)) >= least:
-                places.append((tuple(map(tuple, words)), doc_id, k))
+    """Texts after the cut, by all runs of units, over rows in the order of their ids."""
+
+    def size(words):
+        return sum(1 if any(a <= ord(w[0]) <= b for a, b in spans.UNSPACED) else 2 for w in words)
+
+    seen, out, places = set(), {}, []
+    units = {doc_id: plain_units(text) for doc_id, text in rows}
+    for doc_id, us in units.items():
+        for a in range(len(us)):
+            for b in range(a + min(run, len(us)), len(us) + 1):
+                words = [w for u in us[a:b] for w in u[2]]
+                if size(words) >= 2 * least:
+                    places.append((doc_id, a, b, tuple(words)))
     gone = {}
-    for words, doc_id, k in sorted(places, key=lambda p: p[1:]):
+    for doc_id, a, b, words in sorted(places, key=lambda p: p[:2]):
         if words in seen:
-            gone.setdefault(doc_id, set()).update(range(k, k + run))
-        seen[words] = True
+            gone.setdefault(doc_id, set()).update(range(a, b))
+        seen.add(words)
     for doc_id, text in rows:
-        parts = spans.sentences(text)
-        out[doc_id] = "".join(p for k, p in enumerate(parts) if k not in gone.get(doc_id, ()))
+        us = units[doc_id]
+        edges = [0, *(u[0] for u in us[1:]), len(text)] if us else [0, len(text)]
+        cut = gone.get(doc_id, set())
+        left = "".join(text[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if k not in cut)
+        out[doc_id] = (left, len({us[k][1] for k in cut}), len(spans.sentences(text)))
     return out
 
 
+def found_by(rows, table):
+    found = spans.without_repeated_sentences(table(rows)).collect()
+    return {r["doc_id"]: (r["text"], r["n_removed_sentences"], r["n_sentences"]) for r in found}
+
+
+def test_equals_all_runs_of_units(table):
+    draw = random.Random(11)
+    ends = [" ", " ", " ", " ", " ", ". ", "! ", "\n", "  ", " \n\n", ".", "。", "。！", "!? "]
+    vocabulary = [f"w{k}" for k in range(12)] + ["É", "Σας", "港", "町は", "x"]
+
+    def prose(n):
+        return "".join(draw.choice(vocabulary) + draw.choice(ends) for _ in range(n))
+
+    shared = [prose(draw.randrange(5, 60)) for _ in range(8)]
+    rows = []
+    for k in range(60):
+        parts = [prose(draw.randrange(12)), draw.choice(shared), prose(draw.randrange(12)), draw.choice(shared)]
+        rows.append((k, draw.choice(["", "\n", " "]) + "".join(parts).swapcase()))
+    rows += [(100, ""), (101, " \n "), (102, rows[3][1]), (103, "。"), (104, "one")]
+    expected = plain(rows)
+    assert found_by(rows, table) == expected
+    assert sum(v[1] > 0 for v in expected.values()) > 20
+
+
+def test_texts_in_groups_are_cut_alike(monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(30)}" + "." * draw.randrange(2) for _ in range(draw.randrange(80))) for _ in range(50)]
+    whole = spans.run_spans([None, *texts], 2, 16)
+    monkeypatch.setattr(spans, "PIECE", 40)
+    parts = spans.run_spans([None, *texts], 2, 16)
+    assert all((a == b).all() for x, y in zip(whole, parts, strict=True) for a, b in zip(x, y, strict=True))
+
+
 @given(st.text(alphabet="ab .!?\n\t", max_size=100))
 def test_sentences_put_together_are_the_text(text):
     assert "".join(spans.sentences(text)) == text
@@ -41,7 +122,7 @@ def test_repeated_passages_go_but_for_the_first(table):
     rows.append((92, "Yes. No. Yes. No. Yes. No."))
     rows.append((93, " ".join(["Twice in the same text here. Again and again it comes."] * 3)))
     found = spans.without_repeated_sentences(table(rows)).collect()
-    assert {r["doc_id"]: r["text"] for r in found} == plain(rows)
+    assert {r["doc_id"]: r["text"] for r in found} == {k: v[0] for k, v in plain(rows).items()}
     assert all("Nobody took it" not in r["text"] for r in found if 0 < r["doc_id"] < 40)
 
 
@@ -76,8 +157,10 @@ def test_passages_of_short_sentences_go_whole(table):
 
 @given(st.lists(st.integers(0, 10), max_size=30), st.integers(1, 4), st.integers(0, 20))
 def test_shortest_runs_cover_every_run_that_counts(size, run, least):
-    start, many = spans.shortest_runs(np.array(size, np.int64), run, least)
-    found = [range(a, a + n) for a, n in zip(start.tolist(), many.tolist(), strict=True)]
+    one_text = np.zeros(len(size), np.int64)
+    start, end = spans.shortest_runs(np.array(size, np.int64), one_text, run, least)
+    found = [range(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    run = min(run, len(size))
     assert all(len(r) >= run and sum(size[r.start : r.stop]) >= least for r in found)
     for a in range(len(size)):
         for b in range(a + run, len(size) + 1):
@@ -130,6 +213,13 @@ def test_copies_of_one_sentence_go(table):
     assert found[21]["n_sentences"] == found[21]["n_removed_sentences"] == 3
 
 
-@given(st.text(alphabet="abc .!?\n\t港。", max_size=200))
-def test_units_put_together_are_the_text(text):
-    assert "".join(spans.Words(text).units()) == text
+@given(st.lists(st.text(alphabet="abc .!?\n\t港。", max_size=80), min_size=1, max_size=5))
+def test_units_are_those_of_plain_loops(texts):
+    units = spans.Units(texts)
+    for k, text in enumerate(texts):
+        own = units.text == k
+        since, until = units.since[own].tolist(), units.until[own].tolist()
+        expected = plain_units(text)
+        assert since == ([0, *(u[0] for u in expected[1:])] if expected else [])
+        assert until == [*since[1:], len(text)][: len(since)]
+        assert units.sentence[own].tolist() == [u[1] for u in expected]
