@@ -68,9 +68,14 @@ def version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain {rest}{len(body)}\n".encode() + body
 
 
+def escaped(found: re.Match) -> str:
+    return "".join(f"%{b:02X}" for b in found[0].encode())
+
+
 def arc_record(version: int, url: str, date: str, content: bytes) -> bytes:
     """A URL record and its content, as the ARC version lays them out."""
-    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "-"
+    # White space would end the field, and a version block's scheme the version.
+    url = re.sub(r"\s|(?i:(?<=^filedesc):)", escaped, url) or "-"
     kind, size = "text/html", len(content)
     rest = "" if version == 1 else f"200 {hashlib.md5(content).hexdigest()} - 0 - "
     return f"{url} 192.0.2.1 {date} {kind} {rest}{size}\n".encode() + content
@@ -94,12 +99,17 @@ def arc_records(content: bytes) -> Iterator[tuple]:
         *fields, size = header
         body = stream.read(size)
         place += len(body)
-        if fields[0].startswith("filedesc://"):
-            version = int(body[:1]) if body[:1] in (b"1", b"2") else 1
+        if fields[0].startswith("filedesc://") and (own := version_of(body)):
+            version = own
             continue
         yield (start, version, *fields, body)
 
 
+def version_of(body: bytes) -> int | None:
+    """The version of a version block, null for the content of any other record."""
+    return int(body[:1]) if re.match(rb"[12] \d", body) else None
+
+
 def arc_header(line: bytes, version: int) -> tuple | None:
     """url, ip, date, content type, result code, checksum and length of a line."""
     parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")

@@ -6,9 +6,11 @@ from __future__ import annotations
 class Lexicon:
     """Finds the terms within a few edits of a word.
 
-    The automaton reads a word letter by letter.  A state is the set of trie
-    nodes that the letters so far may stand for, each with its least number of
-    edits; transitions are worked out when first taken and remembered, so a
+    An edit leaves out, adds or replaces a letter, or swaps two neighbours, no
+    letter twice.  The automaton reads a word letter by letter.  A state is the
+    set of trie nodes that the letters so far may stand for, each with its least
+    number of edits, and of nodes that the next letter completes a swap to, with
+    that letter; transitions are worked out when first taken and remembered, so a
     common word costs one lookup per letter and most words die after a few.
     """
 
@@ -46,16 +48,17 @@ class Lexicon:
     def frozen(state: dict[int, int]) -> frozenset:
         return frozenset(state.items())
 
-    def put(self, state: dict[int, int], node: int, edits: int) -> bool:
+    def put(self, state: dict, node: int, edits: int, awaited: str = "") -> bool:
         """Note a node unless it is over its budget or known with fewer edits."""
-        if edits <= self.budget[node] and edits < state.get(node, edits + 1):
-            state[node] = edits
+        key = (node, awaited) if awaited else node
+        if edits <= self.budget[node] and edits < state.get(key, edits + 1):
+            state[key] = edits
             return True
         return False
 
     def closed(self, state: dict[int, int]) -> dict[int, int]:
         """The state with letters of terms that the word leaves out."""
-        waiting = list(state)
+        waiting = [node for node in state if isinstance(node, int)]
         while waiting:
             node = waiting.pop()
             for child in self.children[node].values():
@@ -66,9 +69,15 @@ class Lexicon:
     def after(self, state: dict[int, int], letter: str) -> dict[int, int]:
         reached: dict[int, int] = {}
         for node, edits in state.items():
+            if isinstance(node, tuple):
+                if node[1] == letter:
+                    self.put(reached, node[0], edits)
+                continue
             self.put(reached, node, edits + 1)
             for own, child in self.children[node].items():
                 self.put(reached, child, edits + (own != letter))
+                if own != letter and letter in self.children[child]:
+                    self.put(reached, self.children[child][letter], edits + 1, own)
         return self.closed(reached)
 
     def step(self, number: int, letter: str) -> int:
@@ -99,7 +108,7 @@ class Lexicon:
         hits = [
             (edits, self.term[node])
             for node, edits in self.states[number].items()
-            if edits <= self.own.get(node, -1)
+            if isinstance(node, int) and edits <= self.own.get(node, -1)
         ]
         if not hits:
             return None

@@ -141,16 +141,19 @@ class Searcher:
         for words, at in sorted(hits.items()):
             size, blocks = min(SHINGLE, words), self.blocks[words]
             held, n = words - size + 1, len(tokens) - words + 1
+            # A text shorter than the item is its own only window.
+            span = min(held, len(hashes[size]))
+            n = max(1, n)
             # A window as similar as asked shares so many shingles with its item;
             # the others need no fingerprint.
             least = max(1, int(np.ceil(self.similarity * held - 1e-9)))
-            if n < 1 or len(at) < least:
+            if len(at) < least:
                 continue
             marks = np.zeros(len(hashes[size]) + 1, np.int64)
             marks[np.array(at) + 1] = 1
             marks = np.cumsum(marks)
-            for s in np.flatnonzero(marks[held : held + n] - marks[:n] >= least).tolist():
-                window = hashes[size][s : s + held]
+            for s in np.flatnonzero(marks[span : span + n] - marks[:n] >= least).tolist():
+                window = hashes[size][s : s + span]
                 value = majority(window)
                 near = blocks.within(value)
                 counts = Counter(window.tolist()) if near else None
@@ -185,6 +188,9 @@ def leaks(
     most about ``pass_words`` words, one pass over the documents for each block,
     so that a benchmark of any size fits.
 
+    Windows have as many words as the item; a text with fewer words is one window
+    as a whole.
+
     Nulls: a null or empty text holds no item, and an item without words is held
     by no text; items with a null id count and are reported as null.  Items with
     equal text are each reported, an id that occurs twice once.  Repeated rows

@@ -355,7 +355,8 @@ def ppm_scores(
         "chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")
     )
     kinds = "chunk int, kind int, key bigint, n bigint"
-    grouped = own.repartition("chunk").sortWithinPartitions("chunk")
+    # A partition for each chunk: hashed numbers would meet in some and miss others.
+    grouped = own.repartitionById(chunks, "chunk")
     counts = grouped.select("chunk", "held_out", "text").mapInPandas(chunk_counts(order), kinds)
     # A key has one row for each chunk at most, so nothing combines before the
     # shuffle; plain rows are smaller than partial sets.
@@ -393,8 +394,8 @@ def ppm_scores(
         "held_out",
         "text",
     )
-    both = asked.union(docs).repartition("chunk")
-    both = both.sortWithinPartitions("chunk", "kind")
+    both = asked.union(docs).repartitionById(chunks, "chunk")
+    both = both.sortWithinPartitions("kind")
     return both.mapInPandas(chunk_scores(order, total["n"], total["v"]), SCORE_ROW)
 
 

@@ -22,13 +22,14 @@ MAX_LABELLED = 50_000
 MIN_CONTEXTS = 5
 MIN_WEIGHT = 3.0
 MIN_LETTERS = 3
-#: Terms at most; those of the highest odds stay.
-MAX_TERMS = 5_000
 #: Words on either side of a term that tell quotation from abuse.
 WINDOW = 6
 
 WORD = r"[\p{L}\p{M}]+"
-TOKEN = regex.compile(WORD + "|[\"“”„«»]")
+#: Digits and signs that stand for a letter between letters.
+MASK = "[0-9*@$#!|]"
+TOKEN = regex.compile(rf"{WORD}(?:{MASK}+{WORD})*|[\"“”„«»]")
+PARTS = regex.compile(WORD)
 MARKS = frozenset('"“”„«»')
 # Words of speech about a term, and words that address someone.
 SPEECH = frozenset(
@@ -41,12 +42,12 @@ FEATURES = ("plain", "misspelled", "quoted", "addressed", "strongest", "density"
 
 
 def tokens(text: str | None) -> list[str]:
-    """Words and quotation marks of a text in lower case."""
+    """Words, masked ones whole, and quotation marks of a text in lower case."""
     return TOKEN.findall((text or "").lower())
 
 
 def words_of(text: Column) -> Column:
-    """The words of :func:`tokens` as an array, without leaving the JVM."""
+    """Words of a text as an array, cut at masks, without leaving the JVM."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
@@ -60,13 +61,13 @@ def learned_terms(
     train: DataFrame,
     min_contexts: int = MIN_CONTEXTS,
     min_weight: float = MIN_WEIGHT,
-    max_terms: int = MAX_TERMS,
 ) -> list[tuple[str, float]]:
     """Terms and weights from ``text, toxic`` rows.
 
     A term counts once for every different word before it in toxic texts, so
     that copies of a text give no evidence of their own, and once for every
-    clean text that has it.
+    clean text that has it.  All terms that reach the thresholds are kept; there
+    are no more than the labelled sample has words.
     """
     sizes = train.agg(
         F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")
@@ -89,8 +90,7 @@ def learned_terms(
         (F.col("clean") + 0.5) / (sizes["clean"] + 1)
     )
     both = both.select("word", odds.alias("weight")).where(F.col("weight") >= min_weight)
-    top = both.orderBy(F.col("weight").desc(), "word").limit(max_terms).collect()
-    return [(r["word"], r["weight"]) for r in top]
+    return sorted((r["word"], r["weight"]) for r in both.collect())
 
 
 class Scorer:
@@ -108,8 +108,18 @@ class Scorer:
             self.seen[word] = self.lexicon.find(word)
         return self.seen[word]
 
+    def words(self, text: str | None) -> list[str]:
+        """Tokens; a masked word that is no term falls into its parts."""
+        found = []
+        for word in tokens(text):
+            if word.isalpha() or word in MARKS or self.term(word):
+                found.append(word)
+            else:
+                found += PARTS.findall(word)
+        return found
+
     def features(self, text: str | None) -> tuple[float, ...]:
-        words = tokens(text)
+        words = self.words(text)
         sums = dict.fromkeys(FEATURES, 0.0)
         hits = 0
         for k, word in enumerate(words):

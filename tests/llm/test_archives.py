@@ -118,6 +118,10 @@ def test_pages_through_both_formats(spark):
     big = "<p>é</p>" * 400
     rows = [(k, "http://x.org/a b\n" if k % 3 else None, big if k % 2 else big + "x") for k in range(2500)]
     rows += [(3000, "http://y", None), (3001, "", ""), (3002, "http://z", "small"), (3003, "http://z", "small")]
+    # Urls and contents like those of a version block.
+    block = "2 0 other\nURL IP-address Archive-date\n"
+    rows += [(4000 + k, f"{u}x{k}.arc", block * 40) for k, u in enumerate(("filedesc://", "FileDesc://", "filedesc:"))]
+    rows += [(4010 + k, "filedesc://p", f"after {k} {big}") for k in range(6)]
     rows += [(None, "http://n", "\r\n\r\n" + big), (3004, "http://n", "WARC/1.0\r\n\r\nfiledesc://" * 60)]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, content string, version string")
     found = A.archived_pages(pages.repartition(3))

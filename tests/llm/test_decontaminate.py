@@ -26,6 +26,10 @@ def made():
         at = rng.randint(0, len(words))
         texts.append((doc, " ".join([*words[:at], *item, *words[at:]]).title()))
     texts.append((70, "Only, the NULL item. has (this) text!"))
+    # Items less their first or last words, and nothing around them.
+    for n, (_, body) in enumerate(items[3:9]):
+        words = body.split()
+        texts += [(80 + 4 * n + k, " ".join(words[k:] if k % 2 else words[: len(words) - k])) for k in range(4)]
     return items, texts
 
 
@@ -38,9 +42,9 @@ def plain_leaks(items, text):
         if not own:
             continue
         of = Counter(tuple(own[k : k + size]) for k in range(len(own) - size + 1))
-        for s in range(len(words) - len(own) + 1):
+        for s in range(max(1, len(words) - len(own) + 1)):
             window = words[s : s + len(own)]
-            have = Counter(tuple(window[k : k + size]) for k in range(len(own) - size + 1))
+            have = Counter(tuple(window[k : k + size]) for k in range(len(window) - size + 1))
             alike = (have & of).total() / (have | of).total()
             if alike >= 0.8:
                 best[item_id] = max(best.get(item_id, 0), alike)

@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -9,12 +11,16 @@ from lanewise.llm.automaton import Lexicon
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits with swaps of neighbours, no letter edited twice."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row = row, [i]
+        last, row = rows[-1], [i]
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 WORD = st.text(alphabet="abc", max_size=7)
@@ -37,7 +43,7 @@ def test_forgotten_transitions_are_worked_out_anew():
     lexicon = Lexicon(["bother", "brother"])
     lexicon.MEMORY = 30
     assert [lexicon.find(w) for w in ("bothre", "brothers", "other", "zzzzz")] == [
-        None,
+        ("bother", 1),
         ("brother", 1),
         ("bother", 1),
         None,
@@ -59,6 +65,57 @@ def test_quotation_address_and_spelling():
     assert kinds("nothing of the kind") == set()
 
 
+def plain_features(text, weight):
+    """The features by comparing every word with every term."""
+
+    def term(word):
+        near = [(distance(word, t), t) for t in weight]
+        return min((x for x in near if x[0] <= (len(x[1]) >= 5)), default=None)
+
+    words = []
+    for word in regex.findall(r"[\p{L}\p{M}]+(?:[0-9*@$#!|]+[\p{L}\p{M}]+)*|[\"“”„«»]", text.lower()):
+        parts = regex.findall(r"[\p{L}\p{M}]+", word)
+        words += [word] if len(parts) < 2 or term(word) else parts
+    sums, hits = dict.fromkeys(toxicity.FEATURES, 0.0), 0
+    for k, word in enumerate(words):
+        found = term(word)
+        if not found:
+            continue
+        hits += 1
+        before, after = words[max(0, k - 6) : k], words[k + 1 : k + 7]
+        if set(before) & set('"“”„«»') and set(after) & set('"“”„«»') or toxicity.SPEECH & {*before, *after}:
+            kind = "quoted"
+        elif toxicity.ADDRESS & {*before, *after}:
+            kind = "addressed"
+        else:
+            kind = "misspelled" if found[0] else "plain"
+        sums[kind] += weight[found[1]]
+        sums["strongest"] = max(sums["strongest"], weight[found[1]] / (1 + found[0]))
+    sums["density"] = hits / max(1, len(words))
+    kinds = ("plain", "misspelled", "quoted", "addressed")
+    return [math.log1p(sums[f]) if f in kinds else sums[f] for f in toxicity.FEATURES]
+
+
+def test_features_equal_plain_loops():
+    weight = {"idiot": 3.5, "stupid": 4.0, "ass": 3.0, "dimwit": 2.5}
+    words = ["you", "said", "idiot", "id1ot", "idoit", "st*pid", "stupdi", "st0p1d", "ass", "as", "a$s", "dim", "wit",
+             "dimwits", "“", "”", "of", "x2y", "Dimwit!", "the", "old", "harbour", "5", "été"]
+    scorer, draw = toxicity.Scorer(sorted(weight.items())), random.Random(4)
+    for _ in range(300):
+        text = " ".join(draw.choices(words, k=draw.randrange(40)))
+        assert scorer.features(text) == pytest.approx(plain_features(text, weight))
+    assert all(scorer.term(w) for w in ("id1ot", "idoit", "st*pid", "stupdi"))
+
+
+def test_every_learned_term_is_kept(spark):
+    """Six thousand terms of two letters each, more than any fixed number would keep."""
+    names = [f"term{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(20) for b in range(20) for c in range(15)]
+    rows = [(" ".join(f"w{'abcdef'[k]}x {n}" for n in names), True) for k in range(6)]
+    rows += [(f"clean text {k}", False) for k in range(60)]
+    train = spark.createDataFrame(rows, "text string, toxic boolean")
+    assert {t for t, _ in toxicity.learned_terms(train)} >= set(names)
+
+
 @pytest.fixture(scope="module")
 def corpus():
     """Clean words, and abuse with misspellings; a hot clean text in a third of rows."""
