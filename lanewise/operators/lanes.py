@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from lanewise import params as P
 from lanewise.functions import calendar, codes, package
-from lanewise.operators.rates import RateCards, handling_card, package_dims, priced, sized
+from lanewise.operators.rates import (
+    RateCards,
+    band_edges,
+    flat_amounts,
+    handling_card,
+    package_dims,
+    priced,
+    sized,
+)
 from lanewise.operators.skew import SALT, salt, salted_copies, slices_of, within_rows
 from lanewise.operators.stock import PACKAGE, fc_sets, stocked_lines
 from lanewise.sources.shared import bucketed, stored
@@ -223,13 +231,14 @@ class LaneStage:
     """What all lane operators read, written once for any number of scenarios.
 
     ``packages`` is bucketed by zip, order day and slice, so no scenario shuffles
-    it again; ``hot`` lists the zips and days with several slices, and
-    ``handling`` is the handling card of the packages' size classes.
+    it again; ``hot`` lists the zips and days with several slices, if there are
+    any; ``handling`` and ``flat`` are the rate cards that it took work to make.
     """
 
     packages: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
     handling: DataFrame
+    flat: DataFrame
     cards: RateCards
 
 
@@ -244,19 +253,24 @@ def lane_stage(
     day = F.col("order_placed_ts").cast("date").alias("order_placed_date")
     keys = shipments.select("zip5", day).groupBy(*LANE_KEYS)
     keys = stored(keys.agg(F.count(F.lit(1)).alias("_rows")), f"{name}-keys")
-    rows = keys.agg(F.sum("_rows")).first()[0] or 0
-    hot = stored(
-        slices_of(keys, LANE_KEYS, F.col("_rows"), PACKAGES_PER_SLICE), f"{name}-hot"
-    )
+    rows, most = keys.agg(F.sum("_rows"), F.max("_rows")).first()
+    hot = None
+    if (most or 0) > PACKAGES_PER_SLICE:
+        hot = slices_of(keys, LANE_KEYS, F.col("_rows"), PACKAGES_PER_SLICE)
+        hot = stored(hot, f"{name}-hot")
     least = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-rows // PACKAGES_PER_BUCKET))
-    rows = salt(sized(packages, cards), LANE_KEYS, PACKAGE, hot)
-    rows = bucketed(rows, f"{name}-packages", buckets, SLICE)
-    handling = stored(handling_card(rows, cards), f"{name}-handling")
+    buckets = max(least, -(-(rows or 0) // PACKAGES_PER_BUCKET))
+    edges = band_edges(cards)
+    sliced = salt(sized(packages, edges), LANE_KEYS, PACKAGE, hot)
+    sliced = bucketed(sliced, f"{name}-packages", buckets, LANE_KEYS if hot is None else SLICE)
+    made = {
+        "handling": stored(handling_card(sliced, cards, edges), f"{name}-handling"),
+        "flat": stored(flat_amounts(cards), f"{name}-flat"),
+    }
     # A row is a few numbers and two short names; larger cards are merge-joined.
-    if within_rows({"handling": handling})["handling"]:
-        handling = F.broadcast(handling)
-    return LaneStage(rows, hot, handling, cards)
+    fits = within_rows(made)
+    made = {card: F.broadcast(df) if fits[card] else df for card, df in made.items()}
+    return LaneStage(sliced, hot, **made, cards=cards)
 
 
 def package_lanes(stage: LaneStage, routes: DataFrame) -> DataFrame:
@@ -268,17 +282,16 @@ def package_lanes(stage: LaneStage, routes: DataFrame) -> DataFrame:
     (at most one entry per FC), and what the result needs of them is computed
     before the lanes fan out.
     """
-    copies = salted_copies(routes, LANE_KEYS, stage.hot)
-    return (
-        stage.packages.hint("merge")
-        .join(copies, SLICE)
-        .where(F.array_contains("fcs", F.col("fc_name")))
-        .drop("fcs")
-    )
+    packages = stage.packages.hint("merge")
+    if stage.hot is None:
+        lanes = packages.join(routes, LANE_KEYS)
+    else:
+        lanes = packages.join(salted_copies(routes, LANE_KEYS, stage.hot), SLICE)
+    return lanes.where(F.array_contains("fcs", F.col("fc_name"))).drop("fcs")
 
 
 def charged(lanes: DataFrame, stage: LaneStage) -> DataFrame:
-    return priced(lanes, stage.cards, stage.handling)
+    return priced(lanes, stage.cards, stage.handling, stage.flat)
 
 
 def lane_cost(stage: LaneStage, ship_map: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -171,39 +172,59 @@ def _band_entries(cards: "RateCards", tag: str) -> DataFrame:
     )
 
 
-def _bounds(entries: DataFrame) -> Column:
-    """All bounds of a card in ascending order, as one value."""
-    bounds = F.explode(F.array("lower", "upper"))
-    every = entries.select(bounds.alias("bound")).where("bound is not null")
-    return numbers.one_value(every, F.sort_array(F.collect_set("bound")))
+BAND_DAY = "band_day"
+SIZE_CLASS = [BAND_DAY, *(f"{tag}_bin" for tag in BANDS)]
 
 
-def _days(entries: DataFrame) -> Column:
-    """All days on which an entry of the cards begins or is over, ascending."""
-    edges = F.explode(F.array("start", F.date_add("end", 1)))
-    every = entries.select(edges.alias("edge")).where("edge is not null")
-    return numbers.one_value(every, F.sort_array(F.collect_set("edge")))
+@dataclass(frozen=True)
+class Edges:
+    """Where bands begin and end: the bounds of each measure, and the days.
 
+    As JSON texts, which become constants of a plan.
+    """
 
-def _place(bounds: Column, value: Column) -> Column:
-    """How many bounds lie below a value; -1 for an unknown one.
+    bounds: dict[str, str]
+    days: str
 
-    The value is sorted in among the bounds and its place looked up, all in
-    generated code.
-    """
-    place = F.array_position(F.sort_array(F.array_append(bounds, value)), value)
-    return F.coalesce(place.cast("int") - 1, F.lit(-1))
+    def of(self, tag: str) -> Column:
+        return F.from_json(F.lit(self.bounds[tag]), "array<double>")
 
+    def on_days(self) -> Column:
+        return F.from_json(F.lit(self.days), "array<date>")
 
-BAND_DAY = "band_day"
-SIZE_CLASS = [BAND_DAY, *(f"{tag}_bin" for tag in BANDS)]
 
+def band_edges(cards: "RateCards") -> Edges:
+    """The edges of the band cards, by one job over the cards.
 
-def _all_bands(cards: "RateCards") -> DataFrame:
-    return reduce(DataFrame.unionAll, (_band_entries(cards, t) for t in BANDS))
+    The driver gets each distinct bound and day once: at most two of each for a
+    row of the four cards.
+    """
+    found = []
+    for tag in BANDS:
+        entries = _band_entries(cards, tag)
+        edges = F.array("lower", "upper").cast("array<string>")
+        days = F.array("start", F.date_add("end", 1)).cast("array<string>")
+        found += [
+            entries.select(F.lit(tag).alias("tag"), F.explode(edges).alias("edge")),
+            entries.select(F.lit("days").alias("tag"), F.explode(days).alias("edge")),
+        ]
+    rows = reduce(DataFrame.unionAll, found).where("edge is not null").distinct().collect()
+    by_tag = {tag: sorted({float(r["edge"]) for r in rows if r["tag"] == tag}) for tag in BANDS}
+    days = sorted(r["edge"] for r in rows if r["tag"] == "days")
+    return Edges({tag: json.dumps(found) for tag, found in by_tag.items()}, json.dumps(sorted(set(days))))
+
+
+def _place(edges: Column, value: Column) -> Column:
+    """How many edges lie below a value; -1 for an unknown one.
+
+    The value is sorted in among the edges and its place looked up, all in
+    generated code.
+    """
+    place = F.array_position(F.sort_array(F.array_append(edges, value)), value)
+    return F.coalesce(place.cast("int") - 1, F.lit(-1))
 
 
-def sized(packages: DataFrame, cards: "RateCards") -> DataFrame:
+def sized(packages: DataFrame, edges: Edges) -> DataFrame:
     """Replace the four measures by the elementary intervals that hold them.
 
     The bounds of a band card cut its measure into intervals inside which every
@@ -211,27 +232,26 @@ def sized(packages: DataFrame, cards: "RateCards") -> DataFrame:
     ends cut time likewise.  Placed once for a package, they make every band
     lookup of its lanes an equality.
     """
-    day = F.date_add("ship_date", 1)
-    places = {BAND_DAY: _place(_days(_all_bands(cards)), day)}
+    places = {BAND_DAY: _place(edges.on_days(), F.date_add("ship_date", 1))}
     for tag, (measure, _, _) in BANDS.items():
-        value = F.col(measure).cast("double")
-        places[f"{tag}_bin"] = _place(_bounds(_band_entries(cards, tag)), value)
+        places[f"{tag}_bin"] = _place(edges.of(tag), F.col(measure).cast("double"))
     return packages.withColumns(places).drop(*(measure for measure, _, _ in BANDS.values()))
 
 
-def _binned_entries(cards: "RateCards", tag: str) -> DataFrame:
+def _binned_entries(cards: "RateCards", edges: Edges, tag: str) -> DataFrame:
     """Each band once for every elementary interval and span of days it covers."""
-    entries = _band_entries(cards, tag)
-    bounds, days = _bounds(entries), _days(_all_bands(cards))
 
-    def covered(edges: Column, first: Column, after: Column) -> Column:
-        places = F.array_position(edges, first), F.array_position(edges, after) - 1
-        return F.explode(F.sequence(*(p.cast("int") for p in places)))
+    def covered(places: Column, first: Column, after: Column) -> Column:
+        ends = F.array_position(places, first), F.array_position(places, after) - 1
+        return F.explode(F.sequence(*(p.cast("int") for p in ends)))
 
     return (
-        entries.where("lower < upper and start <= end")
-        .withColumn(f"{tag}_bin", covered(bounds, F.col("lower"), F.col("upper")))
-        .withColumn(BAND_DAY, covered(days, F.col("start"), F.date_add("end", 1)))
+        _band_entries(cards, tag)
+        .where("lower < upper and start <= end")
+        .withColumn(f"{tag}_bin", covered(edges.of(tag), F.col("lower"), F.col("upper")))
+        .withColumn(
+            BAND_DAY, covered(edges.on_days(), F.col("start"), F.date_add("end", 1))
+        )
         .select(
             F.col("book_carrier").alias("mode"),
             F.col("book_zone").alias("cost_zone"),
@@ -239,32 +259,38 @@ def _binned_entries(cards: "RateCards", tag: str) -> DataFrame:
             BAND_DAY,
             *(F.col(part).alias(f"{tag}_{part}") for part in ("amount", "type", "counts")),
         )
-        .distinct()
     )
 
 
-def handling_card(packages: DataFrame, cards: "RateCards") -> DataFrame:
+def handling_card(packages: DataFrame, cards: "RateCards", edges: Edges) -> DataFrame:
     """Handling class and amount by carrier, zone and size class.
 
     Only the size classes that occur among the sized ``packages`` are priced:
-    at most one for each combination of elementary intervals.  Where bands of a
-    card overlap there is a row for each; a lane that no band meets has none.
+    at most one for each combination of elementary intervals, and for each
+    carrier and zone with a band on its days.  Where bands of a card overlap
+    there is a row for each; a lane that no band meets has none.
     """
-    classes = packages.select(*SIZE_CLASS).distinct()
-    on = ["mode", "cost_zone", *SIZE_CLASS]
-    hits = {}
-    for tag in BANDS:
-        entries = _binned_entries(cards, tag)
-        entries = cards.hinted(entries, BANDS[tag][1])
-        hits[tag] = classes.join(entries, [f"{tag}_bin", BAND_DAY])
-    met = reduce(DataFrame.unionAll, (df.select(*on) for df in hits.values())).distinct()
-    for df in hits.values():
-        met = met.join(df, on, "left")
-    return met.select(
-        *on,
-        handling_class().alias("handling_class"),
-        handling_charge().alias("handling_amount"),
-    ).distinct()
+    entries = {tag: _binned_entries(cards, edges, tag) for tag in BANDS}
+    keys = ["mode", "cost_zone", BAND_DAY]
+    in_force = reduce(DataFrame.unionAll, (df.select(*keys) for df in entries.values()))
+    card = packages.select(*SIZE_CLASS).distinct()
+    cards_used = [name for _, name, _ in BANDS.values()]
+    card = card.join(cards.hinted(in_force.distinct(), *cards_used), BAND_DAY)
+    for tag, df in entries.items():
+        side = cards.hinted(df, BANDS[tag][1])
+        card = card.join(side, [*keys, f"{tag}_bin"], "left")
+    met = reduce(Column.__or__, (F.col(f"{tag}_type").isNotNull() for tag in BANDS))
+    return (
+        card.where(met)
+        .select(
+            "mode",
+            "cost_zone",
+            *SIZE_CLASS,
+            handling_class().alias("handling_class"),
+            handling_charge().alias("handling_amount"),
+        )
+        .distinct()
+    )
 
 
 def join_handling(lanes: DataFrame, card: DataFrame) -> DataFrame:
@@ -470,14 +496,15 @@ def total_amount() -> Column:
     return parts * (1 + F.col("fuel_amount"))
 
 
-def priced(lanes: DataFrame, cards: RateCards, handling: DataFrame) -> DataFrame:
+def priced(
+    lanes: DataFrame, cards: RateCards, handling: DataFrame, flat: DataFrame
+) -> DataFrame:
     """Attach every charge to lanes of sized packages.
 
-    Four lookups by equality: base rate, delivery area, handling, and the three
-    flat amounts in one.  ``handling`` is the card of :func:`handling_card`; Spark
-    knows its size where it has been written.
+    Four lookups: base rate, delivery area, handling, and the three flat amounts
+    in one.  ``handling`` is the card of :func:`handling_card`, ``flat`` that of
+    :func:`flat_amounts`.
     """
-    flat = cards.hinted(flat_amounts(cards), "resi", "peak", "fuel")
     return (
         lanes.transform(join_base_rate, cards.side("base_rates"))
         .transform(join_das, cards.side("das"))
@@ -493,5 +520,7 @@ def with_charges(lanes: DataFrame, cards: RateCards) -> DataFrame:
     The size classes are those of the lanes themselves, which are read twice;
     :func:`lanewise.operators.lanes.lane_stage` takes them from packages.
     """
-    lanes = sized(lanes, cards)
-    return priced(lanes, cards, handling_card(lanes, cards))
+    edges = band_edges(cards)
+    lanes = sized(lanes, edges)
+    flat = cards.hinted(flat_amounts(cards), "resi", "peak", "fuel")
+    return priced(lanes, cards, handling_card(lanes, cards, edges), flat)

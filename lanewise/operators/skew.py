@@ -32,13 +32,17 @@ def hot_keys(
     return slices_of(counts, keys, F.col("_rows"), rows_per_slice)
 
 
-def salt(df: DataFrame, keys: list[str], salt_on: list[str], hot: DataFrame) -> DataFrame:
+def salt(
+    df: DataFrame, keys: list[str], salt_on: list[str], hot: DataFrame | None
+) -> DataFrame:
     """Add the slice of each row, by a hash of its ``salt_on`` columns.
 
     A repeated task puts a row in the same slice.  ``hot`` is a list of
-    :func:`slices_of`; its size, known where it has been written, decides how it
-    is joined.
+    :func:`slices_of`, or None where no key has several; its size, known where
+    it has been written, decides how it is joined.
     """
+    if hot is None:
+        return df.withColumn(SALT, F.lit(0))
     slice_of = F.pmod(F.xxhash64(*salt_on), F.col("_slices")).cast("int")
     return (
         df.join(hot, keys, "left")

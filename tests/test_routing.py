@@ -300,7 +300,7 @@ def test_sources_are_read_once(spark, world, tmp_path):
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10485760"])
-def test_packages_are_never_shuffled_again(spark, world, threshold):
+def test_packages_are_never_shuffled_again(spark, world, slices, threshold):
     """No exchange above the bucketed scan, whether sides may be broadcast or not."""
     shipments, lines, ship_map, cards, far = world
     stage = stage_of((shipments, lines, ship_map, cards.checked(), far))
