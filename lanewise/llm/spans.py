@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -218,11 +219,11 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-SPAN = ("since", "until", "sentence", "last_sentence", "hash")
+SPAN = ("since", "until", "hash")
 
 
 def run_spans(texts: list[str | None], run: int, least: int) -> list[list[np.ndarray]]:
-    """For each text the code points, sentences and hash of its runs, as arrays."""
+    """For each text the code points and the hash of its runs, as arrays."""
     found = []
     for _, held in groups(texts):
         units = Units(held)
@@ -230,8 +231,6 @@ def run_spans(texts: list[str | None], run: int, least: int) -> list[list[np.nda
         columns = (
             units.since[first].astype(np.int32),
             units.until[last - 1].astype(np.int32),
-            units.sentence[first].astype(np.int32),
-            units.sentence[last - 1].astype(np.int32),
             hashes,
         )
         cuts = np.searchsorted(units.text[first], np.arange(1, len(held)))
@@ -296,12 +295,17 @@ def without(text: Column, cut: Column) -> Column:
                 if spans is None:
                     out.append((None, 0))
                     continue
+                ends = [m.end() for m in BOUNDARY.finditer(t)]
+                # White space before the first word is cut with it, but is no sentence.
+                lead = len(t) - len(t.lstrip("\t\n\v\f\r "))
                 kept, at, lost, seen = [], 0, 0, -1
-                for span in sorted(spans, key=lambda s: (s["since"], s["until"])):
-                    kept.append(t[at : max(at, span["since"])])
-                    at = max(at, span["until"])
-                    lost += max(0, span["last_sentence"] - max(seen, span["sentence"] - 1))
-                    seen = max(seen, span["last_sentence"])
+                for since, until in sorted((x["since"], x["until"]) for x in spans):
+                    kept.append(t[at : max(at, since)])
+                    at = max(at, until)
+                    low = bisect.bisect_right(ends, max(since, lead))
+                    high = bisect.bisect_right(ends, until - 1)
+                    lost += max(0, high - max(seen, low - 1))
+                    seen = max(seen, high)
                 out.append(("".join(kept) + t[at:], lost))
             yield pd.DataFrame(out, columns=["text", "removed"])
 
