@@ -10,7 +10,7 @@ from checks.sql_steps import FCS, PACKAGES, STEPS, change, proxied, share
 from checks.world import END, RUN_DATE, START, World
 from lanewise import params as P
 from lanewise.functions import codes
-from lanewise.operators import diagnostics, fidelity, shares, signals, whatif, zips
+from lanewise.operators import diagnostics, fidelity, shares, signals, sweep, whatif, zips
 from lanewise.plans import execution, impact, planning
 from lanewise.sources import writers
 
@@ -440,10 +440,11 @@ def switched_packages(w: World):
 def selection_metrics(w: World):
     told = execution.run_parameters(P.ExecutionParams(), 0, 0)
     told = {k: v for k, v in told.items() if not k.endswith("_ZIP_COUNT")}
-    metrics = execution.selection_metrics(
-        w.base, w.spliced, w.wms_proxy, RUN_DATE, told=told
-    )
-    return metrics["carrier_net_before_wms_proxy"].drop("run_dttm")
+    ranked = w.chosen.distinct().withColumn("priority_score", -F.col("zip5").cast("double"))
+    choices = [(w.routing("remediation"), zips.ranked_zips(ranked))]
+    shares = sweep.Sweep(w.base, choices, [P.ALL_ZIPS]).carrier_change()
+    tagged = writers.with_run_of_counts(writers.add_parameters(shares, told), RUN_DATE, "default")
+    return tagged.drop("run_dttm")
 
 
 @check("impact_metrics", change("routing_baseline", "spliced", "sim_tnt", PACKAGES))
@@ -916,8 +917,8 @@ def json_params(w: World):
 @check(
     "constant_columns",
     f"""
-    select zip5, '{RUN_DATE}' as run_date, 'default' as run_name, 50 as zip_count,
-           'partial' as zip_count_tag from master
+    select zip5, '{RUN_DATE} 00:00:00' as run_dttm, '{RUN_DATE}' as run_date,
+           'default' as run_name, 50 as zip_count, 'partial' as zip_count_tag from master
     """,
 )
 def constant_columns(w: World):

@@ -10,6 +10,7 @@ from lanewise.functions import numbers
 from lanewise.operators.signals import fc_carrier_switch, matched, per_carrier
 from lanewise.operators.skew import running_total
 from lanewise.operators.zips import distinct_zips, open_zips
+from lanewise.sources.shared import stored
 
 
 def priority_score_exec(df: DataFrame, weights: dict | None = None) -> DataFrame:
@@ -39,20 +40,19 @@ def priority_score_exec(df: DataFrame, weights: dict | None = None) -> DataFrame
 
 def _with_running_volume(scored: DataFrame) -> DataFrame:
     """Add the running switch volume and the running share of packages."""
-    packages = numbers.one_value(scored, F.sum("package_count"))
-    return (
-        running_total(
-            scored,
-            "priority_score",
-            "zip5",
-            {
-                "carrier_switch_package_count": "carrier_switch_package_count_cumsum",
-                "package_count": "_running",
-            },
-        )
-        .withColumn("package_count_cumsum_per", numbers.ratio("_running", packages))
-        .drop("_running")
+    running = running_total(
+        scored,
+        "priority_score",
+        "zip5",
+        {
+            "carrier_switch_package_count": "carrier_switch_package_count_cumsum",
+            "package_count": "_running",
+        },
     )
+    packages = numbers.one_value(scored, F.sum("package_count"))
+    return running.withColumn(
+        "package_count_cumsum_per", numbers.ratio("_running", packages)
+    ).drop("_running")
 
 
 def carrier_cells(base: DataFrame) -> DataFrame:
@@ -116,11 +116,14 @@ def remediation_score(
 ) -> DataFrame:
     """Zips in the order to switch off: the lowest score first.
 
-    Zips where the routing gives the challenger no package are left out.
+    Zips where the routing gives the challenger no package are left out.  The
+    measures of the zips are written once; scaling and totals read that table.
     """
     weights = weights or P.PlanningParams().remediation_weights
+    zips = remediation_metrics(base, challenger, incumbent)
+    zips = stored(zips.join(switch_volume(base, challenger), "zip5", "left"), "remediation")
     scaled = numbers.min_max_scale(
-        remediation_metrics(base, challenger, incumbent),
+        zips,
         {
             "dea_per_change": "normalized_dea_per_change",
             "cost_change": "normalized_cost_change",
@@ -137,19 +140,22 @@ def remediation_score(
             }
         ),
     )
+    return _with_running_volume(scaled.where("carrier_switch_package_count > 0"))
+
+
+def switch_volume(base: DataFrame, challenger=P.CHALLENGER) -> DataFrame:
+    """Delivered packages of each zip, and those the routing gives the challenger."""
     ours = F.when(
         F.col("base_carrier_code") == challenger, F.col("tracking_number")
     )
-    volume = (
+    return (
         base.where(F.col("std").isNotNull())
         .groupBy("zip5")
         .agg(
             F.count_distinct("tracking_number").alias("package_count"),
             F.count_distinct(ours).alias("carrier_switch_package_count"),
         )
-        .where(F.col("carrier_switch_package_count") > 0)
     )
-    return _with_running_volume(scaled.join(volume, "zip5"))
 
 
 def expansion_metrics(
@@ -191,12 +197,14 @@ def expansion_score(
     """Zips in the order to switch on: the lowest score first.
 
     The scores are scaled over all zips; inactive zips with few FC switches
-    remain.
+    remain.  The measures of the zips are written once.
     """
     weights = weights or P.PlanningParams().expansion_weights
+    zips = expansion_metrics(base, expand, ship_map_base, ship_map_expanded).join(
+        fc_carrier_switch(base, expand), "zip5", "left"
+    )
     scored = (
-        expansion_metrics(base, expand, ship_map_base, ship_map_expanded)
-        .join(fc_carrier_switch(base, expand), "zip5", "left")
+        stored(zips, "expansion")
         .fillna({"carrier_switch_package_count": 0, "fc_switch_package_per": 0.0})
         .transform(
             numbers.min_max_scale,

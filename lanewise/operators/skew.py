@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.numbers import one_value
+from lanewise.sources.shared import stored
 
 ROWS_PER_SLICE = 500_000
 BROADCAST_ROWS = 500_000
@@ -96,28 +96,29 @@ def within_rows(
     return {name: sizes.get(name, 0) <= most for name in frames}
 
 
+def ranked_blocks(
+    df: DataFrame, order_by: str, tie: str, blocks: int, into: str = "_block"
+) -> DataFrame:
+    """The rows in ``blocks`` of about equal size, numbered in ascending order.
+
+    Spark's range partitioning takes the edges from a sample of score and tie
+    together, so equal and unknown scores are split by their tie.  The rows are
+    written with their block: worked out twice, a sample might differ.
+    """
+    ranged = df.repartitionByRange(blocks, F.col(order_by).asc_nulls_last(), F.col(tie).asc())
+    return stored(ranged.withColumn(into, F.spark_partition_id()), "ranked")
+
+
 def running_total(
-    df: DataFrame, order_by: str, tie: str, values: dict[str, str], blocks: int = 1024
+    df: DataFrame, order_by: str, tie: str, values: dict[str, str], blocks: int | None = None
 ) -> DataFrame:
     """Running sums in ascending order, nulls last, without sorting all rows in one task.
 
-    Rows fall into ``blocks`` by their place between the least and greatest
-    value; only the block totals (at most ``blocks`` + 1 rows) are summed in
-    one window, the rest inside each block.
+    Only the totals of the blocks of :func:`ranked_blocks` (as many as shuffle
+    partitions unless told) are summed in one window, the rest inside each block.
     """
-    edges = one_value(
-        df, F.struct(F.min(order_by).alias("lo"), F.max(order_by).alias("hi"))
-    )
-    span = F.col("_edges.hi") - F.col("_edges.lo")
-    place = F.try_divide(F.col(order_by) - F.col("_edges.lo"), span)
-    block = F.when(F.col(order_by).isNull(), blocks).otherwise(
-        F.coalesce(F.least(F.floor(place * blocks), F.lit(blocks - 1)), F.lit(0))
-    )
-    placed = (
-        df.withColumn("_edges", edges)
-        .withColumn("_block", block.cast("int"))
-        .drop("_edges")
-    )
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = ranked_blocks(df, order_by, tie, blocks)
     totals = placed.groupBy("_block").agg(
         *(F.sum(v).alias(f"_sum_{new}") for v, new in values.items())
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,26 +33,57 @@ def as_scenario(base: DataFrame) -> DataFrame:
     return _renamed(base, "base_", "sim_", neutral)
 
 
+def scenario_of(lists: list[DataFrame]) -> DataFrame:
+    """``zip5, choices``: the numbers of the lists that have a zip, one row a zip."""
+    named = [
+        distinct_zips(zips).withColumn("choice", F.lit(k)) for k, zips in enumerate(lists)
+    ]
+    every = reduce(DataFrame.unionAll, named)
+    return every.groupBy("zip5").agg(F.collect_set("choice").alias("choices"))
+
+
 def splice_scenario(
     base: DataFrame, choices: list[tuple[DataFrame, DataFrame]]
 ) -> DataFrame:
     """Baseline with the rows of chosen zips replaced by a scenario's rows.
 
-    ``choices`` pairs a scenario with its zips.
+    ``choices`` pairs a scenario with its zips; a zip of several lists has the
+    rows of each of their scenarios, and none of the baseline.  Each side is
+    joined once with one table of all zips.
     """
-    lists = [distinct_zips(zips) for _, zips in choices]
-    kept = base
-    for zips in lists:
-        kept = kept.join(zips, "zip5", "left_anti")
-    out = as_scenario(kept)
-    if choices:
-        out = out.select(*(c for c in choices[0][0].columns if c in out.columns))
-    for (scenario, _), zips in zip(choices, lists):
-        rows = scenario.join(zips, "zip5", "left_semi").select(*out.columns)
-        out = out.unionByName(rows)
+    if not choices:
+        return as_scenario(base)
+    chosen = scenario_of([zips for _, zips in choices])
+    out = as_scenario(base.join(chosen, "zip5", "left_anti"))
+    out = out.select(*(c for c in choices[0][0].columns if c in out.columns))
+    for k, (scenario, _) in enumerate(choices):
+        own = chosen.where(F.array_contains("choices", k))
+        out = out.unionByName(scenario.join(own, "zip5", "left_semi").select(*out.columns))
     return out
 
 
+def with_proxy(counted: DataFrame, proxy: DataFrame) -> DataFrame:
+    """Counted packages with the proxy rates of their weekday, FC and carrier."""
+    day = calendar.dow_sunday0("order_placed_date")
+    return counted.withColumn("dayofweek", day).join(proxy, ["dayofweek", "fc", "proxy_carrier"])
+
+
+def moved_by_proxy(
+    counted: DataFrame, rates: dict[str, str] = PROXY_RATES, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Packages by day, FC and carrier after the move, from counted ones with rates."""
+    moved = {
+        carrier: numbers.half_even(F.col("packages") * F.col(rate))
+        for carrier, rate in rates.items()
+    }
+    keys = [*by, "order_placed_date", "fc"]
+    return (
+        counted.groupBy(*keys)
+        .agg(*(numbers.total(v).alias(c) for c, v in moved.items()))
+        .unpivot(keys, list(rates), "carrier", "package_count")
+    )
+
+
 def counted_with_proxy(routing: DataFrame, proxy: DataFrame) -> DataFrame:
     """Packages by day, FC and carrier with the proxy rates of the weekday.
 
@@ -66,27 +99,15 @@ def counted_with_proxy(routing: DataFrame, proxy: DataFrame) -> DataFrame:
             F.col("sim_carrier_code").alias("proxy_carrier"),
         )
         .agg(F.count_distinct("tracking_number").alias("packages"))
-        .withColumn("dayofweek", calendar.dow_sunday0("order_placed_date"))
     )
-    return counted.join(proxy, ["dayofweek", "fc", "proxy_carrier"])
+    return with_proxy(counted, proxy)
 
 
 def wms_proxy(
     routing: DataFrame, proxy: DataFrame, rates: dict[str, str] = PROXY_RATES
 ) -> DataFrame:
     """Packages by day, FC and carrier after the warehouse has moved its usual part."""
-    moved = {
-        carrier: numbers.half_even(F.col("packages") * F.col(rate))
-        for carrier, rate in rates.items()
-    }
-    return (
-        counted_with_proxy(routing, proxy)
-        .groupBy("order_placed_date", "fc")
-        .agg(*(numbers.total(v).alias(c) for c, v in moved.items()))
-        .unpivot(
-            ["order_placed_date", "fc"], list(rates), "carrier", "package_count"
-        )
-    )
+    return moved_by_proxy(counted_with_proxy(routing, proxy), rates)
 
 
 def carrier_change(base: DataFrame, iteration: DataFrame) -> DataFrame:

@@ -46,33 +46,37 @@ def top_zips(scored: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.col("priority_score").desc_nulls_last(), "zip5").limit(n)
 
 
+def ranked_zips(scored: DataFrame) -> DataFrame:
+    """Add ``zip_rank``, from 1 on, in the order of :func:`top_zips`."""
+    low = -F.col("priority_score").cast("double")
+    return running_total(
+        scored.withColumns({"_one": F.lit(1), "_low": low}),
+        "_low",
+        "zip5",
+        {"_one": "zip_rank"},
+    ).drop("_one", "_low")
+
+
+def zips_of_counts(ranked: DataFrame, counts) -> DataFrame:
+    """The ranked zips of each count, tagged with ``zip_count``."""
+    wanted = F.array(*(F.lit(int(c)) for c in counts))
+    return ranked.withColumn("zip_count", F.explode(wanted)).where(
+        F.col("zip_rank") <= F.col("zip_count")
+    )
+
+
 def top_zips_per_count(scored: DataFrame, counts) -> DataFrame:
     """Selections for several counts at once, tagged with ``zip_count``.
 
     Counts above the number of zips are left out; the sentinel for all zips is
     always added.  One ranking of the zips serves every count.
     """
-    ranked = running_total(
-        scored.withColumns(
-            {"_one": F.lit(1), "_low": -F.col("priority_score").cast("double")}
-        ),
-        "_low",
-        "zip5",
-        {"_one": "zip_rank"},
-    ).drop("_one", "_low")
-    wanted = F.array(*(F.lit(int(c)) for c in [*counts, P.ALL_ZIPS]))
+    ranked = ranked_zips(scored)
     size = F.count(F.lit(1))
     total = ranked.agg(size.alias("n")).scalar()
     return (
-        ranked.withColumn("_zips", total)
-        .withColumn("zip_count", F.explode(wanted))
-        .where(
-            (F.col("zip_rank") <= F.col("zip_count"))
-            & (
-                (F.col("zip_count") <= F.col("_zips"))
-                | (F.col("zip_count") == P.ALL_ZIPS)
-            )
-        )
+        zips_of_counts(ranked.withColumn("_zips", total), [*counts, P.ALL_ZIPS])
+        .where((F.col("zip_count") <= F.col("_zips")) | (F.col("zip_count") == P.ALL_ZIPS))
         .drop("_zips")
     )
 

@@ -20,14 +20,17 @@ from lanewise.operators.signals import (
     reason_service,
     zip_daily_volume,
 )
-from lanewise.operators.zips import top_zips, zip_status
+from lanewise.operators.sweep import Sweep
+from lanewise.operators.zips import ranked_zips, zip_status, zips_of_counts
 from lanewise.sources.readers import scan_partition_range
+from lanewise.sources.shared import stored
 from lanewise.sources.writers import (
-    add_parameters,
+    parameter_texts,
     replaced,
     sink_metrics,
+    sink_partition_replace,
     sink_zip_list,
-    with_run,
+    with_run_of_counts,
 )
 
 DECISION_COLUMNS = [
@@ -146,20 +149,6 @@ def zip_recommendation(
     )
 
 
-def metrics_of(base: DataFrame, final: DataFrame, proxy: DataFrame) -> dict:
-    """The metric frames of one selection."""
-    by_zip = whatif.cost_by_zip(base, final)
-    return {
-        "carrier_net_before_wms_proxy": whatif.carrier_change(base, final),
-        "carrier_net_after_wms_proxy": whatif.carrier_change_proxy(base, final, proxy),
-        "cost_saving": whatif.cost_saving(by_zip),
-        "cost_saving_by_zip": by_zip,
-        "fc_charge_changes": whatif.fc_charge_change(base, final),
-        "fc_flow": whatif.fc_flow(base, final),
-        "fc_carrier_flow": whatif.fc_carrier_flow(base, final),
-    }
-
-
 def run_parameters(params: P.ExecutionParams, remediated: int, expanded: int) -> dict:
     """Parameters written next to the results, under the names of the run log."""
     return {
@@ -174,25 +163,6 @@ def run_parameters(params: P.ExecutionParams, remediated: int, expanded: int) ->
     }
 
 
-def selection_metrics(
-    base: DataFrame,
-    final: DataFrame,
-    proxy: DataFrame,
-    run_at,
-    zip_count: int = P.ALL_ZIPS,
-    told: dict | None = None,
-    run_name: str = "default",
-) -> dict[str, DataFrame]:
-    """Metrics of one spliced result, with run and parameters.
-
-    ``final`` is best read back from where the splice was written.
-    """
-    return {
-        name: with_run(add_parameters(df, told or {}), run_at, run_name, zip_count)
-        for name, df in metrics_of(base, final, proxy).items()
-    }
-
-
 @dataclass(frozen=True)
 class ExecutionTables:
     """What the run of a day reads, already limited to its windows."""
@@ -311,32 +281,49 @@ def run_execution(
         if wanted[side] and size:
             scored[side] = (kept.drop("run_date"), size)
 
-    most = max((size for _, size in scored.values()), default=0)
     scenario = {"remediation": tables.remediate, "expansion": tables.expand}
-    for count in [*(c for c in params.zip_counts if c <= most), P.ALL_ZIPS]:
-        lists = {side: top_zips(df, count) for side, (df, _) in scored.items()}
-        sizes = {side: min(size, count) for side, (_, size) in scored.items()}
-        told = run_parameters(
-            params, sizes.get("remediation", 0), sizes.get("expansion", 0)
-        )
-        choices = [(scenario[side], zips) for side, zips in lists.items()]
-        spliced = whatif.splice_scenario(tables.base, choices)
-        output = replaced(
-            with_run(add_parameters(spliced, told), run_at, params.run_name, count),
-            f"{path}/simulation_output",
-            "run_date",
-            "zip_count",
-        )
-        final = output.where(today & (F.col("zip_count") == count))
-        final = final.select(*spliced.columns)
-        sink_metrics(
-            selection_metrics(
-                tables.base, final, tables.proxy, run_at, count, told, params.run_name
-            ),
-            f"{path}/metrics",
-        )
-        for side, zips in lists.items():
-            tagged = with_run(add_parameters(zips, told), run_at, params.run_name, count)
-            sink_zip_list(
-                tagged.withColumn("zip_count", F.lit(sizes[side])), f"{path}/{SIDES[side]}"
-            )
+    ranked = {
+        side: stored(ranked_zips(df), f"ranked-{side}") for side, (df, _) in scored.items()
+    }
+    most = max((size for _, size in scored.values()), default=0)
+    counts = [*(c for c in params.zip_counts if c <= most), P.ALL_ZIPS]
+    sizes = {
+        count: {side: min(size, count) for side, (_, size) in scored.items()}
+        for count in counts
+    }
+
+    def of_run(df: DataFrame) -> DataFrame:
+        """Run columns and parameters of rows tagged with their zip count."""
+        told = [
+            (count, *parameter_texts(_told(params, of_count)))
+            for count, of_count in sizes.items()
+        ]
+        kind = "zip_count int, parameter_names string, parameter_values string"
+        named = df.join(F.broadcast(spark.createDataFrame(told, kind)), "zip_count")
+        return with_run_of_counts(named, run_at, params.run_name)
+
+    swept = Sweep(tables.base, [(scenario[side], ranked[side]) for side in scored], counts)
+    columns = spliced_columns(tables.base, [scenario[side] for side in scored])
+    sink_partition_replace(
+        of_run(swept.spliced(tables.base, columns)),
+        f"{path}/simulation_output",
+        "run_date",
+        "zip_count",
+    )
+    metrics = {name: of_run(df) for name, df in swept.metrics(tables.proxy).items()}
+    sink_metrics(metrics, f"{path}/metrics")
+    for side, df in ranked.items():
+        listed = of_run(zips_of_counts(df, counts).drop("zip_rank"))
+        # The count of a list is that of its zips.
+        own = F.least(F.col("zip_count"), F.lit(scored[side][1])).cast("int")
+        sink_zip_list(listed.withColumn("zip_count", own), f"{path}/{SIDES[side]}")
+
+
+def _told(params: P.ExecutionParams, sizes: dict[str, int]) -> dict:
+    return run_parameters(params, sizes.get("remediation", 0), sizes.get("expansion", 0))
+
+
+def spliced_columns(base: DataFrame, scenarios: list[DataFrame]) -> list[str]:
+    """Columns of a spliced result: those that baseline and scenario share."""
+    known = whatif.as_scenario(base).columns
+    return [c for c in scenarios[0].columns if c in known] if scenarios else known

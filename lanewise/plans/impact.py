@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lanewise.operators import whatif
+from lanewise.sources.shared import stored
 
 
 def impact_metrics(
@@ -12,9 +13,10 @@ def impact_metrics(
 ) -> dict[str, DataFrame]:
     """Metric frames when each scenario replaces the baseline in its zips.
 
-    A zip listed twice counts once.
+    A zip listed twice counts once.  The spliced result is written first and
+    read back by the metrics.
     """
-    custom = whatif.splice_scenario(base, choices)
+    custom = stored(whatif.splice_scenario(base, choices), "impact")
     return {
         "carrier_change": whatif.carrier_change(base, custom),
         "carrier_change_proxy": whatif.carrier_change_proxy(base, custom, proxy),

@@ -67,13 +67,28 @@ def with_run(
     )
 
 
+def with_run_of_counts(df: DataFrame, run_at, run_name: str) -> DataFrame:
+    """Add the run columns to rows that carry their ``zip_count``."""
+    tag = F.when(F.col("zip_count") == P.ALL_ZIPS, "all").otherwise("partial")
+    columns = with_run(df, run_at, run_name).drop("zip_count", "zip_count_tag").columns
+    return (
+        with_run(df.withColumnRenamed("zip_count", "_count"), run_at, run_name)
+        .withColumn("zip_count", F.col("_count"))
+        .withColumn("zip_count_tag", tag)
+        .select(*columns, "zip_count", "zip_count_tag")
+    )
+
+
+def parameter_texts(parameters: dict) -> tuple[str, str]:
+    """The names and the values of parameters as JSON texts."""
+    return json.dumps(list(parameters)), json.dumps(list(parameters.values()))
+
+
 def add_parameters(df: DataFrame, parameters: dict) -> DataFrame:
     """Add the names and the values of the parameters as JSON texts."""
+    names, values = parameter_texts(parameters)
     return df.withColumns(
-        {
-            "parameter_names": F.lit(json.dumps(list(parameters))),
-            "parameter_values": F.lit(json.dumps(list(parameters.values()))),
-        }
+        {"parameter_names": F.lit(names), "parameter_values": F.lit(values)}
     )
 
 
