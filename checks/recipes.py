@@ -98,7 +98,7 @@ RECIPES = {
     "station_backlog": """
         select cast(ts as date) as run_date, case when user_id % 2 = 0 then 'FedEx' else 'OnTrac'
         end as carrier, cast(user_id % 30 as int) as dest_facility_num, value / 200.0 as
-        days_behind, ts as row_created_date from events where event_type in ('error', 'click')
+        days_behind, ts as row_created_date from events
     """,
     "station_zip_a": """
         select zip5 as zipcode, cast(7000 + z % 30 as string) as master_term, date '2024-01-01' + g

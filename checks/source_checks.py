@@ -86,6 +86,36 @@ def sink_append_history(w: World):
     )
 
 
+@check(
+    "sink_append_repeated",
+    """
+    select source, count(*) as rows, true as success,
+           (select count(*) from recommendation_history) as first_rows,
+           cast(0 as bigint) as second_rows
+    from recommendation_history group by source
+    """,
+)
+def sink_append_repeated(w: World):
+    """The same runs twice: the second append finds them and writes no row."""
+    path = folder(w, "history_of_runs")
+    w.recommendation_history.limit(0).write.mode("overwrite").parquet(path)
+    runs = ("run_dttm", "run_name", "source")
+    told = [writers.sink_append_history(w.recommendation_history, path, runs) for _ in range(2)]
+    return (
+        w.spark.read.schema(w.recommendation_history.schema)
+        .parquet(path)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumns(
+            {
+                "success": F.lit(all(t.success for t in told)),
+                "first_rows": F.lit(told[0].rows).cast("bigint"),
+                "second_rows": F.lit(told[1].rows).cast("bigint"),
+            }
+        )
+    )
+
+
 @check(
     "sink_replace_by_week",
     """
@@ -196,7 +226,7 @@ def scan_metadata_runs(w: World):
     path = folder(w, "metadata_runs")
     writers.sink_decision_metadata(w.runs, path)
     return (
-        readers.scan_metadata_runs(w.spark, path, ["2025-11-14"])
+        readers.scan_metadata_runs(w.spark, path, ["2025-11-14"], w.runs.schema)
         .groupBy("run_date", "active")
         .agg(F.count(F.lit(1)).alias("zips"))
     )

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lanewise import params as P
 from lanewise.functions import calendar
@@ -194,29 +193,26 @@ def scan_execution_tables(
         run_date, signals.backlog_lookback_days, end_offset=0
     )
 
-    def days(name: str, start, end, column: str) -> DataFrame:
-        return scan_partition_range(spark, f"{path}/{name}", start, end, column)
+    def days(name: str, start, end, column: str, table: str | None = None) -> DataFrame:
+        return scan_partition_range(spark, f"{path}/{name}", start, end, column, table=table)
 
     def routed(scenario: str) -> DataFrame:
-        return days(f"simulations/{scenario}", first, last, "order_placed_date")
+        return days(
+            f"simulations/{scenario}", first, last, "order_placed_date", "routing_result"
+        )
 
     return ExecutionTables(
         base=whatif.as_base(routed("baseline")),
         remediate=routed("remediation"),
         expand=routed("expansion"),
-        ship_map_base=days("smf/baseline", first, last, "shipdate"),
-        ship_map_eligible=days("smf/expansion", first, last, "shipdate"),
+        ship_map_base=days("smf/baseline", first, last, "shipdate", "ship_map"),
+        ship_map_eligible=days("smf/expansion", first, last, "shipdate", "ship_map"),
         service=days("execution_data/unpadded_dea", service_from, last, "unpadded_edd"),
         backlog=days("execution_data/backlog", backlog_from, run_date, "date"),
         proxy=proxy,
     )
 
 
-HISTORY_SCHEMA = (
-    "zip5 string, final_recommendation string, final_reason_dea string, "
-    "final_reason_shutdown string, final_reason_backlog string, run_dttm timestamp, "
-    "run_date date, run_name string, zip_count_tag string"
-)
 SIDES = {"remediation": "zips_to_remediate", "expansion": "zips_to_expand"}
 
 
@@ -231,7 +227,7 @@ def recommendation_history(
         first,
         last,
         "run_date",
-        schema=T.StructType.fromDDL(HISTORY_SCHEMA),
+        table="recommendation_history",
     )
 
 

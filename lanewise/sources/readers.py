@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanewise.functions import calendar, codes
+from lanewise.sources import schemas
 
 
 def scan_partition_range(
@@ -20,13 +21,16 @@ def scan_partition_range(
     date_col: str = "order_placed_date",
     columns: dict[str, str] | None = None,
     schema: T.StructType | None = None,
+    table: str | None = None,
 ) -> DataFrame:
     """Day partitions from ``start`` to ``end``, both included.
 
     Missing days are simply not there.  ``columns`` maps the names to read to
-    the names to give.  With a ``schema``, a path that does not exist gives an
-    empty frame.
+    the names to give.  With a ``schema``, or the name of a declared ``table``,
+    nothing is inferred and a path that does not exist gives an empty frame; of
+    a table, rows without its keys fail.
     """
+    schema = schemas.schema(table) if table else schema
     try:
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.parquet(path)
@@ -35,6 +39,8 @@ def scan_partition_range(
             raise
         df = spark.createDataFrame([], schema)
     days = df.where(calendar.within_days(date_col, start, end))
+    if table:
+        days = schemas.required(days, table)
     if columns is None:
         return days
     return days.select(*(F.col(old).alias(new) for old, new in columns.items()))
@@ -109,20 +115,21 @@ def _of_runs(df: DataFrame, run_dates) -> DataFrame:
 
 
 def scan_latest_run_files(
-    spark: SparkSession, paths: list[str], run_dates
+    spark: SparkSession, paths: list[str], run_dates, table: str = "recommendation_history"
 ) -> DataFrame:
     """Full recommendations of some run dates from several folders."""
+    declared = schemas.schema(table)
     parts = [
-        _of_runs(spark.read.parquet(p), run_dates).where(F.col("zip_count_tag") == "all")
+        _of_runs(spark.read.schema(declared).parquet(p), run_dates).where(
+            F.col("zip_count_tag") == "all"
+        )
         for p in paths
     ]
-    return reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), parts
-    )
+    return schemas.required(reduce(DataFrame.unionByName, parts), table)
 
 
-def scan_metadata_runs(spark: SparkSession, path: str, run_dates) -> DataFrame:
+def scan_metadata_runs(
+    spark: SparkSession, path: str, run_dates, schema: T.StructType
+) -> DataFrame:
     """Master tables of some run dates in one partitioned read."""
-    return _of_runs(spark.read.parquet(path), run_dates)
-
-
+    return _of_runs(spark.read.schema(schema).parquet(path), run_dates)

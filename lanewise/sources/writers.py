@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lanewise import params as P
@@ -36,14 +39,71 @@ def sink_replace_by_week(df: DataFrame, path: str) -> None:
     sink_partition_replace(df, path, "week_start_date")
 
 
-def sink_append_history(df: DataFrame, path: str) -> None:
-    """Append to a history; the first write creates it."""
-    df.write.mode("append").parquet(path)
+@dataclass(frozen=True)
+class Appended:
+    """What an append did: whether it wrote, in how many files, and how many rows."""
 
+    success: bool
+    chunks: int
+    rows: int
 
-def sink_append_table(df: DataFrame, name: str) -> None:
-    """Append to a catalog table, created on first use."""
-    df.write.mode("append").saveAsTable(name)
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame, and what counts its rows while they are written."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _new_runs(df: DataFrame, history: DataFrame | None, run_keys: tuple[str, ...]) -> DataFrame:
+    """Rows of runs that the history does not have yet."""
+    if history is None or not run_keys:
+        return df
+    known = history.select(*run_keys).distinct().withColumnsRenamed(
+        {c: f"_known_{c}" for c in run_keys}
+    )
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_known_{c}")) for c in run_keys))
+    return df.join(known, same, "left_anti")
+
+
+def _files(df: DataFrame | None) -> set[str]:
+    return set() if df is None else set(df.inputFiles())
+
+
+def sink_append_history(
+    df: DataFrame, path: str, run_keys: tuple[str, ...] = ()
+) -> Appended:
+    """Append to a history; the first write creates it.
+
+    With ``run_keys``, rows of a run that is there already are left out, so a
+    repeated run appends nothing.  Rows are counted while they are written.
+    """
+    reader = df.sparkSession.read.schema(df.schema)
+
+    def history() -> DataFrame | None:
+        try:
+            return reader.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    before = history()
+    rows, seen = _counted(_new_runs(df, before, run_keys))
+    rows.write.mode("append").parquet(path)
+    return Appended(True, len(_files(history()) - _files(before)), seen.get["rows"])
+
+
+def sink_append_table(
+    df: DataFrame, name: str, run_keys: tuple[str, ...] = ()
+) -> Appended:
+    """Append to a catalog table, created on first use; like :func:`sink_append_history`."""
+    spark = df.sparkSession
+    before = spark.table(name) if spark.catalog.tableExists(name) else None
+    old = _files(before)
+    rows, seen = _counted(_new_runs(df, before, run_keys))
+    rows.write.mode("append").saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    return Appended(True, len(_files(spark.table(name)) - old), seen.get["rows"])
 
 
 def with_run(

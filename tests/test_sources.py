@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.sources import readers, shared, writers
+from lanewise.sources import readers, schemas, shared, writers
 
 SCHEMA = T.StructType(
     [T.StructField("v", T.IntegerType()), T.StructField("d", T.DateType())]
@@ -91,3 +91,55 @@ def test_without_a_shared_folder_nothing_is_guessed(spark, monkeypatch):
         shared.table_path(spark, "x")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.saved_once(spark, "test/never", lambda: spark.range(1))
+
+
+def test_declared_schemas_are_not_inferred(spark, tmp_path):
+    """Days are pruned, and a file without a key or with another type is told."""
+    path = str(tmp_path / "lines")
+    row = (1, "a", 1, 2, date(2025, 11, 1))
+    lines = spark.createDataFrame([row], schemas.schema("order_lines"))
+    writers.sink_partition_replace(lines, path, "order_placed_date")
+    read = readers.scan_partition_range(spark, path, "2025-11-01", "2025-11-02", table="order_lines")
+    assert [tuple(r) for r in read.collect()] == [row]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_placed_date" in plan
+    # Another day's file without a key: read only if its day is.
+    lines.drop("qty", "order_placed_date").write.parquet(f"{path}/order_placed_date=2025-11-02")
+    assert read.where("order_placed_date = '2025-11-01'").count() == 1
+    with pytest.raises(Exception, match="order_lines: a row without qty"):
+        readers.scan_partition_range(spark, path, "2025-11-01", "2025-11-02", table="order_lines").collect()
+    lines.withColumn("qty", F.lit("two")).drop("order_placed_date").write.parquet(
+        f"{path}/order_placed_date=2025-11-03"
+    )
+    with pytest.raises(Exception, match="(?i)parquet"):
+        readers.scan_partition_range(spark, path, "2025-11-03", "2025-11-03", table="order_lines").collect()
+    missing = readers.scan_partition_range(spark, path + "x", "2025-11-01", "2025-11-02", table="order_lines")
+    assert missing.count() == 0 and missing.schema == schemas.schema("order_lines")
+
+
+def test_a_repeated_append_writes_nothing(spark, tmp_path):
+    path = str(tmp_path / "history")
+    kind = "zip5 string, run_name string, run_date date"
+    day = date(2025, 11, 1)
+    first = spark.createDataFrame([("00001", "a", day), ("00002", "a", day), ("00003", None, day)], kind)
+    keys = ("run_name", "run_date")
+    told = writers.sink_append_history(first, path, keys)
+    assert told.success and told.rows == 3 and told.chunks >= 1
+    again = writers.sink_append_history(first, path, keys)
+    assert again.rows == 0
+    more = first.unionAll(spark.createDataFrame([("00004", "b", day)], kind))
+    assert writers.sink_append_history(more, path, keys).rows == 1
+    assert spark.read.schema(kind).parquet(path).count() == 4
+
+
+def test_append_to_a_table(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "n int, run string")
+    name = "appended_runs"
+    spark.sql(f"drop table if exists {name}")
+    try:
+        assert writers.sink_append_table(df, name, ("run",)).rows == 2
+        assert writers.sink_append_table(df, name, ("run",)).rows == 0
+        assert writers.sink_append_table(df, name).rows == 2
+        assert spark.table(name).count() == 4
+    finally:
+        spark.sql(f"drop table if exists {name}")
