@@ -70,10 +70,11 @@ def powers(of: np.uint64, n: int) -> np.ndarray:
 
 
 def in_ranges(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters of a script without spaces."""
     inside = np.zeros(len(points), bool)
-    for low, high in UNSPACED:
-        if points.size and points.max() >= low:
-            inside |= (points >= low) & (points <= high)
+    high = np.flatnonzero((points >= UNSPACED[0][0]) & (points < EDGE))
+    for low, last in UNSPACED:
+        inside[high] |= (points[high] >= low) & (points[high] <= last)
     return inside
 
 
@@ -219,18 +220,18 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-SPAN = ("since", "until", "hash")
+SPAN = ("since", "size", "hash")
 
 
 def run_spans(texts: list[str | None], run: int, least: int) -> list[list[np.ndarray]]:
-    """For each text the code points and the hash of its runs, as arrays."""
+    """For each text where its runs start, their code points and their hash."""
     found = []
     for _, held in groups(texts):
         units = Units(held)
         first, last, hashes = units.runs(run, least)
         columns = (
             units.since[first].astype(np.int32),
-            units.until[last - 1].astype(np.int32),
+            (units.until[last - 1] - units.since[first]).astype(np.int32),
             hashes,
         )
         cuts = np.searchsorted(units.text[first], np.arange(1, len(held)))
@@ -299,7 +300,7 @@ def without(text: Column, cut: Column) -> Column:
                 # White space before the first word is cut with it, but is no sentence.
                 lead = len(t) - len(t.lstrip("\t\n\v\f\r "))
                 kept, at, lost, seen = [], 0, 0, -1
-                for since, until in sorted((x["since"], x["until"]) for x in spans):
+                for since, until in sorted((x["since"], x["since"] + x["size"]) for x in spans):
                     kept.append(t[at : max(at, since)])
                     at = max(at, until)
                     low = bisect.bisect_right(ends, max(since, lead))
