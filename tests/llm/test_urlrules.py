@@ -107,3 +107,26 @@ def test_judged_urls(spark):
     none = urlrules.judged_urls(urls, labelled.limit(0), HOST_RULES)
     assert none.where("rule is null and verdict != 'allow'").count() == 0
     assert urlrules.judged_urls(urls.limit(0), labelled, HOST_RULES).count() == 0
+
+
+def test_chance_gives_no_rule(spark):
+    """Labels that have nothing to do with the urls, and one token that has."""
+    rng = random.Random(21)
+    rows = [(sorted({f"t{rng.randrange(40)}" for _ in range(6)}), rng.random() < 0.15) for _ in range(3000)]
+    told = [(sorted([*t, "spam"]), rng.random() < 0.7) for t, _ in rows[:60]]
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    both = spark.createDataFrame(rows + told, "tokens array<string>, bad boolean")
+    assert urlrules.mined_rules(frame).count() > 0
+    assert urlrules.mined_rules(frame, alpha=urlrules.ALPHA).count() == 0
+    found = urlrules.mined_rules(both, alpha=urlrules.ALPHA).collect()
+    assert ["spam"] in [r["tokens"] for r in found] and all("spam" in r["tokens"] for r in found)
+
+
+def test_urls_of_many_tokens_end(spark):
+    """Thirty tokens that always come together: combinations of the best sixteen only."""
+    names = [f"n{k:02}" for k in range(30)]
+    rows = [(names, k % 3 == 0) for k in range(60)] + [([*names[:2], "bad"], True) for _ in range(40)]
+    rows += [(["other"], False) for _ in range(100)] + [(None, True), ([], False)]
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    found = {tuple(r["tokens"]) for r in urlrules.mined_rules(frame, 0.01, 20, 0.6, 1.2, 0.01).collect()}
+    assert ("bad",) in found and all(len(t) <= 16 for t in found)
