@@ -690,11 +690,7 @@ def filter_in_list(w: World):
     from lanewise import params as P
 
     return (
-        w.ship_map_raw.where(
-            F.col("fc").isin(*P.FCS)
-            & F.col("mode").isin(P.INCUMBENT)
-            & (F.col("item_type") == P.STANDARD_ITEM)
-        )
+        shipmap.scoped(w.ship_map_raw, START, END, modes=[P.INCUMBENT])
         .groupBy("fc", "mode")
         .agg(F.count(F.lit(1)).alias("lanes"))
     )

@@ -9,6 +9,7 @@ from checks.world import RUN_DATE, World
 from checks.whatif_checks import region
 from lanewise import params as P
 from lanewise.functions import calendar, codes, numbers
+from lanewise.operators import shipmap
 
 
 @check(
@@ -183,11 +184,8 @@ def lookback_window(w: World):
     """,
 )
 def filter_date_window(w: World):
-    last = F.date_add(F.lit("2025-11-05").cast("date"), P.SHIP_MAP_DAYS_AHEAD)
     return (
-        w.ship_map_raw.where(
-            F.col("ship_date").between(F.lit("2025-11-03").cast("date"), last)
-        )
+        shipmap.scoped(w.ship_map_raw, "2025-11-03", "2025-11-05")
         .groupBy(F.col("ship_date").alias("shipdate"))
         .agg(F.count(F.lit(1)).alias("lanes"))
     )

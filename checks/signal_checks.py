@@ -65,9 +65,8 @@ def pivot_unique(w: World):
 )
 def agg_distinct_days(w: World):
     return (
-        w.service.groupBy("zip5", "carrier_code")
-        .agg(F.count_distinct("unpadded_edd").alias("days"))
-        .where(F.col("days") >= 3)
+        signals.rates_over_days(w.service, 3)
+        .select("zip5", "carrier_code", "days")
     )
 
 
@@ -166,8 +165,7 @@ def pivot_first(w: World):
     """,
 )
 def filter_tomorrow(w: World):
-    tomorrow = F.date_add(F.lit(RUN_DATE).cast("date"), 1)
-    return w.shutdowns.where(F.col("start_date") == tomorrow).drop("start_date")
+    return signals.starting_tomorrow(w.shutdowns, RUN_DATE).drop("start_date")
 
 
 @check(
@@ -178,8 +176,7 @@ def filter_tomorrow(w: World):
     """,
 )
 def join_cross_carriers(w: World):
-    carriers = F.explode(F.array(*map(F.lit, P.CARRIERS)))
-    return zips.distinct_zips(w.shutdowns).withColumn("carrier_code", carriers)
+    return signals.zips_by_carrier(w.shutdowns)
 
 
 SHUTDOWN_SQL = """
@@ -312,12 +309,8 @@ def last_recommendation(w: World):
     """,
 )
 def filter_history_window(w: World):
-    day = F.to_date("run_dttm")
-    return w.recommendation_history.where(
-        (day >= F.lit("2025-09-16").cast("date"))
-        & (day < F.lit("2025-11-01").cast("date"))
-        & (F.col("zip_count_tag") == "all")
-    ).select("zip5", "run_dttm", "run_name")
+    runs = signals.full_runs(w.recommendation_history, "2025-11-01", 46)
+    return runs.select("zip5", "run_dttm", "run_name")
 
 
 @check(
@@ -345,11 +338,8 @@ def filter_run_name(w: World):
     """,
 )
 def agg_max_join(w: World):
-    history = w.recommendation_history
-    newest = history.groupBy("zip5").agg(F.max("run_dttm").alias("run_dttm"))
-    return history.join(newest, ["zip5", "run_dttm"]).select(
-        "zip5", "source", "run_dttm"
-    )
+    newest = signals.latest_rows(w.recommendation_history, ["zip5"], "run_dttm")
+    return newest.select("zip5", "source", "run_dttm")
 
 
 @check("zip_status", "select * from status")

@@ -36,7 +36,8 @@ def latest_snapshot(
     )
 
 
-def _scoped(raw: DataFrame, start, end, fcs, modes) -> DataFrame:
+def scoped(raw: DataFrame, start, end, fcs=P.FCS, modes=P.CARRIERS) -> DataFrame:
+    """Standard lanes of the listed FCs and carriers over the days of a ship map."""
     last = F.date_add(F.lit(calendar.as_date(end)), P.SHIP_MAP_DAYS_AHEAD)
     return raw.where(
         F.col("fc").isin(*fcs)
@@ -60,7 +61,7 @@ def _scoped(raw: DataFrame, start, end, fcs, modes) -> DataFrame:
 
 def ship_map(raw: DataFrame, start, end, fcs=P.FCS, modes=P.CARRIERS) -> DataFrame:
     """Lanes in force: the latest snapshot of each (day, FC, zip)."""
-    rows = _scoped(raw, start, end, fcs, modes)
+    rows = scoped(raw, start, end, fcs, modes)
     current = latest_snapshot(rows, ["ship_date", "fc", "zip5"], "generate_date")
     return current.select(
         F.col("ship_date").alias("shipdate"),

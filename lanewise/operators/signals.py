@@ -225,6 +225,19 @@ def per_carrier(
     return wide
 
 
+def rates_over_days(service: DataFrame, minimum_days: int = 3) -> DataFrame:
+    """Days, on-time and all packages by zip and carrier with so many days of data."""
+    return (
+        service.groupBy("zip5", "carrier_code")
+        .agg(
+            F.count_distinct("unpadded_edd").alias("days"),
+            numbers.total("on_time_count").alias("on_time"),
+            numbers.total("package_count").alias("act_package_count"),
+        )
+        .where(F.col("days") >= minimum_days)
+    )
+
+
 def reason_service(
     service: DataFrame,
     threshold: float,
@@ -237,15 +250,8 @@ def reason_service(
     Alike carriers are ok; the reverse case and a missing carrier give no
     reason.  A carrier needs ``minimum_days`` days of data.
     """
-    rates = (
-        service.groupBy("zip5", "carrier_code")
-        .agg(
-            F.count_distinct("unpadded_edd").alias("days"),
-            numbers.total("on_time_count").alias("on_time"),
-            numbers.total("package_count").alias("act_package_count"),
-        )
-        .where(F.col("days") >= minimum_days)
-        .withColumn("unpadded_edd_dea", numbers.ratio("on_time", "act_package_count"))
+    rates = rates_over_days(service, minimum_days).withColumn(
+        "unpadded_edd_dea", numbers.ratio("on_time", "act_package_count")
     )
     wide = per_carrier(
         rates,
@@ -316,6 +322,19 @@ def reason_backlog(
     return wide.withColumn("reason_code_backlog", reason)
 
 
+def starting_tomorrow(shutdowns: DataFrame, run_date) -> DataFrame:
+    """Shutdowns that start the day after the run."""
+    run = F.lit(calendar.as_date(run_date))
+    return shutdowns.where(F.col("start_date") == F.date_add(run, 1))
+
+
+def zips_by_carrier(zips: DataFrame, carriers=P.CARRIERS) -> DataFrame:
+    """Every distinct zip with each of the carriers."""
+    return distinct_zips(zips).select(
+        "zip5", F.explode(F.array(*map(F.lit, carriers))).alias("carrier_code")
+    )
+
+
 def shutdown_clear_dates(
     run_date,
     shutdowns: DataFrame,
@@ -326,10 +345,8 @@ def shutdown_clear_dates(
 ) -> DataFrame:
     """When each carrier is clear again in zips with a shutdown starting tomorrow."""
     run = F.lit(calendar.as_date(run_date))
-    starting = shutdowns.where(F.col("start_date") == F.date_add(run, 1))
-    both = distinct_zips(starting).select(
-        "zip5", F.explode(F.array(*map(F.lit, carriers))).alias("carrier_code")
-    )
+    starting = starting_tomorrow(shutdowns, run_date)
+    both = zips_by_carrier(starting, carriers)
     ends = (
         F.when(F.col("end_date").isNotNull(), F.col("end_date"))
         .when(F.col("start_date").isNull(), run)
@@ -387,6 +404,17 @@ def reason_shutdown(
     return wide.withColumn("reason_code_shutdown", reason)
 
 
+def full_runs(history: DataFrame, run_date, days: int = 60) -> DataFrame:
+    """Full runs of the history window, the run day itself excluded."""
+    first, _ = calendar.lookback_window(run_date, days, end_offset=0)
+    day = F.col("run_dttm").cast("date")
+    return history.where(
+        (day >= F.lit(first))
+        & (day < F.lit(calendar.as_date(run_date)))
+        & (F.col("zip_count_tag") == "all")
+    )
+
+
 def last_recommendation(
     remediation_history: DataFrame,
     expansion_history: DataFrame,
@@ -400,19 +428,13 @@ def last_recommendation(
     filters.  Where both histories have the zip at the same moment, the
     expansion history wins.
     """
-    first, _ = calendar.lookback_window(run_date, days, end_offset=0)
-    day = F.col("run_dttm").cast("date")
     reasons = ("dea", "shutdown", "backlog")
     payload = ["final_recommendation", "run_name", *(f"final_reason_{r}" for r in reasons)]
 
     def newest_of(history: DataFrame, source: int) -> DataFrame:
-        rows = history.where(
-            (day >= F.lit(first))
-            & (day < F.lit(calendar.as_date(run_date)))
-            & (F.col("zip_count_tag") == "all")
-        )
         return (
-            rows.transform(newest(["zip5"], "run_dttm", "run_name", "run_dttm", *payload))
+            full_runs(history, run_date, days)
+            .transform(newest(["zip5"], "run_dttm", "run_name", "run_dttm", *payload))
             .where(F.col("run_name") == run_name)
             .withColumn("source", F.lit(source))
         )

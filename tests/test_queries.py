@@ -1,55 +1,25 @@
-"""Registered queries next to their SQL on the smallest test data."""
+"""All registered queries next to their SQL on the smallest test data."""
 
 import os
 
 import pytest
 
-import __spark_entry__ as entry
 from checks import load
 from checks.compare import compare, database
 
 SF = "/root/testdata/sf0.001"
-FAST = [
-    "ship_map",
-    "ship_map_expanded",
-    "ship_map_custom",
-    "fulfillable_fcs",
-    "package_dims",
-    "lane_cost",
-    "routing_result",
-    "routing_result_two_shipments",
-    "routing_result_overlapping_cards",
-    "join_distance",
-    "agg_mean_multi",
-    "fc_carrier_switch",
-    "zip_backlog",
-    "reason_backlog",
-    "last_recommendation",
-    "carrier_change",
-    "fc_carrier_flow",
-    "carrier_change_proxy",
-    "decision_master",
-    "expansion_score",
-    "fidelity_carrier_before",
-    "sink_replace_by_week",
-    "execution_run_second_day",
-    "execution_run_zip_lists",
-    "execution_run_carrier_net_before_wms_proxy",
-    "planning_run_zips",
-    "fidelity_run_fc",
-    "signal_run_service",
-    "impact_fc_flow",
-]
-
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not there")
 
 
+@pytest.fixture(scope="module")
+def tables():
+    return database(SF)
+
+
 @needs_data
-@pytest.mark.parametrize("name", FAST)
-def test_query_equals_its_sql(spark, name):
-    line, same = compare(
-        spark, database(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF
-    )
+@pytest.mark.parametrize("name", list(load().QUERIES))
+def test_query_equals_its_sql(spark, tables, name):
+    line, same = compare(spark, tables, name, load().QUERIES[name], load().SQL[name], SF)
     assert same, line
 
 
