@@ -58,3 +58,27 @@ def test_pipeline_equals_plain_loops_up_to_the_sample(spark):
     drawn = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in drawn} <= texts.keys() and drawn
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in drawn}
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, tmp_path):
+    """Each stage on nulls, repeats, long texts, clashing columns, and on no row."""
+    item = " ".join(f"item{k}" for k in range(20))
+    items = spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, odd, str(tmp_path))
+        rows = found.collect()
+        assert set(corpus_pipeline.COLUMNS) <= set(found.columns), name
+        assert {r["doc_id"] for r in rows} <= {k for k, _ in before}
+        if name not in ("line dedup",):
+            assert {(r["doc_id"], r["text"]) for r in rows} <= before
+        none = stage(spark, odd.limit(0), str(tmp_path))
+        assert set(corpus_pipeline.COLUMNS) <= set(none.columns) and none.count() == 0
+    kept = corpus_pipeline.STAGES[2][1](spark, odd, str(tmp_path)).collect()
+    # The repeated prose and its copies under other ids stay once, at the smallest id.
+    assert [r["doc_id"] for r in kept].count(1) == 2 and all(r["doc_id"] != 6 for r in kept)
+    empty = spark.createDataFrame([], "item_id long, text string")
+    empty.write.mode("overwrite").parquet(f"{tmp_path}/none/benchmark.parquet")
+    leaks_of_none = corpus_pipeline.STAGES[3][1](spark, odd, f"{tmp_path}/none")
+    assert leaks_of_none.count() == odd.count()
