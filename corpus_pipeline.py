@@ -4,6 +4,10 @@
 DataFrame.  All but the last return the columns of ``documents``.  ``run``
 writes each stage to the shared folder and hands what it reads back to the
 next.
+
+Every stage takes tables with nulls in any column, empty and very long texts,
+repeated rows and other columns (which are dropped), and gives an empty table
+for an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +22,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    A null or empty text has too few words and goes; repeated rows are judged
+    alike.
+    """
     queries.prepared(spark)
     judged = cascade.quality_cascade(docs)
     return judged.where("quality.kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites share."""
+    """All documents, without the lines that many sites share.
+
+    A null source is a site of its own; a null text stays null, an empty one
+    empty.  A line counts once for each site, however often it repeats there.
+    """
     queries.prepared(spark)
     cut = lines.without_shared_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    The smallest id stays; of rows with one id, and of null ids, one.  Texts
+    without words are near duplicates of each other.
+    """
     queries.prepared(spark)
     return simhash.one_of_each(docs, shingle=4, max_bits=4).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    A null or empty text holds none, and an empty benchmark is held by none.
+    """
     queries.prepared(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.leaks(docs, items)
@@ -46,7 +65,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample, with the probability by which each document was drawn."""
+    """The sample, with the probability by which each document was drawn.
+
+    Null sources and languages are a margin value of their own; a document
+    without words belongs to its cell like any other, a cell without words is not
+    drawn.  Draws come from a hash of the id (of the text without one), so
+    repeated rows are drawn together.
+    """
     queries.prepared(spark)
     drawn = mixing.mix(docs).where("mix.sampled")
     probability = F.round("mix.probability", 6).alias("probability")
