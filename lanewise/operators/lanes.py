@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -250,29 +251,36 @@ def lane_stage(
     Slices come from the shipment rows by zip and day, before the packages are
     known, so stock and order lines are read once.
     """
-    day = F.col("order_placed_ts").cast("date").alias("order_placed_date")
-    keys = shipments.select("zip5", day).groupBy(*LANE_KEYS)
-    keys = stored(keys.agg(F.count(F.lit(1)).alias("_rows")), f"{name}-keys")
-    rows, most = keys.agg(F.sum("_rows"), F.max("_rows")).first()
-    hot = None
-    if (most or 0) > PACKAGES_PER_SLICE:
-        hot = slices_of(keys, LANE_KEYS, F.col("_rows"), PACKAGES_PER_SLICE)
-        hot = stored(hot, f"{name}-hot")
+    # Cards and keys need nothing of each other: their small jobs run side by side.
+    with ThreadPoolExecutor() as pool:
+        edges = pool.submit(band_edges, cards)
+        flat = pool.submit(lambda: stored(flat_amounts(cards), f"{name}-flat"))
+        hot, rows = _slices(shipments, name)
+        edges, flat = edges.result(), flat.result()
     least = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-(rows or 0) // PACKAGES_PER_BUCKET))
-    edges = band_edges(cards)
+    buckets = max(least, -(-rows // PACKAGES_PER_BUCKET))
     sliced = salt(sized(packages, edges), LANE_KEYS, PACKAGE, hot)
     sliced = bucketed(sliced, f"{name}-packages", buckets, LANE_KEYS if hot is None else SLICE)
-    made = {
-        "handling": stored(handling_card(sliced, cards, edges), f"{name}-handling"),
-        "flat": stored(flat_amounts(cards), f"{name}-flat"),
-    }
+    handling = stored(handling_card(sliced, cards, edges), f"{name}-handling")
     # A row is a few numbers and two short names; larger cards are merge-joined.
+    made = {"handling": handling, "flat": flat}
     fits = within_rows(made)
     made = {card: F.broadcast(df) if fits[card] else df for card, df in made.items()}
     return LaneStage(sliced, hot, **made, cards=cards)
 
 
+def _slices(shipments: DataFrame, name: str) -> tuple[DataFrame | None, int]:
+    """Zips and days with several slices, null if there is none, and all rows."""
+    day = F.col("order_placed_ts").cast("date").alias("order_placed_date")
+    keys = shipments.select("zip5", day).groupBy(*LANE_KEYS)
+    keys = stored(keys.agg(F.count(F.lit(1)).alias("_rows")), f"{name}-keys")
+    rows, most = keys.agg(F.sum("_rows"), F.max("_rows")).first()
+    if (most or 0) <= PACKAGES_PER_SLICE:
+        return None, rows or 0
+    hot = slices_of(keys, LANE_KEYS, F.col("_rows"), PACKAGES_PER_SLICE)
+    return stored(hot, f"{name}-hot"), rows
+
+
 def package_lanes(stage: LaneStage, routes: DataFrame) -> DataFrame:
     """Every lane of ``routes`` open to a package, with what prices it.
 
