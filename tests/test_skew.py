@@ -77,3 +77,15 @@ def test_latest_snapshot_keeps_ties_and_copies(spark):
     out = shipmap.latest_snapshot(df, ["zip5"], "g", rows_per_slice=40)
     kept = sorted(r for r in data if r[2] == max(g for z, _, g in data if z == r[0]))
     assert sorted(map(tuple, out.collect())) == kept
+
+
+@pytest.mark.parametrize("score", ["cast(null as double)", "1.0d", "if(id % 3 = 0, null, 2.0d)"])
+def test_blocks_of_equal_and_unknown_scores_are_even(spark, score):
+    """Rows of one score are split by their tie, so no task gets all of them."""
+    df = spark.range(4_000).selectExpr("id", f"{score} as score", "lpad(id, 5, '0') as zip5")
+    blocks = skew.ranked_blocks(df, "score", "zip5", 8)
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 4_000 / 8
+    out = skew.running_total(df.withColumn("one", F.lit(1)), "score", "zip5", {"one": "place"}, blocks=8)
+    ordered = sorted(out.collect(), key=lambda r: (r["score"] is None, r["score"] or 0.0, r["zip5"]))
+    assert [r["place"] for r in ordered] == list(range(1, 4_001))
