@@ -142,8 +142,17 @@ LINES_SQL = f"""
 """
 
 
-def mix_sql(sweeps: int = mixing.SWEEPS, temper: float = mixing.TEMPER) -> str:
-    """The raking unrolled, one statement for each sweep and margin."""
+#: What the mixing query rakes to; sources get their tempered shares.
+TARGETS = {
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "topic": {"prose": 0.8, "note": 0.1},
+}
+#: Share of all tokens that its sample has.
+BUDGET = 0.3
+
+
+def mix_sql() -> str:
+    """Raking as a recursion over the cells, a step a sweep."""
 
     def share(marks: str) -> str:
         return (
@@ -151,7 +160,6 @@ def mix_sql(sweeps: int = mixing.SWEEPS, temper: float = mixing.TEMPER) -> str:
             "/ greatest(length(text), 1)"
         )
 
-    margins = ("source", "lang", "topic")
     steps = [
         f"""d as materialized (
             select doc_id, coalesce(source, '{mixing.NONE}') as source,
@@ -164,34 +172,47 @@ def mix_sql(sweeps: int = mixing.SWEEPS, temper: float = mixing.TEMPER) -> str:
                    cast('0x' || substr(md5('1:' || coalesce(doc_id::varchar, text, '')), 1, 8)
                         as bigint) / 4294967296.0 as u
             from documents)""",
-        "c as materialized (select source, lang, topic, sum(tokens)::double as tokens "
-        "from d group by all)",
+        "c as materialized (select source, lang, topic, sum(tokens)::double as tokens, "
+        "coalesce(sum(tokens) / nullif(sum(sum(tokens)) over (), 0), 0)::double as part "
+        "from d group by source, lang, topic)",
     ]
-    for m in margins:
+    sweep = "(select * replace (0::double as off) from r where off > " + (
+        f"{mixing.TOLERANCE} and k < {mixing.SWEEPS})"
+    )
+    for m in mixing.MARGINS:
+        named = TARGETS.get(m, {})
+        rest = max(0.0, round(1 - sum(named.values()), 9))
+        given = ", ".join(f"('{v}', {s}::double)" for v, s in named.items()) or "(null, 0::double)"
         steps.append(
-            f"goal_{m} as materialized (select {m}, "
-            f"pow(sum(tokens), {temper}) / sum(pow(sum(tokens), {temper})) over () as share "
-            f"from c group by {m} having sum(tokens) > 0)"
+            f"""goal_{m} as materialized (
+                select {m}, s / sum(s) over () as share from (
+                    select {m}, coalesce(share, {rest} * t / sum(t) over ()) as s from (
+                        select {m}, share,
+                               case when share is null then pow(n, {mixing.TEMPER}) end as t
+                        from (select {m}, sum(tokens) as n from c group by {m}
+                              having sum(tokens) > 0)
+                        left join (values {given}) g({m}, share) using ({m}))))"""
+        )
+        scaled = (
+            f"(select x.*, coalesce(coalesce(g.share, 0) / nullif(sum(w) over "
+            f"(partition by x.{m}), 0), 0) as s from {sweep} x left join goal_{m} g on x.{m} = g.{m})"
+        )
+        sweep = (
+            "(select k, source, lang, topic, part, least(w * s, part / "
+            f"{BUDGET}) as w, greatest(off, case when w > 0 and w * s < part / {BUDGET} "
+            f"then abs(s - 1) else 0 end) as off from {scaled})"
         )
-    last = "w0"
     steps.append(
-        "w0 as materialized (select *, tokens / nullif(sum(tokens) over (), 0) as w from c)"
+        "r as (select 0 as k, source, lang, topic, part, part as w, 9::double as off from c "
+        "union all select k + 1, source, lang, topic, part, w, max(off) over () "
+        f"from {sweep})"
     )
-    for k in range(sweeps):
-        for m in margins:
-            name = f"w{k}_{m}"
-            steps.append(
-                f"{name} as materialized (select x.* replace (w * coalesce(coalesce(share, 0) "
-                f"/ nullif(sum(w) over (partition by x.{m}), 0), 0) as w) "
-                f"from {last} x left join goal_{m} g using ({m}))"
-            )
-            last = name
     steps.append(
-        "p as (select source, lang, topic, coalesce(w / nullif(tokens, 0) "
-        f"/ nullif(max(w / nullif(tokens, 0)) over (), 0), 0) as p from {last})"
+        f"p as (select source, lang, topic, coalesce(least(w / nullif(part / {BUDGET}, 0), 1), 0) "
+        "as p from r where k = (select max(k) from r))"
     )
     return (
-        "with "
+        "with recursive "
         + ", ".join(steps)
         + " select doc_id, source, lang, topic, tokens, round(p, 6) as probability, "
         "u < p as sampled from d join p using (source, lang, topic)"
@@ -328,10 +349,18 @@ TRIE_SQL = rf"""
 # --- Queries ------------------------------------------------------------------
 
 
+def shares_of(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
+    """``value, share`` as a table."""
+    rows = ", ".join(f"('{value}', {share}D)" for value, share in shares.items())
+    return spark.sql(f"select * from values {rows} as t(value, share)")
+
+
 @query("op1_mix_sources", mix_sql())
 def op1(read):
     """Raked weights, calibrated probabilities and the draw for every document."""
-    mixed = mixing.mix(read("documents"))
+    docs = read("documents")
+    targets = {margin: shares_of(docs.sparkSession, given) for margin, given in TARGETS.items()}
+    mixed = mixing.mix(docs, targets, budget=BUDGET, keep=["doc_id", "source", "lang"])
     return mixed.select(
         "doc_id",
         F.coalesce("source", F.lit(mixing.NONE)).alias("source"),
