@@ -19,6 +19,8 @@ from lanewise.llm import cascade, decontaminate, lines, mixing, queries, simhash
 from lanewise.llm.stages import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of the tokens left after decontamination that the sample has.
+BUDGET = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +71,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources and languages are a margin value of their own; a document
     without words belongs to its cell like any other, a cell without words is not
-    drawn.  Draws come from a hash of the id (of the text without one), so
+    drawn.  The sample has ``BUDGET`` of all tokens; cells too small for their
+    weight are drawn whole.  Draws come from a hash of the id (of the text without one), so
     repeated rows are drawn together.
     """
     queries.prepared(spark)
-    drawn = mixing.mix(docs).where("mix.sampled")
+    drawn = mixing.mix(docs, budget=BUDGET).where("mix.sampled")
     probability = F.round("mix.probability", 6).alias("probability")
     return drawn.select(*COLUMNS, F.col("mix.topic").alias("topic"), probability)
 
