@@ -104,30 +104,31 @@ def raked(
     share = F.coalesce(F.try_divide("tokens", total), F.lit(0.0))
     room = F.lit(None).cast("double") if budget is None else share / budget
     weighted = cells.withColumn("weight", share).withColumn("room", room)
+    for margin, goal in goals.items():
+        goal = goal.select(F.col("value").alias(margin), F.col("share").alias(f"_goal_{margin}"))
+        weighted = weighted.join(goal, margin, "left")
+    weighted = staged(weighted, "unraked")
     for _ in range(sweeps):
         weighted = weighted.withColumn("_off", F.lit(0.0))
-        for margin, goal in goals.items():
-            now = weighted.groupBy(F.col(margin).alias("value")).agg(F.sum("weight").alias("_now"))
-            scale = now.join(goal, "value", "left").select(
-                F.col("value").alias(margin),
-                F.coalesce(
-                    F.try_divide(F.coalesce("share", F.lit(0.0)), F.col("_now")), F.lit(0.0)
-                ).alias("_scale"),
-            )
+        for margin in goals:
+            now = weighted.groupBy(margin).agg(F.sum("weight").alias("_now"))
+            goal = F.coalesce(f"_goal_{margin}", F.lit(0.0))
+            scale = F.coalesce(F.try_divide(goal, F.col("_now")), F.lit(0.0))
             grown = F.col("weight") * F.col("_scale")
             free = (F.col("weight") > 0) & (F.col("room").isNull() | (grown < F.col("room")))
             weighted = (
-                weighted.join(scale, margin)
+                weighted.join(now, margin)
+                .withColumn("_scale", scale)
                 .withColumn("_off", F.greatest("_off", F.when(free, F.abs(F.col("_scale") - 1))))
                 .withColumn("weight", F.least(grown, "room"))
-                .drop("_scale")
+                .drop("_scale", "_now")
             )
         weighted = staged(weighted, "raked")
         off = weighted.agg(F.max("_off")).first()[0]
         weighted = weighted.drop("_off")
         if off is None or off <= tolerance:
             break
-    return weighted
+    return weighted.drop(*(f"_goal_{margin}" for margin in goals))
 
 
 def chance(doc_id: Column, text: Column, seed: int) -> Column:
