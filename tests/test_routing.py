@@ -61,6 +61,27 @@ def test_fc_sets_beyond_the_bits_of_a_number(lines):
     assert rows(sets.drop("fcs")) == [(1, "a", "AVP1"), (2, "b", "MCI1")]
 
 
+def test_served_sets_equal_those_of_stocked_lines(spark):
+    """Repeated rows, nulls, unlisted FCs; the join has no row for every FC."""
+    order_lines = spark.createDataFrame(
+        [(o, t, n, q, DAY) for o in (1, 2, 3, None) for t, n, q in
+         (("a", 1, 2), ("a", 1, 7), ("a", 2, 1), ("b", 1, 3), (None, 2, 4), ("c", 3, None))],
+        "order_id long, tracking_number string, order_line_id int, qty int, order_placed_date date",
+    )
+    inventory = spark.createDataFrame(
+        [(o, n, fc, (3 * (o or 0) + 5 * n + 7 * i) % 9) for o in (1, 2, None) for n in (1, 2, 3)
+         for i, fc in enumerate(("AVP1", "AVP1", "MCI1", "XXX9", None))]
+        + [(3, 1, "XXX9", 9), (3, 2, "AVP1", 9), (3, 2, "MCI1", None)],
+        "order_id long, order_line_id int, fc_name string, quantity_available int",
+    )
+    stocked = stock.stocked_lines(order_lines, inventory, DAY, DAY)
+    for fcs in (["AVP1", "MCI1"], [f"F{i:03}" for i in range(70)] + ["MCI1", "AVP1"]):
+        found = stock.served_sets(order_lines, inventory, DAY, DAY, fcs)
+        assert rows(found) == rows(stock.fc_sets(stocked, fcs)) != []
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("max(quantity_available") > plan.index("Join")
+
+
 def card(spark, schema, *data):
     return spark.createDataFrame(list(data), schema)
 

@@ -89,3 +89,16 @@ def test_blocks_of_equal_and_unknown_scores_are_even(spark, score):
     out = skew.running_total(df.withColumn("one", F.lit(1)), "score", "zip5", {"one": "place"}, blocks=8)
     ordered = sorted(out.collect(), key=lambda r: (r["score"] is None, r["score"] or 0.0, r["zip5"]))
     assert [r["place"] for r in ordered] == list(range(1, 4_001))
+
+
+def test_shuffles_have_partitions_for_the_rows(spark):
+    names = ("coalescePartitions.initialPartitionNum", "advisoryPartitionSizeInBytes")
+    names = [f"spark.sql.adaptive.{n}" for n in names]
+    try:
+        skew.shuffles_for(spark, 10)
+        assert int(spark.conf.get(names[0])) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        skew.shuffles_for(spark, 100 * skew.ROWS_PER_PARTITION + 1)
+        assert int(spark.conf.get(names[0])) == 101
+    finally:
+        for name in names:
+            spark.conf.unset(name)
