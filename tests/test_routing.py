@@ -82,6 +82,21 @@ def test_served_sets_equal_those_of_stocked_lines(spark):
     assert plan.index("max(quantity_available") > plan.index("Join")
 
 
+def test_a_bucket_holds_what_a_task_sorts_in_memory(spark, world, monkeypatch):
+    """More packages make more buckets, not larger ones."""
+    assert lane_ops.PACKAGES_PER_BUCKET <= 50_000
+    monkeypatch.setattr(lane_ops, "PACKAGES_PER_BUCKET", 1)
+    asked = []
+    kept = lane_ops.bucketed
+    monkeypatch.setattr(lane_ops, "bucketed", lambda *a: asked.append(a[2]) or kept(*a))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        stage_of(world)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert asked == [world[0].count()]
+
+
 def card(spark, schema, *data):
     return spark.createDataFrame(list(data), schema)
 
