@@ -130,3 +130,18 @@ def test_urls_of_many_tokens_end(spark):
     frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
     found = {tuple(r["tokens"]) for r in urlrules.mined_rules(frame, 0.01, 20, 0.6, 1.2, 0.01).collect()}
     assert ("bad",) in found and all(len(t) <= 16 for t in found)
+
+
+def test_no_token_of_a_long_url_is_left_out(spark):
+    """A rule of the least telling of 31 tokens, and thirty that share a name."""
+    names = [f"n{k:02}" for k in range(30)]
+    rows = [([*names, "zz"], k % 10 != 0) for k in range(60)] + [(names, k % 50 != 0) for k in range(100)]
+    frame = spark.createDataFrame(rows + [(["x"], False)] * 900, "tokens array<string>, bad boolean")
+    rules, same = urlrules.mined(frame, 0.01, 20, 0.6, 1.2)
+    assert {tuple(r["tokens"]) for r in rules.collect()} == {("n00",), ("n00", "zz"), ("zz",)}
+    name = {r["token"]: r["name"] for r in same.collect()}
+    assert {name[n] for n in names} == {"n00"} and name["zz"] == "zz" and name["x"] == "x"
+    urls = spark.createDataFrame([(["n29", "u"],), (["u"],), ([],)], "tokens array<string>")
+    urls = urlrules.named(urls.withColumn("all", F.col("tokens")), same, ["all"])
+    found = {tuple(r["all"]): r["tokens"] for r in urls.collect()}
+    assert found == {("n29", "u"): ["n00"], ("u",): [], (): []}
