@@ -385,3 +385,51 @@ def test_sizes_meet_the_bands_of_plain_comparisons(spark, cards):
     changed = replace(cards, longest_bands=spark.createDataFrame(bands, cards.longest_bands.schema))
     priced = rates.with_charges(spark.createDataFrame(lanes, LANES), changed)
     assert sorted(map(tuple, priced.select("i", "handling_amount").collect())) == expected
+
+
+def test_a_package_gathers_its_facts_in_one_set(spark):
+    """Known parts are distinct, and rows of other days or FCs add no scope or price."""
+    schema = (
+        "order_id bigint, tracking_number string, zip5 string, fc_name string, "
+        "carrier_code string, route string, order_placed_ts timestamp, release_ts timestamp, "
+        "actual_ship_ts timestamp, first_attempt_ts timestamp, promised_date date, "
+        "length double, width double, height double, weight double, units int"
+    )
+    noon, later = datetime(2025, 11, 1, 12), datetime(2025, 11, 9, 12)
+
+    def row(order, fc, placed, units):
+        times = (placed, None, noon, None)
+        return (order, "t", "00001", fc, "FDXHD", "r", *times, DAY, 1.0, 2.0, 3.0, 4.0, units)
+
+    given = [
+        row(1, "AVP1", noon, 1), row(1, "AVP1", noon, 1), row(1, "AVP1", noon, 2),
+        row(1, "XXX1", noon, 2), row(2, "AVP1", later, 1), row(None, "AVP1", noon, 1),
+    ]
+    facts = lane_ops.package_facts(spark.createDataFrame(given, schema), DAY, DAY, ["AVP1"])
+    names = ("scopes", "prices", "releases", "outcomes")
+    sizes = {r["order_id"]: [len(r[n]) for n in names] for r in facts.collect()}
+    assert sizes == {1: [1, 1, 1, 3], 2: [0, 0, 1, 1]}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 1
+
+
+def test_lanes_are_ranked_in_one_pass(spark):
+    """The winner's cost counts as 0 if unknown, unless it is the only lane."""
+    schema = (
+        "p int, total_amount double, preferred int, tnt int, distance double, mode string, "
+        "fc_name string, routeid string"
+    )
+    given = [
+        (1, 5.0, 0, 2, 1.0, "m", "a", "r"), (1, 4.0, 0, 2, 1.0, "m", "b", "r"),
+        (2, None, 0, 2, 1.0, "m", "a", "r"), (2, None, 0, 2, 2.0, "m", "a", "r"),
+        (3, None, 0, 2, 1.0, "m", "a", "r"),
+        (4, -900.0, 0, 2, 1.0, "m", "a", "r"), (4, 1.0, 0, None, 1.0, "m", "b", "r"),
+    ]
+    ranked = lane_ops.rank_lanes(spark.createDataFrame(given, schema), ["p"])
+    found = {}
+    for r in ranked.collect():
+        found.setdefault(r["p"], set()).add(r["selected_cost"])
+    penalty = ranked.where("p = 1").first()["tnt_penalty"]
+    assert found == {1: {4.0 + penalty}, 2: {0.0}, 3: {None}, 4: {0.0}}
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
