@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 from lanewise.llm.components import followed
 from lanewise.llm.stages import staged
 
-#: Letters of the words that one task numbers at a time, about.
-PART_LETTERS = 1_000_000
+#: Letters of the words that one task numbers at a time, about; a Python worker
+#: holds some 100 bytes for each, and Arrow's copies.
+PART_LETTERS = 250_000
 #: Words a task looks at to choose where the next part begins.
 SAMPLES_PER_PART = 32
 #: Longest string at which one part ends and the next begins.
 BOUND_LETTERS = 256
-#: Node pairs that one task groups at a time, about.
-PAIRS_PER_SHARD = 1_000_000
+#: Node pairs that one task groups at a time, about; some 100 bytes each, too.
+PAIRS_PER_SHARD = 250_000
 #: Numbers of one part; parts number their nodes and words apart.
 PART_BITS = 32
 
@@ -126,6 +127,28 @@ def numbered(words: DataFrame, parts: Parts) -> DataFrame:
     )
 
 
+def word_pairs(parts: Parts, part: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Cuts and skips of the words of one part, written into arrays of their size."""
+    rows = rows.assign(turned=rows["word"].str[::-1]).sort_values("turned")
+    turned = parts.nodes(part, rows["turned"].tolist())
+    out = np.empty((len(PAIR), sum(2 * len(back) - 1 for back in turned)), np.int64)
+    before, after, mark, n = out
+    at = 0
+    for word, number, times, fore, back in zip(
+        rows["word"], rows["id"], rows["n"], rows["nodes"], turned, strict=True
+    ):
+        letters = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        cut = slice(at, at + len(back))
+        skip = slice(cut.stop, cut.stop + len(letters))
+        before[cut], before[skip] = fore, fore[:-1]
+        after[cut], after[skip] = back[::-1], back[-2::-1]
+        mark[cut], mark[skip] = 4 * number + CUT, 4 * number + SKIP
+        mark[skip][1:] += letters[1:] == letters[:-1]
+        n[cut.start : skip.stop] = times
+        at = skip.stop
+    return pd.DataFrame(out.T, columns=list(PAIR), copy=False)
+
+
 def node_pairs(words: DataFrame, parts: Parts) -> DataFrame:
     """``before, after, mark, n``: cuts and skips of all numbered words.
 
@@ -139,23 +162,7 @@ def node_pairs(words: DataFrame, parts: Parts) -> DataFrame:
         return word.map(lambda w: parts.part(w[::-1])).astype("int32")
 
     def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(turned=rows["word"].str[::-1]).sort_values("turned")
-        turned = parts.nodes(int(key[0]), rows["turned"].tolist())
-        before, after, mark, n = [], [], [], []
-        for word, number, times, fore, back in zip(
-            rows["word"], rows["id"], rows["n"], rows["nodes"], turned, strict=True
-        ):
-            fore, back = np.asarray(fore), back[::-1]
-            letters = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-            again = np.zeros(len(letters), np.int64)
-            again[1:] = letters[1:] == letters[:-1]
-            before += [fore, fore[:-1]]
-            after += [back, back[1:]]
-            mark += [np.full(len(fore), 4 * number + CUT), 4 * number + SKIP + again]
-            n.append(np.full(2 * len(fore) - 1, times))
-        return pd.DataFrame(
-            {c: np.concatenate(v) for c, v in zip(PAIR, (before, after, mark, n), strict=True)}
-        )
+        return word_pairs(parts, int(key[0]), rows)
 
     return (
         words.withColumn("part", part("word"))

@@ -1,6 +1,8 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +143,26 @@ def test_query_equals_plain_loops(spark, tmp_path):
 def test_columns(spark, name):
     empty = variants.spelling_variants(spark.createDataFrame([], KIND))
     assert name in empty.columns
+
+
+def test_what_a_worker_holds_of_a_part_and_a_shard_is_small():
+    """Two workers share some hundred MB of an executor with their own libraries."""
+    rng = np.random.default_rng(3)
+    length, n_words = 9, variants.PART_LETTERS // 10
+    text = "".join(rng.choice(list("abcdefgh"), n_words * length))
+    words = sorted({text[i : i + length] for i in range(0, len(text), length)})
+    parts = variants.Parts([])
+    nodes = parts.nodes(0, words)
+    rows = pd.DataFrame({"id": np.arange(len(words)), "word": words, "n": 2, "nodes": nodes})
+    tracemalloc.start()
+    try:
+        pairs = variants.word_pairs(parts, 0, rows)
+        shard = pairs.head(variants.PAIRS_PER_SHARD)
+        tracemalloc.reset_peak()
+        variants.word_pairs(parts, 0, rows)
+        variants.met(shard)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(pairs) == sum(2 * len(w) + 1 for w in words)
+    assert peak < 64e6
