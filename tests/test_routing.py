@@ -433,3 +433,12 @@ def test_lanes_are_ranked_in_one_pass(spark):
     assert found == {1: {4.0 + penalty}, 2: {0.0}, 3: {None}, 4: {0.0}}
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_a_result_passes_through_its_lanes_once(world):
+    """Ranks, equally cheap and really used lanes share a window; the map has the other."""
+    shipments, lines, ship_map, cards, far = world
+    stage = lane_ops.routing_stage(shipments, *lines, cards, DAY, DAY)
+    result = lane_ops.routing_result(stage, ship_map, far)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2

@@ -102,3 +102,21 @@ def test_shuffles_have_partitions_for_the_rows(spark):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_a_task_reads_a_bounded_part_of_a_table(spark, tmp_path):
+    """Rows that compress well are shared out, too: 24 MB are not one task's."""
+    name = "spark.sql.files.maxPartitionBytes"
+    least = "spark.sql.files.minPartitionNum"
+    noise = spark.range(600_000, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256))
+    noise.write.parquet(f"{tmp_path}/noise")
+    others = ("coalescePartitions.initialPartitionNum", "advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.unset(name)
+        spark.conf.set(least, "1")
+        assert spark.read.parquet(f"{tmp_path}/noise").rdd.getNumPartitions() == 1
+        skew.shuffles_for(spark, 10)
+        assert spark.read.parquet(f"{tmp_path}/noise").rdd.getNumPartitions() >= 4
+    finally:
+        for conf in (name, least, *(f"spark.sql.adaptive.{n}" for n in others)):
+            spark.conf.unset(conf)
