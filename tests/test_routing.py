@@ -413,6 +413,41 @@ def test_a_package_gathers_its_facts_in_one_set(spark):
     assert plan.count("collect_set(") == 1
 
 
+def test_facts_come_from_sorted_rows_ready_to_be_joined(spark):
+    """No map of sets, one shuffle, and the join with the FC sets sorts them no more."""
+    schema = (
+        "order_id long, tracking_number string, zip5 string, fc_name string, carrier_code string, "
+        "route string, order_placed_ts timestamp, release_ts timestamp, actual_ship_ts timestamp, "
+        "first_attempt_ts timestamp, promised_date date, length double, width double, "
+        "height double, weight double, units long"
+    )
+    noon = datetime(2025, 11, 1, 12)
+
+    def row(order, parcel, units, release=None):
+        times = (noon, release, noon, None)
+        return (order, parcel, "00001", "AVP1", "FDXHD", "r", *times, DAY, 1.0, 2.0, 3.0, 4.0, units)
+
+    given = [row(1, "a", i % 3, noon if i % 2 else None) for i in range(600)]
+    given += [row(1, "b", 7), row(1, None, 7), row(2, "a", None), row(2, "a", None)]
+    facts = lane_ops.package_facts(spark.createDataFrame(given, schema), DAY, DAY)
+    found = {
+        (r["order_id"], r["tracking_number"]): (
+            len(r["scopes"]), len(r["prices"]), len(r["releases"]),
+            sorted((o["units"] for o in r["outcomes"]), key=str),
+        )
+        for r in facts.collect()
+    }
+    assert found == {
+        (1, "a"): (1, 1, 2, [0, 1, 2]),
+        (1, "b"): (1, 1, 1, [7]),
+        (2, "a"): (1, 1, 1, [None]),
+    }
+    served = spark.createDataFrame([(1, "a", "x")], "order_id long, tracking_number string, k string")
+    joined = facts.join(served.hint("merge"), stock.PACKAGE)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Sort [") == 2
+
+
 def test_lanes_are_ranked_in_one_pass(spark):
     """The winner's cost counts as 0 if unknown, unless it is the only lane."""
     schema = (

@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -143,3 +144,32 @@ def test_append_to_a_table(spark):
         assert spark.table(name).count() == 4
     finally:
         spark.sql(f"drop table if exists {name}")
+
+
+def test_projected_inputs_are_read_through(spark, tmp_path):
+    """Order lines and inventory follow from the written lines; they are not written too."""
+    from checks.inputs import Inputs, key_of
+
+    sf = str(tmp_path / "sf")
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    spark.createDataFrame(
+        [(1, 1, 4, 2, 3.0), (1, 1, 4, 2, 5.0), (1, 2, 6, 2, 1.0), (15, 1, 5, 3, 2.0)], lines
+    ).write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (15, None)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{sf}/orders.parquet"
+    )
+    given = Inputs(spark, sf)
+    assert rows(given.order_lines) == [
+        (1, "1-0", 2, 1, date(2025, 11, 2)),
+        (1, "1-1", 1, 5, date(2025, 11, 2)),
+        (15, "15-1", 1, 2, date(2025, 11, 2)),
+    ]
+    held = rows(given.inventory.where("fc_name in ('AVP1', 'AVP2')"))
+    assert held == [
+        (1, 1, "AVP1", 124 % 90),
+        (1, 1, "AVP2", (4 * 31 + 17) % 90),
+        (1, 2, "AVP2", (6 * 31 + 17) % 90),
+        (15, 1, "AVP1", 155 % 90),
+    ]
+    folder = os.path.dirname(shared.table_path(spark, key_of(sf, "lines")))
+    assert sorted(os.listdir(folder.removeprefix("file:"))) == ["fcs", "lines"]
