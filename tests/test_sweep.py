@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from checks import whatif_checks
 from lanewise.operators import sweep, whatif
 from lanewise.sources import writers
 
@@ -131,3 +132,20 @@ def test_counts_keep_their_run_columns(spark):
         (3, "partial", "default"),
         (999999, "all", "default"),
     ]
+
+
+def test_cost_change_is_the_total_of_the_iteration_less_that_of_the_baseline(spark):
+    """Both totals enter, those without any known cost as zero, and so does the query."""
+    lane = "order_id long, tracking_number string, zip5 string, {0}_transit_cost double"
+    base = spark.createDataFrame([(1, "a", "z1", 2.5), (2, "b", "z2", None)], lane.format("base"))
+    after = spark.createDataFrame([(1, "a", "z1", 4.0), (3, "c", "z3", 1.25)], lane.format("sim"))
+    assert rows(whatif.cost_totals(base, after)) == [(2.5, 5.25, 2.75)]
+    assert rows(whatif.cost_totals(base.limit(0), after)) == [(0.0, 5.25, 5.25)]
+    assert rows(whatif.cost_change(base, after)) == [(2.75,)]
+
+    class Made:
+        spliced = after
+
+    Made.base = base
+    found = whatif_checks.agg_cost_change(Made)
+    assert rows(found, "base_cost", "iteration_cost", "cost_change") == [(2.5, 5.25, 2.75)]
