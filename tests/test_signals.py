@@ -286,3 +286,47 @@ def test_switch_counts_without_expanding_the_rows(spark):
     assert (row["package_count"], row["fc_switch_package_count"]) == (3, 1)
     assert row["carrier_switch_package_count"] == 2
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_switches_are_counted_without_a_set_for_each_package(spark):
+    """Repeated rows and pairs count once, unknown keys and codes not at all."""
+    import random
+
+    draw = random.Random(5)
+    keys = "order_id long, tracking_number string, order_placed_date date, zip5 string"
+    day = date(2025, 11, 1)
+
+    def made(n):
+        return [
+            (
+                draw.randrange(4),
+                draw.choice(["a", "b", "c", "d", None]),
+                day,
+                draw.choice(["00001", "00002", None]),
+                draw.choice(["AVP1", "MCI1", None]),
+                draw.choice(["FDXHD", "ONTRGD", None]),
+            )
+            for _ in range(n)
+        ]
+
+    left, right = made(40), made(30)
+    base = spark.createDataFrame(left, f"{keys}, base_fc_name string, base_carrier_code string")
+    other = spark.createDataFrame(right, f"{keys}, sim_fc_name string, sim_carrier_code string")
+    packages, moves = {}, {4: {}, 5: {}}
+    for b in left:
+        for s in right:
+            if b[:4] != s[:4] or None in b[:4]:
+                continue
+            packages.setdefault(b[3], set()).add(b[1])
+            for at, found in moves.items():
+                if None not in (b[at], s[at]) and b[at] != s[at]:
+                    found.setdefault(b[3], set()).add((b[1], b[at], s[at]))
+    expected = [
+        (z, len(p), *(len(found.get(z, ())) for found in moves.values()))
+        for z, p in sorted(packages.items())
+    ]
+    out = signals.fc_carrier_switch(base, other)
+    counts = ("package_count", "fc_switch_package_count", "carrier_switch_package_count")
+    assert rows(out, "zip5", *counts) == expected
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "Expand" not in plan

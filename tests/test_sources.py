@@ -173,3 +173,45 @@ def test_projected_inputs_are_read_through(spark, tmp_path):
     ]
     folder = os.path.dirname(shared.table_path(spark, key_of(sf, "lines")))
     assert sorted(os.listdir(folder.removeprefix("file:"))) == ["fcs", "lines"]
+
+
+def test_a_written_stage_leaves_no_shuffle_behind(spark):
+    """Shuffles of a stage go with its write, not when the driver collects garbage."""
+    from time import sleep
+
+    from lanewise.sources.shared import CLEANUP, bucketed, stored
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    df = spark.range(1000).repartition("id")
+    kept = [stored(df, "gone"), bucketed(df, "gone-too", 3, ["id"])]
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        sleep(0.1)
+    assert not left
+    assert [k.count() for k in kept] == [1000, 1000]
+    assert spark.conf.get(CLEANUP) == setting
+
+
+def test_a_large_result_is_written_where_its_rows_are(spark, tmp_path):
+    """No shuffle, a file of each value for each task, and other partitions stay."""
+    named = "spark.sql.maxConcurrentOutputFileWriters"
+    setting = spark.conf.get(named)
+    df = spark.range(0, 100, 1, 3).withColumn("part", F.col("id") % 2)
+    for _ in range(2):
+        writers.sink_partition_replace(df, str(tmp_path), "part", gather=False)
+    found = spark.read.parquet(str(tmp_path))
+    assert rows(found, "id", "part") == rows(df, "id", "part")
+    assert len(found.inputFiles()) == 6
+    one = df.where("part = 1").withColumn("id", F.lit(7))
+    writers.sink_partition_replace(one, str(tmp_path), "part", gather=False)
+    assert spark.read.parquet(str(tmp_path)).where("part = 0").count() == 50
+    assert spark.conf.get(named) == setting

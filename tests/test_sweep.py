@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from checks import whatif_checks
-from lanewise.operators import sweep, whatif
+from lanewise.operators import shares, sweep, whatif
 from lanewise.sources import writers
 
 BASE = (
@@ -149,3 +149,43 @@ def test_cost_change_is_the_total_of_the_iteration_less_that_of_the_baseline(spa
     Made.base = base
     found = whatif_checks.agg_cost_change(Made)
     assert rows(found, "base_cost", "iteration_cost", "cost_change") == [(2.5, 5.25, 2.75)]
+
+
+def events_of(packages):
+    return rows(sweep.counted_events(packages))
+
+
+def test_packages_alike_count_as_often_as_they_are(spark, world):
+    """One for all of the same days, lanes and ranks gives the events of them all."""
+    base, choices, _ = world
+    copies = F.explode(F.sequence(F.lit(0), F.lit(4)))
+
+    def more(df):
+        new = F.concat_ws("/", "tracking_number", "_copy")
+        known = F.col("tracking_number").isNotNull()
+        return df.withColumn("_copy", copies).withColumn("tracking_number", F.when(known, new))
+
+    chosen = sweep.ranked_choices([z for _, z in choices])
+    packages = sweep.package_lanes_of(more(base), [more(s) for s, _ in choices], chosen)
+    alike = sweep.alike_packages(packages).cache()
+    assert alike.select("tracking_number").distinct().count() * 5 <= (
+        packages.select("tracking_number").distinct().count()
+    )
+    assert events_of(alike) == events_of(packages)
+
+
+def test_costs_of_zips_need_no_shuffle_of_packages(spark, world):
+    base, choices, _ = world
+    chosen = sweep.ranked_choices([z for _, z in choices]).cache()
+    chosen.count()
+    costs = sweep.zip_costs(sweep.lane_rows(base, [s for s, _ in choices], chosen))
+    plan = costs._jdf.queryExecution().executedPlan().toString()
+    assert "tracking_number" not in plan.split("HashAggregate")[1]
+    assert "REPARTITION" not in plan
+
+
+def test_a_group_of_rows_without_a_key_stays_with_no_value(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "y")], "p string, g string")
+    for frame in (df, shares.alike(df, "p", [F.col("g")])):
+        out = shares.share_of_total(frame, ["g"], "p", "nunique")
+        assert rows(out, "g", "value") == [("x", 2), ("y", 0)]
