@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import whatif_checks
 from lanewise.operators import shares, sweep, whatif
+from lanewise.plans import planning
 from lanewise.sources import writers
 
 BASE = (
@@ -184,6 +185,29 @@ def test_costs_of_zips_need_no_shuffle_of_packages(spark, world):
     assert "REPARTITION" not in plan
 
 
+def test_planning_counts_packages_alike_once(spark, world):
+    """All five metrics from one small table of each result, with odd packages too."""
+    base, choices, proxy = world
+    final = choices[0][0]
+    lanes = whatif.lanes_alike(base)
+    assert rows(whatif.carrier_change(base, final)) == rows(
+        whatif.carrier_change(lanes, whatif.lanes_alike(final))
+    )
+    metrics = planning.planning_metrics(base, final, proxy)
+    expected = {
+        "carrier_change": whatif.carrier_change(base, final),
+        "fc_carrier_change": whatif.fc_carrier_change(base, final),
+        "carrier_change_proxy": whatif.carrier_change_proxy(base, final, proxy),
+        "fc_carrier_change_proxy": whatif.fc_carrier_change_proxy(base, final, proxy),
+        "fc_charge_change": whatif.fc_charge_change(base, final),
+    }
+    assert set(metrics) == set(expected)
+    for name, df in expected.items():
+        assert values(metrics[name], df.columns) == values(df, df.columns), name
+        # What is read are the written tables of packages alike.
+        assert shares.TIMES in metrics[name]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_group_of_rows_without_a_key_stays_with_no_value(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "y")], "p string, g string")
     for frame in (df, shares.alike(df, "p", [F.col("g")])):
